@@ -39,9 +39,8 @@ def fan_out_or_keep(items: DataFrame, children: Column) -> DataFrame:
     """As ``fan_out``, but if no item at all has a child, the items stay as they are."""
     some = items.agg(F.coalesce(F.max(F.size(children) > 0), F.lit(False)).alias("_some"))  # one row
     kids = with_parent(children, F.col("id"))
-    return items.join(F.broadcast(some)).select(
-        F.inline(F.when(F.col("_some"), kids).otherwise(F.array(F.struct("id", "parent_id", "val"))))
-    )
+    fields = items.select(children.alias("c")).schema["c"].dataType.elementType.names
+    return items.join(F.broadcast(some)).select(F.inline(F.when(F.col("_some"), kids).otherwise(F.array(F.struct(*fields)))))
 
 
 def fan_in(items: DataFrame, root: str, *aggs: Column) -> DataFrame:

@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshlark.operators import ledger as L, trees
+from meshlark.plans.common import registrar
 from meshlark.plans.oracle_views import sql
-from meshlark.sources.tables import Tables
 
 QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return keep
+query = registrar(QUERIES, ORACLES)
 
 
 # -- fan-out and fan-in -----------------------------------------------------

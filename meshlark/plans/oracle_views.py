@@ -21,7 +21,8 @@ VIEWS: dict[str, str] = {
         JOIN (SELECT pt_id, x, y, z FROM points) p ON p.pt_id = (v.vert_id * 10 + v.obj_id) % (SELECT count(*) * 21 FROM embeddings)""",
     "objects": """SELECT p_partkey AS obj_id, CASE WHEN p_partkey % 10 = 0 THEN 'CAMERA' ELSE 'MESH' END AS type, p_brand AS material,
         CAST(CASE WHEN p_size % 7 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS scale_x, CAST(p_size % 3 AS DOUBLE) AS rot_z,
-        CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE p_partkey % 2 END AS INT) AS users, CAST(p_size % 4 AS INT) AS n_modifiers FROM part""",
+        CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE p_partkey % 2 END AS INT) AS users, CAST(p_size % 4 AS INT) AS n_modifiers,
+        CAST(p_size AS DOUBLE) / 8.0 AS loc_x, CAST(p_partkey % 16 AS DOUBLE) / -4.0 AS loc_y, CAST(1.0 AS DOUBLE) AS loc_z FROM part""",
     "nodes": """SELECT p_partkey AS node_id, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 4.0) AS BIGINT) END AS parent_id,
         p_name AS name, CAST(p_size AS DOUBLE) / 10.0 AS tx FROM part""",
     "ledger": """SELECT event_id AS seq, user_id AS item_id, event_type AS step_key, (event_type <> 'error') AS success,

@@ -89,7 +89,7 @@ class Tables:
         return ids.join(pts, "pt_id").select("obj_id", "vert_id", "x", "y", "z")
 
     def objects(self) -> DataFrame:
-        """objects(obj_id, type, material, scale_x, rot_z, users, n_modifiers)"""
+        """objects(obj_id, type, material, scale_x, rot_z, users, n_modifiers, loc_x, loc_y, loc_z)"""
         key, size = F.col("p_partkey"), F.col("p_size")
         return self.read("part").select(
             key.alias("obj_id"),
@@ -99,6 +99,9 @@ class Tables:
             (size % 3).cast("double").alias("rot_z"),
             F.when(key % 5 == 0, 2).otherwise(key % 2).cast("int").alias("users"),
             (size % 4).cast("int").alias("n_modifiers"),
+            (size.cast("double") / 8.0).alias("loc_x"),
+            ((key % 16).cast("double") / -4.0).alias("loc_y"),
+            F.lit(1.0).alias("loc_z"),
         )
 
     def nodes(self) -> DataFrame:
