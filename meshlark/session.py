@@ -44,6 +44,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out over all shuffle partitions before work that costs far more per row than moving it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Freeze ``df`` as a parquet table in the shared folder and read it back.
 
