@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
     "assets": """SELECT page_id AS asset_id, '/data/d' || (page_id % 8) || '/m' || regexp_extract(url, '/([0-9]+)', 1)
         || (['.glb','.gltf','.obj','.fbx','.stl','.blend','.GLB','.txt',''])[page_id % 9 + 1] AS path,
         CAST(length(html) AS BIGINT) AS length, page_id % 13 <> 0 AS present FROM pages""",
-    "cameras": """SELECT c_custkey AS cam_id, CAST(c_custkey % 10 AS INT) AS obj_id,
+    "cameras": """SELECT c_custkey AS cam_id, CAST(c_custkey % 12 AS INT) AS obj_id,
         CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_nationkey AS DOUBLE) + 20.0 END AS lens,
         CASE WHEN c_custkey % 3 <> 0 THEN CAST(36.0 AS DOUBLE) END AS sensor_width,
         c_acctbal / 700.0 AS x, CAST(c_nationkey AS DOUBLE) / 7.0 AS y, CAST(c_custkey % 17 AS DOUBLE) / 3.0 AS z,

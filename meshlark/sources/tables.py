@@ -195,7 +195,7 @@ class Tables:
         k = F.col("c_custkey")
         return self.read("customer").select(
             k.alias("cam_id"),
-            (k % 10).cast("int").alias("obj_id"),
+            (k % 12).cast("int").alias("obj_id"),
             F.when(k % 4 != 0, F.col("c_nationkey").cast("double") + 20.0).alias("lens"),
             F.when(k % 3 != 0, 36.0).alias("sensor_width"),
             (F.col("c_acctbal") / 700.0).alias("x"),
