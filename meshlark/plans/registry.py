@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["ledger_queries", "mesh_queries", "point_queries", "trajectory_queries"]
+FAMILIES = ["asset_queries", "ledger_queries", "mesh_queries", "point_queries", "trajectory_queries"]
 
 
 def _modules():

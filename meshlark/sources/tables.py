@@ -178,9 +178,13 @@ class Tables:
         )
 
     def assets(self) -> DataFrame:
+        return self.assets_of(self.read("pages"))
+
+    @staticmethod
+    def assets_of(pages: DataFrame) -> DataFrame:
         """assets(asset_id, path, length, present): files of mixed type under eight folders."""
         ext = F.element_at(F.array(*[F.lit(e) for e in ASSET_EXTENSIONS]), (F.col("page_id") % len(ASSET_EXTENSIONS) + 1).cast("int"))
-        return self.read("pages").select(
+        return pages.select(
             F.col("page_id").alias("asset_id"),
             F.concat(
                 F.lit("/data/d"), (F.col("page_id") % 8).cast("string"), F.lit("/m"),
