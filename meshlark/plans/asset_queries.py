@@ -11,7 +11,7 @@ from meshlark.plans.common import registrar
 from meshlark.plans.mesh_queries import BOX, CORNERS, LOCAL, rs, rxyz
 from meshlark.plans.oracle_views import noise, r, sql
 from meshlark.plans.point_queries import BOUNDS, CROSS, _AREAS, _CUM, _FLOW, folded_xyz
-from meshlark.session import fresh_dir
+from meshlark.session import cut, fresh_dir
 from meshlark.sources import models, reports, scan
 from meshlark.sources.tables import Tables
 from meshlark.streaming import ingest, skip
@@ -89,7 +89,8 @@ def glb_files(t):
     head = F.unhex(F.concat(F.lit("676C5446" "02000000"), _le_hex(size + 20), _le_hex(size), F.lit("4A534F4E")))
     whole = F.concat(head, F.encode("body", "UTF-8"))
     content = F.when(F.col("l_orderkey") % 11 == 0, F.substring(whole, 1, 3)).otherwise(whole)
-    return made.select(F.concat(F.lit("assets/o"), text("l_orderkey"), F.lit(".glb")).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+    path = F.concat(F.lit("assets/o"), text("l_orderkey"), F.lit(".glb"))
+    return cut(made.select(path.alias("path"), F.length(content).cast("long").alias("length"), content.alias("content")), "glb")
 
 
 _GLB = """SELECT 'assets/o' || l_orderkey || '.glb' AS path, CASE WHEN l_orderkey % 11 = 0 THEN 'Invalid header' WHEN l_orderkey % 13 = 0 THEN 'Invalid JSON chunk' END AS error_message,

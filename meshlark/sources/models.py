@@ -73,14 +73,18 @@ def gltf_stats(files: DataFrame) -> DataFrame:
 
 def gltf_nodes(files: DataFrame) -> DataFrame:
     """(path, node_id, parent_id, name, mesh, tx, ty, tz): the node table of each file, for ``trees.world_offset``."""
-    docs = gltf_documents(files).filter("error_message IS NULL")
-    nodes = docs.select("path", F.posexplode("gltf.nodes").alias("node_id", "n"))
-    links = docs.select("path", F.posexplode("gltf.nodes").alias("parent_id", "n")).select(
-        "path", "parent_id", F.explode("n.children").alias("node_id")
+    docs = gltf_documents(files)
+    # a node names itself and, as their parent, its children; both meet in one combined aggregate
+    named = docs.select("path", F.posexplode("gltf.nodes").alias("i", "n")).select(
+        "path",
+        F.inline(F.expr("""concat(
+            array(named_struct('node_id', i, 'parent_id', CAST(NULL AS INT), 'n', n)),
+            transform(coalesce(n.children, array()), c -> named_struct('node_id', c, 'parent_id', i, 'n', CAST(NULL AS STRUCT<name: STRING, mesh: INT, children: ARRAY<INT>, translation: ARRAY<DOUBLE>, matrix: ARRAY<DOUBLE>>)))
+        )""")),
     )
-    move = lambda i: F.coalesce(F.get("n.translation", F.lit(i)), F.lit(0.0))
-    return nodes.join(links, ["path", "node_id"], "left").select(
-        "path", "node_id", "parent_id", F.col("n.name").alias("name"), F.col("n.mesh").alias("mesh"),
+    move = lambda i: F.coalesce(F.max(F.get("n.translation", F.lit(i))), F.lit(0.0))
+    return named.groupBy("path", "node_id").agg(
+        F.max("parent_id").alias("parent_id"), F.max("n.name").alias("name"), F.max("n.mesh").alias("mesh"),
         *[move(i).alias(f"t{c}") for i, c in enumerate("xyz")],
     )
 
