@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from meshlark.session import cut
 
@@ -27,8 +27,18 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+def key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the keys that agrees between sides whose integer or float widths differ, and for 0.0 and -0.0."""
+
+    def plain(k: str) -> Column:
+        kind = df.schema[k].dataType
+        if isinstance(kind, T.IntegralType):
+            return F.col(k).cast("long")
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            return F.col(k).cast("double") + F.lit(0.0)
+        return F.col(k)
+
+    return F.xxhash64(*[plain(k) for k in keys])
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
@@ -39,7 +49,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
     """
     limit = hot_group_rows(df.sparkSession)
     sketch = (
-        df.select(_key_hash(keys).alias("h"))
+        df.select(key_hash(df, keys).alias("h"))
         .agg(F.expr(f"approx_top_k(h, {_REPORTED}, {_TRACKED})").alias("top"))
         .first()
     )
@@ -112,7 +122,7 @@ def running(
     hot = hot_groups(df, keys)
     if not hot:
         return _plain_running(df, keys, order, values, totals)
-    is_hot = _key_hash(keys).isin(hot)
+    is_hot = key_hash(df, keys).isin(hot)
     return _plain_running(df.filter(~is_hot), keys, order, values, totals).unionByName(
         _split_running(df.filter(is_hot), keys, order, values, totals)
     )
@@ -136,8 +146,8 @@ def join_group_row(
     hot = hot_groups(many, keys)
     if not hot:
         return many.join(one, list(keys), how)
-    is_hot = _key_hash(keys).isin(hot)
-    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = lambda df: key_hash(df, keys).isin(hot)
+    left = many.withColumn("_salt", F.when(is_hot(many), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(is_hot(one), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = one.withColumn("_salt", F.explode(salts))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshlark.functions import vector as V
-from meshlark.functions.skew import hot_groups, join_group_row, rank_within, running
+from meshlark.functions.skew import hot_groups, join_group_row, key_hash, rank_within, running
 from meshlark.functions.vector import rounded
 
 UNIT_TOLERANCE = 0.001  # scale or rotation further than this from identity counts
@@ -161,7 +161,7 @@ def rings(loops: DataFrame) -> DataFrame:
     hot = hot_groups(loops, ["face_id"])
     if not hot:
         return by_window(loops)
-    is_hot = F.xxhash64("face_id").isin(hot)
+    is_hot = key_hash(loops, ["face_id"]).isin(hot)
     big = loops.filter(is_hot)
     follow = big.select("face_id", F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("vert_id").alias("b"))
     start = big.filter("pos = 0").select("face_id", F.col("vert_id").alias("v0"))

@@ -1,4 +1,8 @@
-"""Compare queries() with oracle_sql(): python tests/oracle_check.py [sf_dir] [name ...]"""
+"""Compare queries() with oracle_sql(): python tests/oracle_check.py [sf_dir] [name ...]
+
+CHECK_CONF=key=value,... adds session settings, e.g. spark.meshlark.hotGroupRows=50 to take every
+group above 50 rows through the split forms.
+"""
 
 from __future__ import annotations
 
@@ -61,8 +65,9 @@ def main() -> None:
 
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("CHECK_CONF", "").split(",") if kv)
     spark = build_session("oracle-check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
