@@ -76,18 +76,19 @@ def _nearest_distinct(points: DataFrame, m: int) -> DataFrame:
     while True:
         near = _spread(points.select("obj_id", F.col("pt_id").alias("nb_id"), *[F.col(c).alias(f"n{c}") for c in "xyz"], *_cells(size)))
         asked = open_.select("obj_id", "pt_id", *[F.col(c).alias(f"q{c}") for c in "xyz"], *_cells(size))
+        pairs = asked.join(near, ["obj_id", *CELL]).withColumn("d2", d2)
+        last = size >= side  # the cells looked at hold every point of the object
+        if not last:  # only what lies within one cell size can be proven, so no more than that is sorted
+            pairs = pairs.filter(F.col("d2") <= size * size)
         found = (
-            asked.join(near, ["obj_id", *CELL])
-            .withColumn("d2", d2)
-            .withColumn("rank", F.row_number().over(best))
+            pairs.withColumn("rank", F.row_number().over(best))
             .filter(F.col("rank") <= m)
             .select("obj_id", "pt_id", "rank", "nb_id", "d2", "nx", "ny", "nz")
         )
-        if size >= side:  # every point of the object has been compared
+        if last:
             return found if settled is None else settled.unionByName(found)
         found = cut(found, "knn")
-        # proven when there are m and the last lies within the cells looked at
-        proven = found.filter((F.col("rank") == m) & (F.col("d2") <= size * size)).select("obj_id", "pt_id")
+        proven = found.filter(F.col("rank") == m).select("obj_id", "pt_id")
         done = found.join(proven, ["obj_id", "pt_id"], "left_semi")
         settled = done if settled is None else settled.unionByName(done)
         open_ = cut(open_.join(proven, ["obj_id", "pt_id"], "left_anti"), "knn")
@@ -291,15 +292,19 @@ def nearest_triangle(points: DataFrame, tris: DataFrame) -> DataFrame:
     base = points.select("obj_id", "pt_id", "x", "y", "z")
     size = _surface_cell(flat)
     far = _gap(base, flat)
-    settled, open_, step = None, base, 0
+    # the first radius is half the cell: most points lie near a surface, and a cheap test against
+    # the triangles' boxes then leaves little for the exact one
+    settled, open_, step = None, base, -1
     while True:
-        radius = size * 2**step
-        placed = flat.withColumn("level", F.greatest(_level(size), F.lit(step))).withColumn("cell", F.lit(size) * F.pow(F.lit(2.0), "level"))
+        radius = size * 2.0**step
+        placed = flat.withColumn("level", F.greatest(_level(size), F.lit(max(step, 0)))).withColumn("cell", F.lit(size) * F.pow(F.lit(2.0), "level"))
         levels = _levels(placed)
         asked = open_.withColumn("level", F.explode(F.array(*[F.lit(l) for l in levels]).cast("array<int>")))
         asked = asked.withColumn("cell", F.lit(size) * F.pow(F.lit(2.0), "level"))
         asked = asked.select("obj_id", "pt_id", "x", "y", "z", "level", *[_cell(c, F.col("cell")).alias(f"c{c}") for c in "xyz"])
         pairs = asked.join(_covered(placed, radius).drop("cell"), ["obj_id", "level", *CELL])
+        grown = " AND ".join(f"{c} >= lo_{c} - {radius!r}D AND {c} <= hi_{c} + {radius!r}D" for c in "xyz")
+        pairs = pairs.filter(grown)
         best = (
             with_closest(pairs)
             .groupBy("obj_id", "pt_id")
