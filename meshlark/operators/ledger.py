@@ -37,10 +37,10 @@ def fan_out(items: DataFrame, children: Column) -> DataFrame:
 
 def fan_out_or_keep(items: DataFrame, children: Column) -> DataFrame:
     """As ``fan_out``, but if no item at all has a child, the items stay as they are."""
-    some = items.agg(F.coalesce(F.max(F.size(children) > 0), F.lit(False)).alias("_some"))  # one row
+    some = items.agg(F.coalesce(F.max(F.size(children) > 0), F.lit(False))).scalar()
     kids = with_parent(children, F.col("id"))
     fields = items.select(children.alias("c")).schema["c"].dataType.elementType.names
-    return items.join(F.broadcast(some)).select(F.inline(F.when(F.col("_some"), kids).otherwise(F.array(F.struct(*fields)))))
+    return items.withColumn("_some", some).select(F.inline(F.when(F.col("_some"), kids).otherwise(F.array(F.struct(*fields)))))
 
 
 def fan_in(items: DataFrame, root: str, *aggs: Column) -> DataFrame:
@@ -203,8 +203,8 @@ def first_failure_cut(runs: DataFrame) -> DataFrame:
 def fail_fast_batch(runs: DataFrame) -> DataFrame:
     """As ``first_failure_cut`` over the whole batch in step-major order (idx, run_id)."""
     at = F.struct("idx", "run_id")
-    first = runs.filter(_stops()).agg(F.min(at).alias("_cut"))  # one row
-    return runs.join(F.broadcast(first)).filter(F.col("_cut").isNull() | (at <= F.col("_cut"))).drop("_cut")
+    first = runs.filter(_stops()).agg(F.min(at)).scalar()
+    return runs.withColumn("_cut", first).filter(F.col("_cut").isNull() | (at <= F.col("_cut"))).drop("_cut")
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

@@ -118,7 +118,10 @@ def bounding_sphere(corners: DataFrame, *by: str) -> DataFrame:
     """Centre (mean of the corners) and radius (farthest corner)."""
     mid = corners.groupBy(*by).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
     d = V.sub(V.vec("x", "y", "z"), V.vec("cx", "cy", "cz"))
-    joined = join_group_row(corners, mid, by, ["x", "y", "z"]) if by else corners.join(F.broadcast(mid))
+    if by:
+        joined = join_group_row(corners, mid, by, ["x", "y", "z"])
+    else:
+        joined = corners.withColumn("_mid", mid.select(F.struct("cx", "cy", "cz")).scalar()).select("*", "_mid.*").drop("_mid")
     return joined.groupBy(*by, "cx", "cy", "cz").agg(F.max(V.length(d)).alias("radius"))
 
 

@@ -106,7 +106,7 @@ def normalize_attr(points: DataFrame, attr: str = "sdf", out: str = "norm", by:
     """Clamp to [0, 1e9] and divide by the largest; 0 where that is 0. One combined maximum, no window."""
     clamped = F.least(F.greatest(F.col(attr), F.lit(0.0)), F.lit(MAX_DISTANCE))
     top = points.groupBy(*by).agg(F.max(clamped).alias("_top"))
-    joined = join_group_row(points, top, by, spread) if by else points.join(F.broadcast(top))  # one row without groups
+    joined = join_group_row(points, top, by, spread) if by else points.withColumn("_top", top.scalar())
     return joined.withColumn(out, F.when(F.col("_top") > 0, clamped / F.col("_top")).otherwise(0.0)).drop("_top")
 
 

@@ -81,10 +81,8 @@ class Tables:
 
     def vertices(self) -> DataFrame:
         """vertices(obj_id, vert_id, x, y, z)"""
-        n = self.read("embeddings").agg((F.count("*") * TRIPLES).alias("n_points"))  # one row
-        ids = self.mesh_vertex_ids().join(F.broadcast(n)).withColumn(
-            "pt_id", (F.col("vert_id") * 10 + F.col("obj_id")) % F.col("n_points")
-        )
+        n_points = self.read("embeddings").agg(F.count("*") * TRIPLES).scalar()
+        ids = self.mesh_vertex_ids().withColumn("pt_id", (F.col("vert_id") * 10 + F.col("obj_id")) % n_points)
         pts = self.points().select("pt_id", "x", "y", "z")
         return ids.join(pts, "pt_id").select("obj_id", "vert_id", "x", "y", "z")
 
