@@ -98,3 +98,14 @@ def test_sample_without_faces_gives_origin(spark):
     draws = spark.createDataFrame([(9, 0), (9, 1)], "obj_id int, draw bigint")
     got = P.area_weighted_sample(cube(spark), draws).collect()
     assert [(r["x"], r["y"], r["z"]) for r in got] == [(0, 0, 0)] * 2
+
+
+def test_repaired_surface_is_closed(spark):
+    from meshlark.plans.candidates import repair_surface
+
+    faces = repair_surface(cube(spark), radius=0.6, voxel=0.4, overlap=0.7, iterations=1, seed=1).collect()
+    along = {}
+    for f in faces:
+        line = (f["axis"], *[f[f"i{c}"] for c in "xyz" if c != f["axis"]])
+        along[line] = along.get(line, 0) + f["outward"]
+    assert faces and not any(along.values())  # every line through the shell leaves it as often as it enters
