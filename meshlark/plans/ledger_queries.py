@@ -223,7 +223,8 @@ def _(t):
 
 @query("fail_fast_batch", sql("step_runs", """
     SELECT run_id, idx, step_key, success FROM runs
-    WHERE (idx, run_id) <= (SELECT min((idx, run_id)) FROM runs WHERE NOT success AND NOT continue_on_error)""",
+    WHERE (idx, run_id) <= (SELECT min((idx, run_id)) FROM runs WHERE NOT success AND NOT continue_on_error)
+        OR NOT EXISTS (SELECT 1 FROM runs WHERE NOT success AND NOT continue_on_error)""",
     runs="SELECT run_id, idx, step_key, duration_s < 49.5 OR step_key <> 'step_3' OR run_id % 97 > 0 AS success, continue_on_error FROM step_runs"))
 def _(t):
     rare = (F.col("duration_s") < 49.5) | (F.col("step_key") != "step_3") | (F.col("run_id") % 97 > 0)
