@@ -69,7 +69,7 @@ def starting_cell(targets: DataFrame, by: str, wanted: float) -> tuple[float, fl
 def _nearest_distinct(points: DataFrame, m: int) -> DataFrame:
     """(obj_id, pt_id, rank, nb_id, d2, nx, ny, nz): the m nearest of points at distinct places, self included."""
     points = cut(spread(points.select("obj_id", "pt_id", "x", "y", "z"), "obj_id", "pt_id"), "knn")
-    size, side = starting_cell(points, "obj_id", m / 3.0)
+    size, side = starting_cell(points, "obj_id", m / 2.0)
     d2 = sum((F.col(f"q{c}") - F.col(f"n{c}")) * (F.col(f"q{c}") - F.col(f"n{c}")) for c in "xyz")
     best = Window.partitionBy("obj_id", "pt_id").orderBy("d2", "nb_id")
     settled, open_ = None, points
