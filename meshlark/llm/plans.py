@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import chat, quality
+from meshlark.llm import chat, langid, quality
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -64,3 +64,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs.select("doc_id", "text"), profiles).withColumn("held_out", langid.held_out(F.col("doc_id")))
