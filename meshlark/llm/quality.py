@@ -50,11 +50,13 @@ def signals(docs: DataFrame) -> DataFrame:
         (F.length("packed") - F.length(F.translate("packed", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;\"'»)][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended_lines"),
+        F.size(F.filter("lines", lambda x: x.rlike(r"[#*$%&|<>].*[#*$%&|<>]"))).cast("long").alias("n_symbol_lines"),
         (F.length("packed") - F.length(F.regexp_replace("packed", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
         (F.length("packed") - F.length(F.regexp_replace("packed", r"\p{L}+", ""))).cast("long").alias("n_letters"),
     )
     return _repeat_words(base).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_letters")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines",
+        "n_symbol_lines", "n_upper", "n_letters")
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
@@ -68,6 +70,7 @@ def votes(counts: DataFrame) -> DataFrame:
         "v_length": (F.col("n_words"), lambda x: x >= 50, lambda x: x < 20),
         "v_word_length": (share("word_chars", "n_words"), lambda x: x.between(3, 10), lambda x: (x < 2.5) | (x > 12)),
         "v_symbols": (share("n_symbols", "word_chars"), lambda x: x < 0.01, lambda x: x > 0.05),
+        "v_symbol_lines": (share("n_symbol_lines", "n_lines"), lambda x: x < 0.05, lambda x: x > 0.3),
         "v_letters": (share("n_letters", "word_chars"), lambda x: x > 0.9, lambda x: x < 0.75),
         "v_upper": (share("n_upper", "n_letters"), lambda x: x < 0.15, lambda x: x > 0.4),
         "v_dup_lines": (share("n_dup_lines", "n_lines"), lambda x: x < 0.05, lambda x: x > 0.3),
@@ -77,7 +80,9 @@ def votes(counts: DataFrame) -> DataFrame:
     return counts.withColumns({name: _vote(x, good(x), bad(x)) for name, (x, good, bad) in rules.items()})
 
 
-RULES = ["v_length", "v_word_length", "v_symbols", "v_letters", "v_upper", "v_dup_lines", "v_repeats", "v_endings"]
+RULES = [
+    "v_length", "v_word_length", "v_symbols", "v_symbol_lines", "v_letters", "v_upper", "v_dup_lines", "v_repeats", "v_endings",
+]
 
 
 def _log_odds(model: dict) -> Column:
@@ -85,7 +90,7 @@ def _log_odds(model: dict) -> Column:
     for rule in RULES:
         good, bad = model[rule]
         step = F.lit(0.0)
-        for vote in (-1, 0, 1):
+        for vote in (-1, 1):
             step = F.when(F.col(rule) == vote, math.log(good[vote] / bad[vote])).otherwise(step)
         odds = odds + step
     return odds
@@ -98,9 +103,9 @@ def posterior(model: dict) -> Column:
 def fit(voted: DataFrame, rounds: int = 25, smooth: float = 1.0) -> dict:
     """Expectation-maximisation of the two-class model over the counts of all vote patterns.
 
-    Each rule has, for good and for bad texts, a probability of each of its three answers. The votes of all rows
-    are first summed to a table of patterns (3 ** rules at most), which each round reads. A round starts from the
-    posterior and sums expected counts; the first takes the share of good votes among the votes as posterior.
+    Each rule has, for good and for bad texts, an accuracy: the probability of either vote where it votes at all.
+    An abstention is no evidence. The votes of all rows are first summed to a table of patterns (3 ** rules at
+    most), which each round reads. A round starts from the posterior and sums expected counts; the first takes the share of good votes among the votes as posterior.
     An empty table gives even odds.
     """
     patterns = cut(voted.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
@@ -111,15 +116,14 @@ def fit(voted: DataFrame, rounds: int = 25, smooth: float = 1.0) -> dict:
     for _ in range(rounds):
         weighed = patterns.select(*RULES, F.col("n").cast("double").alias("n"), (F.col("n") * p).alias("g"))
         sums = weighed.agg(F.sum("n").alias("n"), F.sum("g").alias("g"), *(
-            F.sum(F.when(F.col(r) == v, F.col(x)).otherwise(0.0)).alias(f"{r} {v} {x}") for r in RULES for v in (-1, 0, 1) for x in ("n", "g"))).first()
+            F.sum(F.when(F.col(r) == v, F.col(x)).otherwise(0.0)).alias(f"{r} {v} {x}") for r in RULES for v in (-1, 1) for x in ("n", "g"))).first()
         n, g = sums["n"] or 0.0, sums["g"] or 0.0
         at = lambda r, v, x: sums[f"{r} {v} {x}"] or 0.0  # noqa: B023, E731
         model = {"prior": (g + smooth) / (n + 2 * smooth)}
         for r in RULES:
-            model[r] = (
-                {v: (at(r, v, "g") + smooth) / (g + 3 * smooth) for v in (-1, 0, 1)},
-                {v: (at(r, v, "n") - at(r, v, "g") + smooth) / (n - g + 3 * smooth) for v in (-1, 0, 1)},
-            )
+            good = {v: at(r, v, "g") + smooth for v in (-1, 1)}
+            bad = {v: at(r, v, "n") - at(r, v, "g") + smooth for v in (-1, 1)}
+            model[r] = tuple({v: x / sum(of.values()) for v, x in of.items()} for of in (good, bad))
         p = posterior(model)
     return model
 
