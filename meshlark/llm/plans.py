@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import chat, langid, quality
+from meshlark.llm import chat, langid, linededup, quality
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -71,3 +71,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs.select("doc_id", "text"), profiles).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
+@query("op3_line_dedup", """
+WITH lines AS (
+  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+  FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)
+), keyed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM lines
+), wide AS (
+  SELECT bare, min(doc_id) AS first_doc FROM keyed WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT k.*, k.bare <> '' AND w.bare IS NOT NULL AND w.first_doc <> k.doc_id AS gone
+  FROM keyed k LEFT JOIN wide w ON k.bare = w.bare
+)
+SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean
+FROM marked GROUP BY doc_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.drop_widespread(docs).select("doc.doc_id", "n_lines", "n_removed", "clean")
