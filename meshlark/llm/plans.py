@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import chat, langid, linededup, quality
+from meshlark.llm import bpe, chat, langid, linededup, quality
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -91,3 +92,9 @@ FROM marked GROUP BY doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linededup.drop_widespread(docs).select("doc.doc_id", "n_lines", "n_removed", "clean")
+
+
+@query("op10_bpe_round_trip")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = bpe.Files(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), files)
