@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import bpe, chat, langid, linededup, quality
+from meshlark.llm import bpe, chat, langid, linededup, quality, tokenids
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -98,3 +98,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bpe.Files(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), files)
+
+
+@query("op2_token_ids")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenids.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
