@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import bpe, chat, counts, langid, linededup, quality, tokenids
+from meshlark.llm import bpe, chat, counts, decontam, langid, linededup, quality, tokenids
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -110,3 +110,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = counts.File(spark, public_tokenizers.path("word_bpe_49k.json"))
     return counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), file)
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
