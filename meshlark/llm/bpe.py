@@ -61,26 +61,60 @@ class Files:
         return once(("bpe", self._key), lambda: Coder(self._shared.value, self.pattern))
 
 
-def _encoder(files: Files):
-    @F.arrow_udf("binary")
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+SLICE = 64  # rows whose results a task holds
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE))
+
+
+def _encode(files: Files):
+    """The last column, text, becomes ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = files.coder()
-        for part in texts:
-            yield pa.array((coder.encode(x.as_py()) for x in part), pa.binary())
+        for part in _rows(batches):
+            ids = pa.array([coder.encode(x) for x in part.columns[-1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
 
     return encode
 
 
-def _decoder(files: Files):
-    @F.arrow_udf("binary")
-    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _decode(files: Files):
+    """Adds the bytes of the last column, ids."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = files.coder()
-        for part in ids:
-            yield pa.array((coder.decode(x) if x is not None else None for x in part.to_pylist()), pa.binary())
+        for part in _rows(batches):
+            out = pa.array([None if x is None else coder.decode(x) for x in part.columns[-1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
 
     return decode
 
 
+def _digest(files: Files, of_text: bool):
+    """The last column, text or ids, becomes the figures of its round trip."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = files.coder()
+        for part in _rows(batches):
+            n, ids_sha, decoded_sha = [], [], []
+            for x in part.columns[-1].to_pylist():
+                ids = coder.encode(x) if of_text else x
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
+                [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
+def _typed(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 _CHUNK_ROWS = pa.schema([
     ("key", pa.binary()), ("part", pa.int64()), ("last", pa.bool_()), ("open", pa.bool_()), ("chunk", pa.string())])
 
@@ -151,6 +185,22 @@ def stitched_pieces(docs: DataFrame, files: Files, chunk: int = CHUNK, overlap:
     return pieces.groupBy("key", "piece").agg(F.expr("listagg(text) WITHIN GROUP (ORDER BY part)").alias("text"))
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _long_ids(bare: DataFrame, files: Files, chunk: int, overlap: int) -> DataFrame:
+    """(doc_id, ids) of the texts of more than one chunk."""
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("-")), F.lit("/"), F.col("text")), 256))
+    long = bare.filter(F.length("text") > chunk).groupBy(key.alias("key")).agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    pieces = stitched_pieces(long, files, chunk, overlap).repartition("key", "piece").select("key", "piece", "text")
+    whole = pieces.mapInArrow(_encode(files), f"{_typed(pieces, 'key', 'piece')}, ids binary").groupBy("key").agg(
+        F.expr("listagg(ids) WITHIN GROUP (ORDER BY piece)").alias("ids"))
+    named = whole.join(long.select("key", "doc_id", "copies"), "key")
+    return named.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("doc_id", "ids")
+
+
 def encode(docs: DataFrame, files: Files, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids) of every row of ``docs``: ids as little-endian unsigned 32-bit integers, without special tokens.
 
@@ -158,26 +208,23 @@ def encode(docs: DataFrame, files: Files, chunk: int = CHUNK, overlap: int = OVE
     cluster, stitched and encoded by pieces; their ids meet again in order. Rows of one long text and id are
     encoded once and multiplied. Null text counts as empty; columns other than doc_id and text are dropped.
     """
-    to_ids = _encoder(files)
-    bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = bare.filter(F.length("text") <= chunk).select("doc_id", to_ids("text").alias("ids"))
-    key = F.unhex(F.sha2(F.concat(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("-")), F.lit("/"), F.col("text")), 256))
-    long = bare.filter(F.length("text") > chunk).groupBy(key.alias("key")).agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    pieces = stitched_pieces(long, files, chunk, overlap).repartition("key", "piece").select("key", "piece", to_ids("text").alias("ids"))
-    whole = pieces.groupBy("key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY piece)").alias("ids"))
-    named = whole.join(long.select("key", "doc_id", "copies"), "key")
-    each = named.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("doc_id", "ids")
-    return short.unionByName(each)
+    bare = _bare(docs)
+    short = bare.filter(F.length("text") <= chunk).mapInArrow(_encode(files), f"{_typed(bare, 'doc_id')}, ids binary")
+    return short.unionByName(_long_ids(bare, files, chunk, overlap))
 
 
 def decode(encoded: DataFrame, files: Files) -> DataFrame:
-    """Adds ``decoded``: the bytes of the ids, one after another."""
-    return encoded.withColumn("decoded", _decoder(files)(F.col("ids")))
+    """(doc_id, ids, decoded) from (doc_id, ids): the bytes of the ids, one after another."""
+    bare = encoded.select("doc_id", "ids")
+    return bare.mapInArrow(_decode(files), f"{_typed(bare, 'doc_id', 'ids')}, decoded binary")
+
 
+def digest(docs: DataFrame, files: Files, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Encode every row as ``encode`` does, decode the ids, and keep what identifies the ids and the decoded bytes.
 
-def digest(docs: DataFrame, files: Files) -> DataFrame:
-    """Encode and decode every row; what identifies the ids and the decoded bytes."""
-    return decode(encode(docs, files), files).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    The figures are made where the ids are, so that neither ids nor decoded bytes of short texts leave their task.
+    """
+    bare = _bare(docs)
+    kind = f"{_typed(bare, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    short = bare.filter(F.length("text") <= chunk).mapInArrow(_digest(files, True), kind)
+    return short.unionByName(_long_ids(bare, files, chunk, overlap).mapInArrow(_digest(files, False), kind))
