@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import bpe, chat, counts, decontam, langid, linededup, quality, tokenids
+from meshlark.llm import bpe, chat, counts, decontam, langid, linededup, neardup, quality, tokenids
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -116,3 +116,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
