@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import bpe, chat, counts, decontam, langid, linededup, neardup, quality, tokenids
+from meshlark.llm import bpe, chat, counts, decontam, langid, licences, linededup, neardup, quality, tokenids
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -121,3 +121,59 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+def paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: eight modules of 64 files a project, by doc_id. The first of a module is its licence file, the second of a project that of the project."""
+    n = F.col("doc_id")
+    project = F.concat(F.lit("p"), F.floor(n / 512))
+    module = F.concat(project, F.lit("/m"), F.floor(n / 64) % 8)
+    path = F.when(n % 64 == 0, F.concat(module, F.lit("/LICENSE"))).when(n % 512 == 1, F.concat(project, F.lit("/LICENSE"))).otherwise(
+        F.concat(module, F.lit("/"), n, F.lit(".txt")))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licences.NOTICES))
+
+
+@query("op1_licence_scan", f"""
+WITH notice(notice, licence, text) AS (VALUES {_NOTICES}),
+files AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 64 = 0 THEN 'p' || doc_id // 512 || '/m' || (doc_id // 64) % 8 || '/LICENSE'
+    WHEN doc_id % 512 = 1 THEN 'p' || doc_id // 512 || '/LICENSE'
+    ELSE 'p' || doc_id // 512 || '/m' || (doc_id // 64) % 8 || '/' || doc_id || '.txt' END AS path
+  FROM documents
+), parts AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM files
+  UNION ALL SELECT doc_id, text FROM files WHERE path LIKE '%/LICENSE'
+), unit AS (
+  SELECT row_number() OVER () AS unit, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(part), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS terms
+  FROM parts
+), filled AS (SELECT * FROM unit WHERE len(terms) > 0),
+word AS (
+  SELECT DISTINCT notice, licence, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM notice
+), said AS (SELECT unit, doc_id, len(terms) AS n_terms, unnest(terms) AS term FROM filled),
+met AS (SELECT * FROM said WHERE term IN (SELECT term FROM word)),
+total AS (SELECT count(*) + 1 AS n FROM filled),
+df AS (SELECT term, count(*) AS df FROM met GROUP BY term),
+weight AS (SELECT w.notice, w.licence, w.term, ln(n / (coalesce(df, 0) + 1)) ** 2 AS w FROM word w LEFT JOIN df USING (term), total),
+norm AS (SELECT notice, licence, sum(w) AS norm FROM weight GROUP BY ALL),
+size AS (
+  SELECT unit, doc_id, sum(w) + (any_value(n_terms) - count(*)) * ln(any_value(n)) ** 2 AS size
+  FROM met JOIN (SELECT DISTINCT term, w FROM weight) USING (term), total GROUP BY ALL
+), dot AS (SELECT unit, notice, sum(w) AS dot FROM met JOIN weight USING (term) GROUP BY ALL),
+score AS (
+  SELECT doc_id, licence, round(dot / sqrt(size * norm), 6) AS score FROM dot JOIN size USING (unit) JOIN norm USING (notice)
+), own AS (
+  SELECT doc_id, licence AS own, score FROM score WHERE score >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1
+), dirs AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS from_dir, own AS inherited FROM own JOIN files USING (doc_id) WHERE path LIKE '%/LICENSE'
+)
+SELECT f.doc_id, f.path, o.own, o.score, coalesce(o.own, m.inherited, p.inherited) AS licence,
+  CASE WHEN o.own IS NULL THEN coalesce(m.from_dir, p.from_dir) END AS from_dir
+FROM files f LEFT JOIN own o USING (doc_id)
+LEFT JOIN dirs m ON m.from_dir = regexp_replace(f.path, '/[^/]*$', '')
+LEFT JOIN dirs p ON p.from_dir = split_part(f.path, '/', 1)""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(paths(table(spark, sf_dir, "documents")), keep=("doc_id",))
