@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
+from meshlark.llm.counts import byte_letters
+from meshlark.llm.held import Held
 from meshlark.session import cut, fresh_dir
 
 ship(__name__)
@@ -36,19 +39,24 @@ MAGIC = b"MLIDS001"
 SEGMENT = 1 << 18
 BLOCK = 512
 LEVELS = 4
-HELD = 200_000
+HELD = 400_000
+
+
+#: Fixed value: how plain byte-level tokenizer files of the library split a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Tokenizer:
     """A tokenizer file of the tokenizers library.
 
-    Where the file says that pre-tokens are the plain byte-level ones, texts whose white space is single blanks and
-    line feeds are cut at those, and each distinct stretch goes through the library once as long as it is held:
-    no pre-token spans such a cut. All other texts go through the library whole.
+    Where the file says that pre-tokens are the plain byte-level ones, the library's model encodes each distinct
+    pre-token once as long as it is held. Otherwise, and where a text has a special token's string, the library
+    encodes the text as a whole.
     """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
+        import regex
         from tokenizers import Tokenizer as Library
 
         says = json.loads(content)
@@ -57,34 +65,19 @@ class Tokenizer:
         specials = [x["content"] for x in says.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
         self.library = Library.from_buffer(content)
-        self.held: dict[str, bytes] = {}
+        self.model, self.split = self.library.model, regex.compile(PATTERN).findall
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.pieces = Held(self._piece, HELD)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return array("I", [x.id for x in found]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out: list = [b""] * len(texts)
-        cuts, rest = {}, []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if self.plain and "\0" not in text and text.split() == text.replace("\n", " ").split(" ") and not self.special(text):
-                # each stretch but the first begins with its blank or line feed
-                cuts[k] = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            else:
-                rest.append(k)
-        for k, ids in zip(rest, self._whole([texts[k] for k in rest]), strict=True):
-            out[k] = ids
-        if len(self.held) > HELD:
-            self.held.clear()
-        missing = list(set().union(*cuts.values()).difference(self.held))
-        self.held.update(zip(missing, self._whole(missing), strict=True))
-        get = self.held.__getitem__
-        for k, pieces in cuts.items():
-            out[k] = b"".join(map(get, pieces))
-        return out
+        if self.plain and not self.special(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -253,7 +246,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> DataF
                 if out is None:
                     name = f"{path}/{uuid.uuid4().hex}.ids"
                     out, first = Writer(name), (ids[0], hashes[0])
-                for doc_id, found in zip(ids, tokenizer.encode(texts), strict=True):
+                for doc_id, found in zip(ids, map(tokenizer.encode, texts), strict=True):
                     out.add(doc_id, np.concatenate((np.frombuffer(found, "<u4"), end)))
         if out is not None:
             out.close()
@@ -270,7 +263,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> DataF
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone; each file is read by one task."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +280,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     pa.array(held.docs, pa.int64()), pa.array(starts[:-1] + row["start"]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a file is much work behind a short row: adaptive execution must not gather such rows in few tasks
+    return manifest.select("file", "start").repartition(max(1, manifest.count())).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(manifest: DataFrame, positions: DataFrame) -> DataFrame:
