@@ -19,9 +19,10 @@ COORDS = 256  # of a signature
 ROWS, BANDS = 4, 24  # the first ROWS * BANDS coordinates make the bands
 #: Darts thrown before the first look whether every coordinate has one: k ln k + 2 k.
 DARTS = int(COORDS * np.log(COORDS) + 2 * COORDS)
-#: Of 256 coordinates' last four bits: two texts of similarity 0.8 differ in 48 of them on average, with a standard
-#: deviation of 6; more differences than this mean a similarity below 0.8.
+#: Of 256 coordinates' last four bits, two texts of similarity 0.8 differ in 48 on average, with a standard deviation
+#: of 6.2; more differences than this, five deviations off, are taken for a similarity below 0.8.
 MOST_DIFFERENT = 80
+BLOCK = 1024  # rows of a band that a task compares with as many others
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -129,8 +130,8 @@ def _plausible(least: float) -> Column:
     return (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (_different("sketch_a", "sketch_b") <= MOST_DIFFERENT)
 
 
-def _marked(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "sketch", "doc_id", "th")))
+def _marked(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
 def _star(keyed: DataFrame) -> DataFrame:
@@ -139,6 +140,71 @@ def _star(keyed: DataFrame) -> DataFrame:
     return keyed.join(firsts, "key").filter(F.col("node") != F.col("node_b")).select(F.col("node").alias("node_a"), "node_b")
 
 
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _parted_links(least: float):
+    """Links between the rows of two blocks that join different labels, the nearest pairs by sketch tried first.
+
+    A pair whose labels a link of these rows has joined already is not compared, nor one that shares an earlier band.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        numbers = {c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("sketch", "bands")}
+        sketch, bands = numbers["sketch"].view(np.uint64), numbers["bands"]
+        n, block = rows.column("n").to_numpy(), rows.column("block").to_numpy()
+        _, label = np.unique(np.array([x.hex() for x in rows.column("label").to_pylist()]), return_inverse=True)
+        key, lo, hi = (rows.column(c)[0].as_py() for c in ("key", "lo", "hi"))
+        ours, theirs = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        found = []
+        for k, i in enumerate(ours):
+            js = theirs[k + 1:] if lo == hi else theirs
+            js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= least * np.maximum(n[js], n[i]))]
+            x = sketch[js] ^ sketch[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            different = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+            ok = (different <= MOST_DIFFERENT) & (bands[i][(bands[js] == bands[i]).argmax(axis=1)] == key)
+            found += [(d, int(i), int(j)) for d, j in zip(different[ok].tolist(), js[ok], strict=True)]
+        joined = list(range(label.max() + 1))
+        held: dict[int, np.ndarray] = {}
+
+        def root(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = k = joined[joined[k]]
+            return k
+
+        out = []
+        for _, i, j in sorted(found):
+            a, b = root(label[i]), root(label[j])
+            if a != b:
+                for k in (i, j):
+                    if k not in held:
+                        held[k] = units(rows.column("text")[k].as_py())
+                if _alike(held[i], held[j], least):
+                    joined[a] = b
+                    out.append({"node_a": rows.column("node")[i].as_py(), "node_b": rows.column("node")[j].as_py()})
+        return pa.Table.from_pylist(out, pa.schema([("node_a", pa.binary()), ("node_b", pa.binary())]))
+
+    return compare
+
+
+def parted_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node_a, node_b), verified, for rows of (key, node, label, n, sketch, bands): what joins labels that meet in a key.
+
+    A key's rows are dealt into blocks of about BLOCK by the node's hash, and every two blocks of a key are compared
+    in a task of their own, which holds no more than those.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK)
+    dealt = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key").join(texts, "node").withColumn(
+        "block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = dealt.select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n", "sketch", "bands", "text")
+    return met.groupBy("key", "lo", "hi").applyInArrow(_parted_links(least), "node_a binary, node_b binary")
+
+
 def _similar(least: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -149,21 +215,16 @@ def _similar(least: float):
                     if node != last:
                         last, held = node, units(b.as_py())
                     u = units(a.as_py())
-                    both = len(np.intersect1d(u, held, assume_unique=True))
-                    keep.append(both >= least * (len(u) + len(held) - both))
+                    keep.append(_alike(u, held, least))
                 yield part.select(["node_a", "node_b"]).filter(pa.array(keep, pa.bool_()))
 
     return compare
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The (node_a, node_b) pairs whose texts are as similar as ``least``, compared exactly."""
-    named = pairs.select("node_a", "node_b", "doc_id_a", "th_a", "doc_id_b", "th_b")
-    for side in ("a", "b"):
-        text = texts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("text").alias(f"text_{side}"))
-        named = named.join(text, F.col(f"doc_id_{side}").eqNullSafe(F.col("_id")) & (F.col(f"th_{side}") == F.col("_th"))).drop(
-            "_id", "_th", f"doc_id_{side}", f"th_{side}")
-    return named.select("node_a", "node_b", "text_a", "text_b").mapInArrow(_similar(least), "node_a binary, node_b binary")
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The (node_a, node_b) pairs whose (node, text) are as similar as ``least``, compared exactly."""
+    met = pairs.select("node_a", "node_b").join(_marked(texts, "a", "node", "text"), "node_a").join(_marked(texts, "b", "node", "text"), "node_b")
+    return met.select("node_a", "node_b", "text_a", "text_b").mapInArrow(_similar(least), "node_a binary, node_b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,8 +255,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Rows with the same shingles are one node from the start, so exact copies, however many, are never paired.
     Nodes that share a band of the signature meet by joins on the band's hash: first each with the smallest node of
     the band, and of two bands together; then, once components are known, those nodes of a band that are still in
-    different components, if sizes and sketches allow ``least``. Every pair that counts is verified on the texts.
-    Two texts of similarity 0.8 share none of 24 bands once in 300,000 times.
+    different components, block by block, where sizes and sketches allow ``least``. Every link is verified on the texts.
+    Two texts of similarity 0.8 share none of 24 bands once in 300,000 times, and are held for less alike by their
+    sketches once in three million; the more alike, the rarer. What is left to compare after the first links grows
+    with the square of the texts that share a band without belonging together.
 
     Null and empty texts, or texts without words, are classes of their own, each row by its doc_id; a null doc_id
     counts as the smallest of a class only if there is no other. Other columns are dropped.
@@ -205,28 +268,24 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nodes = cut(signed.filter("n > 0").groupBy("node").agg(
         F.min(F.struct("doc_id", "th")).alias("home"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")).select("node", "n", "bands", "sketch", "home.doc_id", "home.th"), "texts")
-    if not signed.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["doc_id", "th"])
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key")
     keyed = cut(keyed.join(shared, "key"), "shared-bands")
-    crowd = nodes.join(keyed.select("node").distinct(), "node")
+    crowd = cut(nodes.join(keyed.select("node").distinct(), "node"), "crowd")
+    home = crowd.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    held = cut(texts.join(home, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(
+        ["node"]), "crowd-texts")
     doubled = crowd.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(
         k, F.get("bands", k), F.get("bands", (k + 1) % BANDS)))).alias("key"))
     pairs = _star(keyed).union(_star(doubled)).distinct()
-    a, b = _marked(nodes, "a"), _marked(nodes, "b")
-    stars = pairs.join(a, "node_a").join(b, "node_b").filter(_plausible(least))
-    links = cut(verified(stars, nodes, texts, least), "near-links")
+    sized = crowd.select("node", "n", "sketch")
+    stars = pairs.join(_marked(sized, "a", *sized.columns), "node_a").join(_marked(sized, "b", *sized.columns), "node_b").filter(_plausible(least))
+    links = cut(verified(stars, held, least), "near-links")
     labels = components(links)
     placed = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    open_rows = cut(placed.join(mixed_keys, "key").join(nodes.select("node", "n", "sketch"), "node"), "open-bands")
-    left = open_rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "sketch")))
-    right = open_rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "sketch")))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & _plausible(least))
-    rest = cut(rest.select("node_a", "node_b").distinct(), "open-pairs")
-    homes = [nodes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "doc_id", "th"))) for side in ("a", "b")]
-    more = cut(verified(rest.join(homes[0], "node_a").join(homes[1], "node_b"), nodes, texts, least), "near-links")
+    parted = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    rows = cut(placed.join(parted, "key").join(crowd.select("node", "n", "sketch", "bands"), "node"), "parted-bands")
+    more = cut(parted_links(rows, held, least), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     of_node = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
