@@ -1,106 +1,22 @@
-"""Layout helpers for groups that may hold a large share of all rows.
+"""Running sums and ranks within groups that may hold a large share of all rows.
 
-Plain group-bys with sum/min/max/count combine on the map side and need no
-help. Two shapes do: a numbering or running sum *within* a group, and a join
-of many rows with the one row of their group. Both first look for hot groups
-with a one-pass mergeable sketch (a fixed-size result, whatever the input) and
-use the plain plan when there are none.
+Other shapes need no helper: group-bys with sum, min, max or count combine on the map side, and a join of many rows
+with the one row of their group is left to Spark, which broadcasts the small side by its size or splits skewed
+partitions as it runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from meshlark.session import cut
+PIECE = 65_536
 
-HOT_ROWS_CONF = "spark.meshlark.hotGroupRows"
-HOT_ROWS_DEFAULT = 2_000_000
-_TRACKED = 20_000
-_REPORTED = 1_000
-SALTS = 64
 
-
-def hot_group_rows(spark: SparkSession) -> int:
-    """Rows one task may take from a single group before the group is split."""
-    return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-
-
-def key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Hash of the keys that agrees between sides whose integer or float widths differ, and for 0.0 and -0.0."""
-
-    def plain(k: str) -> Column:
-        kind = df.schema[k].dataType
-        if isinstance(kind, T.IntegralType):
-            return F.col(k).cast("long")
-        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
-            return F.col(k).cast("double") + F.lit(0.0)
-        return F.col(k)
-
-    return F.xxhash64(*[plain(k) for k in keys])
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the groups holding more rows than one task should take.
-
-    The list only steers the layout: a group missed here or named needlessly
-    (hash collision) changes the plan, never the result. At most 1000 entries.
-    """
-    limit = hot_group_rows(df.sparkSession)
-    sketch = (
-        df.select(key_hash(df, keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {_REPORTED}, {_TRACKED})").alias("top"))
-        .first()
-    )
-    return [r["item"] for r in (sketch["top"] or []) if r["count"] > limit]
-
-
-def _split_running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Mapping[str, Column], totals: Mapping[str, str]
-) -> DataFrame:
-    """Running sums over groups of any size: range-partitioned pieces plus the sum of earlier pieces."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = df.columns
-    valued = df.select("*", *[v.alias(f"_v_{o}") for o, v in values.items()])
-    pieces = cut(
-        valued.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_piece", F.spark_partition_id()),
-        "ranges",
-    )
-    per_piece = pieces.groupBy("_piece", *keys).agg(*[F.sum(f"_v_{o}").alias(f"_s_{o}") for o in values])
-    # at most one row per (group, piece): a group spans no more pieces than there are partitions
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = per_piece.select(
-        "_piece",
-        *keys,
-        *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in values],
-        *[F.sum(f"_s_{o}").over(whole).alias(name) for o, name in totals.items()],
-    )
-    local = (
-        Window.partitionBy("_piece", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        pieces.select("*", *[F.sum(f"_v_{o}").over(local).alias(f"_r_{o}") for o in values])
-        .join(offsets, ["_piece", *keys])
-        .select(
-            *cols,
-            *[(F.col(f"_r_{o}") + F.col(f"_o_{o}")).alias(o) for o in values],
-            *totals.values(),
-        )
-    )
-
-
-def _plain_running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Mapping[str, Column], totals: Mapping[str, str]
-) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    return df.select(
-        "*",
-        *[F.sum(v).over(w).alias(o) for o, v in values.items()],
-        *[F.sum(values[o]).over(whole).alias(name) for o, name in totals.items()],
-    )
+def piece_of(number: Column | str) -> Column:
+    """A piece column for rows ordered by a whole number that few rows share."""
+    return F.floor((F.col(number) if isinstance(number, str) else number) / PIECE)
 
 
 def running(
@@ -109,45 +25,44 @@ def running(
     order: Sequence[Column | str],
     values: Mapping[str, Column],
     totals: Mapping[str, str] | None = None,
+    pieces: Sequence[Column] = (),
 ) -> DataFrame:
-    """Inclusive running sums of ``values`` within ``keys`` by ``order`` (a total order).
+    """Inclusive running sums of ``values`` within ``keys`` by ``order`` (a total order), null keys being one group.
 
-    ``totals`` maps a value name to a column for the group's whole sum. Without
-    keys the input is one group, so it always goes through the split form.
+    ``totals`` maps a value name to a column for the group's whole sum. ``pieces`` cut groups that may be large:
+    columns made of the rows' own values, such that sorting by ``order`` also sorts by them. A task then takes one
+    piece, and each adds the sums of the pieces before it; what is one row a piece is numbered in one task. The plan
+    is the same at any size, sums are added in a fixed order, and no job runs before the action.
     """
     totals = totals or {}
+    if not keys and not pieces:
+        raise ValueError("without keys the rows are one group; say how to cut it")
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if not keys:
-        return _split_running(df, keys, order, values, totals)
-    hot = hot_groups(df, keys)
-    if not hot:
-        return _plain_running(df, keys, order, values, totals)
-    is_hot = key_hash(df, keys).isin(hot)
-    return _plain_running(df.filter(~is_hot), keys, order, values, totals).unionByName(
-        _split_running(df.filter(is_hot), keys, order, values, totals)
-    )
+    to_here = Window.unboundedPreceding, Window.currentRow
+    if not pieces:
+        by = Window.partitionBy(*keys).orderBy(*order)
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.select(
+            "*", *[F.sum(v).over(by.rowsBetween(*to_here)).alias(o) for o, v in values.items()],
+            *[F.sum(values[o]).over(whole).alias(name) for o, name in totals.items()])
+    cols, marks = df.columns, [f"_p{k}" for k in range(len(pieces))]
+    marked = df.withColumns(dict(zip(marks, pieces, strict=True)))
+    local = Window.partitionBy(*keys, *marks).orderBy(*order)
+    rows = marked.select("*", F.row_number().over(local).alias("_k"), *[
+        F.sum(v).over(local.rowsBetween(*to_here)).alias(f"_r_{o}") for o, v in values.items()])
+    sums = rows.groupBy(*keys, *marks).agg(*[F.max_by(f"_r_{o}", "_k").alias(f"_s_{o}") for o in values])
+    by = Window.partitionBy(*keys).orderBy(*marks)
+    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    group = [*keys, *marks]
+    offsets = sums.select(
+        *[F.col(c).alias(f"_g_{c}") for c in group], *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in values],
+        *[F.sum(f"_s_{o}").over(whole).alias(name) for o, name in totals.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    return rows.join(offsets, same).select(*cols, *[(F.col(f"_r_{o}") + F.col(f"_o_{o}")).alias(o) for o in values], *totals.values())
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rn", size: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rn", size: str | None = None, pieces: Sequence[Column] = (),
 ) -> DataFrame:
     """1-based row number within ``keys``; ``size`` also adds the group's row count."""
-    return running(df, keys, order, {out: F.lit(1).cast("long")}, {out: size} if size else None)
-
-
-def join_group_row(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join many rows with the single row of their group.
-
-    Rows of hot groups are spread over salts by ``spread`` (a row id), and only
-    the hot groups' rows of ``one`` are repeated, once per salt.
-    """
-    hot = hot_groups(many, keys)
-    if not hot:
-        return many.join(one, list(keys), how)
-    is_hot = lambda df: key_hash(df, keys).isin(hot)
-    left = many.withColumn("_salt", F.when(is_hot(many), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    salts = F.when(is_hot(one), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(salts))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return running(df, keys, order, {out: F.lit(1).cast("long")}, {out: size} if size else None, pieces)

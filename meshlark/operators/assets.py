@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.functions.skew import join_group_row
+
 from meshlark.functions.vector import rounded
 
 # fixed: the formats an importer exists for
@@ -48,7 +48,7 @@ def with_collisions(files: DataFrame, folder: str, filename: str | None = None)
     """Adds output_path and how many files would write to it."""
     named = files.withColumn("output_path", output_path(folder, F.col("path"), filename))
     counts = named.groupBy("output_path").agg(F.count("*").alias("n_same"))
-    return join_group_row(named, counts, ["output_path"], ["path"])
+    return named.join(counts, ["output_path"])
 
 
 def format_routing(files: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def validation_summary(reports: DataFrame) -> DataFrame:
 def render_metadata(items: DataFrame, bbox: DataFrame, cameras: DataFrame, resolution: tuple[int, int] = (512, 512)) -> DataFrame:
     """Per item (id, obj_id, cam_id, input_path): file, resolution, box and camera with their defaults."""
     zero = F.lit(0.0)
-    joined = join_group_row(items, bbox, ["obj_id"], ["id"], "left").join(
+    joined = items.join(bbox, ["obj_id"], "left").join(
         cameras.select("cam_id", "focal_length", "pos_x", "pos_y", "pos_z"), "cam_id", "left"
     )
     return joined.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions import vector as V
-from meshlark.functions.skew import join_group_row
+
 from meshlark.functions.vector import rounded
 from meshlark.operators.mesh import rings
 
@@ -37,7 +37,7 @@ def frame_objects(cameras: DataFrame, spheres: DataFrame, margin: float = 1.3) -
     """
     lens, sensor = F.coalesce("lens", F.lit(FOCAL)), F.coalesce("sensor_width", F.lit(SENSOR))
     tan_half = F.tan(F.lit(2.0) * F.atan(sensor / (lens * 2.0)) / 2.0)
-    joined = join_group_row(cameras, spheres, ["obj_id"], ["cam_id"], "left")
+    joined = cameras.join(spheres, ["obj_id"], "left")
     off = {f"o{c}": F.col(c) - F.col(f"c{c}") for c in "xyz"}
     size = V.length(V.vec("ox", "oy", "oz"))
     fallback = sum(v * v for v in FALLBACK_DIRECTION) ** 0.5
@@ -85,7 +85,7 @@ def depth_shade(depth: Column, clip_start: float = CLIP_START, clip_end: float =
 
 def view_depth(points: DataFrame, basis: DataFrame, clip_end: float = CLIP_END, near_white: bool = True) -> DataFrame:
     """Distance of each point along its camera's view axis, and its grey value."""
-    joined = join_group_row(points, basis, ["obj_id"], ["pt_id"])
+    joined = points.join(basis, ["obj_id"])
     return joined.withColumn("depth", V.dot(_from_eye(), V.vec("fx", "fy", "fz"))).select(
         *points.columns, "depth", depth_shade(F.col("depth"), CLIP_START, clip_end, near_white).alias("shade")
     )
@@ -93,7 +93,7 @@ def view_depth(points: DataFrame, basis: DataFrame, clip_end: float = CLIP_END,
 
 def depth_raster(points: DataFrame, basis: DataFrame, width: int, height: int, lens: float = FOCAL, sensor: float = SENSOR) -> DataFrame:
     """(obj_id, col, row, depth, pt_id): the nearest point in each pixel of each object's camera."""
-    joined = join_group_row(points, basis, ["obj_id"], ["pt_id"])
+    joined = points.join(basis, ["obj_id"])
     k = lens / (sensor / 2.0)
     d = _from_eye()
     seen = (
@@ -111,7 +111,7 @@ def normalized_raster(raster: DataFrame) -> DataFrame:
     """Depth to 0..1 between each picture's nearest and farthest pixel."""
     ends = raster.groupBy("obj_id").agg(F.min("depth").alias("_lo"), F.max("depth").alias("_hi"))
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return join_group_row(raster, ends, ["obj_id"], ["col", "row"]).withColumn(
+    return raster.join(ends, ["obj_id"]).withColumn(
         "value", F.coalesce((F.col("depth") - F.col("_lo")) / span, F.lit(0.0))
     ).drop("_lo", "_hi")
 
@@ -123,14 +123,14 @@ def contour_edges(loops: DataFrame, vertices: DataFrame, basis: DataFrame) -> Da
     # the face's side is read off its first two fan edges: corners 0, 1 and 2
     second = ring.filter("pos = 1").select("obj_id", "face_id", "v0", F.col("vert_id").alias("v1"), F.col("b").alias("v2"))
     faces = second.join(corner("v0", "i"), ["obj_id", "v0"]).join(corner("v1", "j"), ["obj_id", "v1"]).join(corner("v2", "k"), ["obj_id", "v2"])
-    faces = join_group_row(faces, basis.select("obj_id", "px", "py", "pz"), ["obj_id"], ["face_id"])
+    faces = faces.join(basis.select("obj_id", "px", "py", "pz"), ["obj_id"])
     i, j, k = V.vec("ix", "iy", "iz"), V.vec("jx", "jy", "jz"), V.vec("kx", "ky", "kz")
     toward = V.dot(V.sub(V.vec("px", "py", "pz"), i), V.cross(V.sub(j, i), V.sub(k, i))) >= 0
     facing = faces.select("obj_id", "face_id", toward.cast("int").alias("facing"))
     edges = ring.filter(F.col("vert_id") != F.col("b")).select(
         "obj_id", "face_id", "pos", F.least("vert_id", "b").alias("v_lo"), F.greatest("vert_id", "b").alias("v_hi")
     )
-    sided = join_group_row(edges, facing, ["obj_id", "face_id"], ["pos"])
+    sided = edges.join(facing, ["obj_id", "face_id"])
     return (
         sided.groupBy("obj_id", "v_lo", "v_hi")
         .agg(F.count("*").alias("uses"), F.min("facing").alias("lo"), F.max("facing").alias("hi"))

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.functions.skew import join_group_row, rank_within
+from meshlark.functions.skew import piece_of, rank_within
 
 # fixed message texts
 MISSING_REQUIREMENTS = "missing requirements: "
@@ -48,9 +48,9 @@ def fan_in(items: DataFrame, root: str, *aggs: Column) -> DataFrame:
     return items.groupBy(root).agg(*aggs)
 
 
-def fan_in_members(items: DataFrame, root: str, order: Sequence[str], member: str) -> DataFrame:
-    """The merged item's ordered list, one row per entry: a root may own any number of members."""
-    return rank_within(items.select(root, member, *[o for o in order if o != member]), [root], order, "rn").select(
+def fan_in_members(items: DataFrame, root: str, order: Sequence[str], member: str, pieces: Sequence[Column] = ()) -> DataFrame:
+    """The merged item's ordered list, one row per entry; ``pieces`` cut the lists of roots with very many members."""
+    return rank_within(items.select(root, member, *[o for o in order if o != member]), [root], order, "rn", pieces=pieces).select(
         root, (F.col("rn") - 1).alias("ord"), member
     )
 
@@ -196,7 +196,7 @@ def _stops() -> Column:
 def first_failure_cut(runs: DataFrame) -> DataFrame:
     """Steps that ran: all up to and including a run's first failure that does not carry on."""
     cuts = runs.groupBy("run_id").agg(F.min(F.when(_stops(), F.col("idx"))).alias("_cut"))
-    kept = join_group_row(runs, cuts, ["run_id"], ["idx"])
+    kept = runs.join(cuts, ["run_id"])
     return kept.filter(F.col("_cut").isNull() | (F.col("idx") <= F.col("_cut"))).drop("_cut")
 
 
@@ -247,7 +247,7 @@ def group_failure_details(runs: DataFrame) -> DataFrame:
 
 def step_labels(runs: DataFrame, width: int = 3) -> DataFrame:
     """NNN_name with one running index over the batch, step-major."""
-    numbered = rank_within(runs.select("run_id", "idx", "step_key"), [], ["idx", "run_id"], "rn")
+    numbered = rank_within(runs.select("run_id", "idx", "step_key"), [], ["idx", "run_id"], "rn", pieces=[F.col("idx"), piece_of("run_id")])
     return numbered.select(
         "run_id", "idx", F.concat(F.format_string(f"%0{width}d", F.col("rn")), F.lit("_"), F.col("step_key")).alias("label")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshlark.functions import vector as V
-from meshlark.functions.skew import hot_groups, join_group_row, key_hash, rank_within, running
+from meshlark.functions.skew import piece_of, rank_within, running
 from meshlark.functions.vector import rounded
 
 UNIT_TOLERANCE = 0.001  # scale or rotation further than this from identity counts
@@ -119,7 +119,7 @@ def bounding_sphere(corners: DataFrame, *by: str) -> DataFrame:
     mid = corners.groupBy(*by).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
     d = V.sub(V.vec("x", "y", "z"), V.vec("cx", "cy", "cz"))
     if by:
-        joined = join_group_row(corners, mid, by, ["x", "y", "z"])
+        joined = corners.join(mid, list(by))
     else:
         joined = corners.withColumn("_mid", mid.select(F.struct("cx", "cy", "cz")).scalar()).select("*", "_mid.*").drop("_mid")
     return joined.groupBy(*by, "cx", "cy", "cz").agg(F.max(V.length(d)).alias("radius"))
@@ -151,25 +151,12 @@ def box_faces(bounds: DataFrame, *by: str) -> DataFrame:
 def rings(loops: DataFrame) -> DataFrame:
     """Each corner with its successor ``b`` round the face and the face's first corner ``v0``.
 
-    Uses the partitioning the loops already have. A face with too many corners
-    for one task is matched corner to corner by position instead.
+    The successor is the next corner there is, whatever gaps the positions have. One shuffle on the face, or none
+    where the loops have that partitioning already; a face's corners are one face of a mesh file.
     """
-    loops = loops.filter("n >= 3")
     w = Window.partitionBy("face_id").orderBy("pos")
-
-    def by_window(df: DataFrame) -> DataFrame:
-        first = F.first("vert_id").over(w)
-        return df.select("*", F.coalesce(F.lead("vert_id").over(w), first).alias("b"), first.alias("v0"))
-
-    hot = hot_groups(loops, ["face_id"])
-    if not hot:
-        return by_window(loops)
-    is_hot = key_hash(loops, ["face_id"]).isin(hot)
-    big = loops.filter(is_hot)
-    follow = big.select("face_id", F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("vert_id").alias("b"))
-    start = big.filter("pos = 0").select("face_id", F.col("vert_id").alias("v0"))
-    matched = join_group_row(big.join(follow, ["face_id", "pos"]), start, ["face_id"], ["pos"])
-    return by_window(loops.filter(~is_hot)).unionByName(matched)
+    first = F.first("vert_id").over(w)
+    return loops.filter("n >= 3").select("*", F.coalesce(F.lead("vert_id").over(w), first).alias("b"), first.alias("v0"))
 
 
 def face_edges(loops: DataFrame) -> DataFrame:
@@ -195,13 +182,13 @@ def boundary_faces(loops: DataFrame) -> DataFrame:
 
 def compacted(vertex_ids: DataFrame) -> DataFrame:
     """New vertex ids 0.. per object, in id order."""
-    return rank_within(vertex_ids, ["obj_id"], ["vert_id"], "rn").withColumn("new_id", F.col("rn") - 1).drop("rn")
+    return rank_within(vertex_ids, ["obj_id"], ["vert_id"], "rn", pieces=[piece_of("vert_id")]).withColumn("new_id", F.col("rn") - 1).drop("rn")
 
 
 def renumber(loops: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace ``vert_id`` by its ``new_id``."""
     m = mapping.select("obj_id", "vert_id", "new_id")
-    return join_group_row(loops, m, ["obj_id", "vert_id"], ["face_id", "pos"]).drop("vert_id").withColumnRenamed("new_id", "vert_id")
+    return loops.join(m, ["obj_id", "vert_id"]).drop("vert_id").withColumnRenamed("new_id", "vert_id")
 
 
 def single_sided_faces(loops: DataFrame) -> DataFrame:
@@ -253,7 +240,7 @@ def bad_faces(loops: DataFrame, invalid: bool = False) -> DataFrame:
         sets = sets.filter("times = 1")
     key = ["obj_id", "k", "lo", "hi", "h1", "h2"]
     first = sets.groupBy(*key).agg(F.min("face_id").alias("first_face"))
-    later = join_group_row(sets, first, key, ["face_id"]).filter("face_id > first_face").select("obj_id", "face_id")
+    later = sets.join(first, key).filter("face_id > first_face").select("obj_id", "face_id")
     return later.unionByName(broken) if invalid else later
 
 
@@ -265,7 +252,7 @@ def append_mesh(target: DataFrame, n_target: DataFrame, source: DataFrame) -> Da
     """Append the source's loops to the target's of the same object, past its ``n_vertices``; bad source faces are skipped."""
     offsets = n_target.select("obj_id", F.col("n_vertices").alias("_offset"))
     clean = drop_bad_faces(source, invalid=True)
-    moved = join_group_row(clean, offsets, ["obj_id"], ["face_id", "pos"], "left").withColumn(
+    moved = clean.join(offsets, ["obj_id"], "left").withColumn(
         "vert_id", F.col("vert_id") + F.coalesce("_offset", F.lit(0))
     )
     return target.withColumn("part", F.lit("target")).unionByName(moved.drop("_offset").withColumn("part", F.lit("source")))
@@ -274,7 +261,7 @@ def append_mesh(target: DataFrame, n_target: DataFrame, source: DataFrame) -> Da
 def vertex_offsets(vertex_ids: DataFrame) -> DataFrame:
     """First vertex number of every object in one merged mesh, in object order (object rows only)."""
     sizes = vertex_ids.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
-    return running(sizes, [], ["obj_id"], {"_end": F.col("n_vertices")}).select(
+    return running(sizes, [], ["obj_id"], {"_end": F.col("n_vertices")}, pieces=[piece_of("obj_id")]).select(
         "obj_id", (F.col("_end") - F.col("n_vertices")).alias("offset")
     )
 
@@ -282,7 +269,7 @@ def vertex_offsets(vertex_ids: DataFrame) -> DataFrame:
 def merged_ids(vertex_ids: DataFrame) -> DataFrame:
     """(obj_id, vert_id, new_id) of the merged mesh."""
     local = compacted(vertex_ids)
-    return join_group_row(local, vertex_offsets(vertex_ids), ["obj_id"], ["vert_id"]).select(
+    return local.join(vertex_offsets(vertex_ids), ["obj_id"]).select(
         "obj_id", "vert_id", (F.col("new_id") + F.col("offset")).alias("new_id")
     )
 
@@ -300,13 +287,13 @@ def place_vertices(vertices: DataFrame, objects: DataFrame, keep_location: bool
     """World-space vertices; ``keep_location`` bakes scale and rotation only."""
     moved = objects.select("obj_id", "scale_x", "rot_z", *[(F.lit(0.0) if keep_location else F.col(c)).alias(c) for c in ("loc_x", "loc_y", "loc_z")])
     x, y, z = placed(*V.vec("x", "y", "z"))
-    return join_group_row(vertices, moved, ["obj_id"], ["vert_id"]).select("obj_id", "vert_id", x.alias("x"), y.alias("y"), z.alias("z"))
+    return vertices.join(moved, ["obj_id"]).select("obj_id", "vert_id", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
 def flip_negative(loops: DataFrame, objects: DataFrame) -> DataFrame:
     """Reverse the ring of faces whose object has a negative scale product."""
     mirrored = objects.select("obj_id", (F.col("scale_x") < 0).alias("_neg"))
-    return join_group_row(loops, mirrored, ["obj_id"], ["face_id", "pos"]).withColumn(
+    return loops.join(mirrored, ["obj_id"]).withColumn(
         "pos", F.when(F.col("_neg"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))
     ).drop("_neg")
 
@@ -317,7 +304,7 @@ def center_at_origin(vertices: DataFrame, objects: DataFrame, zero_rotation: boo
         objects = objects.withColumn("rot_z", F.lit(0.0))
     mid = world_corners(local_bounds(vertices, "obj_id"), objects).groupBy("obj_id").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
     world = place_vertices(vertices, objects)
-    return join_group_row(world, mid, ["obj_id"], ["vert_id"]).select(
+    return world.join(mid, ["obj_id"]).select(
         "obj_id", "vert_id", *[(F.col(c) - F.col(f"c{c}")).alias(c) for c in "xyz"]
     )
 

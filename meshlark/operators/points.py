@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions import vector as V
 from meshlark.functions.noise import signed, uniform
-from meshlark.functions.skew import join_group_row, rank_within, running
+from meshlark.functions.skew import piece_of, rank_within, running
 from meshlark.operators.mesh import face_areas, local_bounds, tri_cross
 
 MAX_DISTANCE = 1e9  # distances are clamped to [0, this] before they are normalised
@@ -88,7 +88,7 @@ def box_sdf(inset: Column | float = 0.0) -> Column:
 
 def sdf_difference(points: DataFrame, bounds: DataFrame, divisions: float = 200.0) -> DataFrame:
     """Box minus geometry: adds ``diff`` = max(box, -sdf), the box drawn in by 1.5 voxels."""
-    boxed = join_group_row(points, bounds, ["obj_id"], ["pt_id"])
+    boxed = points.join(bounds, ["obj_id"])
     inset = _diagonal() / divisions * 1.5
     return boxed.withColumn("diff", F.greatest(box_sdf(inset), -F.col("sdf"))).select(*points.columns, "diff")
 
@@ -106,7 +106,7 @@ def normalize_attr(points: DataFrame, attr: str = "sdf", out: str = "norm", by:
     """Clamp to [0, 1e9] and divide by the largest; 0 where that is 0. One combined maximum, no window."""
     clamped = F.least(F.greatest(F.col(attr), F.lit(0.0)), F.lit(MAX_DISTANCE))
     top = points.groupBy(*by).agg(F.max(clamped).alias("_top"))
-    joined = join_group_row(points, top, by, spread) if by else points.withColumn("_top", top.scalar())
+    joined = points.join(top, list(by)) if by else points.withColumn("_top", top.scalar())
     return joined.withColumn(out, F.when(F.col("_top") > 0, clamped / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
@@ -152,12 +152,13 @@ def order_by_angle(
     """Adds angle, ord (from 0) and n: order round z about the centroid or ``center``, ties by key."""
     if center is None:
         mids = centroid(points, "obj_id").select("obj_id", "cx", "cy")
-        joined = join_group_row(points, mids, ["obj_id"], list(key))
+        joined = points.join(mids, ["obj_id"])
     else:
         joined = points.withColumns({"cx": F.lit(center[0]), "cy": F.lit(center[1])})
     angled = joined.withColumn("angle", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))).drop("cx", "cy")
     first = F.col("angle").desc() if clockwise else F.col("angle").asc()
-    ranked = rank_within(angled, ["obj_id"], [first, *[F.col(k) for k in key]], "rn", size="n")
+    sector = F.floor((-F.col("angle") if clockwise else F.col("angle")) * 4096)
+    ranked = rank_within(angled, ["obj_id"], [first, *[F.col(k) for k in key]], "rn", size="n", pieces=[sector])
     return ranked.withColumn("ord", F.col("rn") - 1).drop("rn")
 
 
@@ -195,7 +196,7 @@ def area_weighted_sample(tris: DataFrame, draws: DataFrame, seed: int = 0) -> Da
     the faces of its bucket. That is about two face rows per bucket in all,
     whatever the areas. An object without faces gives the origin.
     """
-    faces = running(face_areas(tris), ["obj_id"], ["tri_id"], {"hi": F.col("area"), "rn": F.lit(1).cast("long")}, {"hi": "total", "rn": "n"})
+    faces = running(face_areas(tris), ["obj_id"], ["tri_id"], {"hi": F.col("area"), "rn": F.lit(1).cast("long")}, {"hi": "total", "rn": "n"}, [piece_of("tri_id")])
     bucket = lambda c: F.least(F.floor(c * F.col("n")).cast("long"), F.col("n") - 1)
     last = F.col("rn") == F.col("n")
     spans = (
@@ -204,7 +205,7 @@ def area_weighted_sample(tris: DataFrame, draws: DataFrame, seed: int = 0) -> Da
         .withColumn("_b", F.explode(F.sequence(bucket(F.greatest("lo", F.lit(0.0))), bucket(F.col("hi")))))
     )
     sizes = faces.groupBy("obj_id").agg(F.max("n").alias("n"))
-    drawn = join_group_row(draws.select("obj_id", "draw"), sizes, ["obj_id"], ["draw"], "left").withColumn(
+    drawn = draws.select("obj_id", "draw").join(sizes, ["obj_id"], "left").withColumn(
         "u", uniform(seed, F.lit("face"), "obj_id", "draw")
     )
     asked = drawn.withColumn("_b", bucket(F.col("u"))).drop("n")
@@ -250,7 +251,7 @@ def polygon_scatter(fans: DataFrame, radius: float, overlap: float = 0.7, seed:
     r1, r2 = _folded(uniform(seed, F.lit("r1"), "face_id", "k"), uniform(seed, F.lit("r2"), "face_id", "k"))
     corners = fans.withColumn("tri", F.col("tri").cast("long")).drop("_a")
     return (
-        join_group_row(picked, corners, ["obj_id", "face_id", "tri"], ["k"])
+        picked.join(corners, ["obj_id", "face_id", "tri"])
         .withColumns(_on_triangle(r1, r2))
         .select("obj_id", "face_id", "k", "x", "y", "z")
     )

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshlark.functions import vector as V
 from meshlark.functions.noise import uniform
-from meshlark.functions.skew import join_group_row, rank_within
 from meshlark.session import cut, spread
 
 CROWD = 64  # most rows a starting cell should hold
@@ -114,7 +113,9 @@ def knn(points: DataFrame, k: int = 8) -> DataFrame:
     copies = cut(copies, "places")
     places = copies.select("obj_id", F.col("first").alias("pt_id"), "x", "y", "z")
     near = _nearest_distinct(places, m)
-    members = rank_within(points, place, ["pt_id"], "copy").filter(F.col("copy") <= m)
+    # a row number below a bound: Spark keeps the first m of a place before it shuffles
+    first = Window.partitionBy(*place).orderBy("pt_id")
+    members = points.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= m)
     member_ids = members.select("obj_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"), F.col("pt_id").alias("id"))
     w = Window.partitionBy("obj_id", "pt_id").orderBy("d2", "id")
     lists = (
@@ -128,7 +129,7 @@ def knn(points: DataFrame, k: int = 8) -> DataFrame:
     )
     others = F.slice(F.filter("near", lambda e: e["id"] != F.col("pt_id")), 1, k)
     return (
-        join_group_row(points, lists, place, ["pt_id"])
+        points.join(lists, place)
         .select("obj_id", "pt_id", F.posexplode(others).alias("pos", "e"))
         .select("obj_id", "pt_id", (F.col("pos") + 1).alias("rank"), F.col("e.id").alias("nb_id"), "e.d2", "e.nx", "e.ny", "e.nz")
     )

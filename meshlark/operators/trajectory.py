@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions import vector as V
-from meshlark.functions.skew import join_group_row, running
+from meshlark.functions.skew import piece_of, running
 
 TOO_FEW_POSITIONS = "Need at least 2 positions for linear keyframes"
 TOO_FEW_CONTROL_POINTS = "Need at least 2 control points for a Bezier path"
@@ -70,7 +70,7 @@ def static_orbit_jobs(static: DataFrame, modalities: tuple[str, ...] = ("rgb", "
 
 def _sized(waypoints: DataFrame) -> DataFrame:
     sizes = waypoints.groupBy("path_id").agg(F.count("*").alias("m"))
-    return join_group_row(waypoints, sizes, ["path_id"], ["idx"])
+    return waypoints.join(sizes, ["path_id"])
 
 
 def path_errors(waypoints: DataFrame, message: str = TOO_FEW_POSITIONS) -> DataFrame:
@@ -139,7 +139,7 @@ def follow_path(curve: DataFrame, frame_count: int = 150, frame_start: int = 1)
     prev = curve.select("path_id", (F.col("k") + 1).alias("k"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
     d = tuple(F.col(c) - F.col(f"q{c}") for c in "xyz")
     stepped = curve.join(prev, ["path_id", "k"], "left").select("path_id", "k", "x", "y", "z", F.coalesce(V.length(d), F.lit(0.0)).alias("step"))
-    along = running(stepped, ["path_id"], ["k"], {"at": F.col("step"), "rn": F.lit(1).cast("long")}, {"at": "total", "rn": "n"})
+    along = running(stepped, ["path_id"], ["k"], {"at": F.col("step"), "rn": F.lit(1).cast("long")}, {"at": "total", "rn": "n"}, [piece_of("k")])
     ends = along.select("path_id", (F.col("k") - 1).alias("k"), F.col("at").alias("to"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
     piece = along.join(ends, ["path_id", "k"])
     last = F.lit(frame_count - 1)
@@ -149,7 +149,8 @@ def follow_path(curve: DataFrame, frame_count: int = 150, frame_start: int = 1)
     still = F.when(F.col("rn") == 1, F.sequence(F.lit(0), last))  # a path without length stays at its start
     frames = F.when(F.col("total") <= 0, still).when(hi >= lo, F.sequence(lo, hi))
     gap = F.col("to") - F.col("at")
-    t = F.when(gap > 0, (F.col("i") / last * F.col("total") - F.col("at")) / gap).otherwise(0.0)
+    share = F.col("i") / last if frame_count > 1 else F.lit(0.0)  # a single frame is the start
+    t = F.when(gap > 0, (share * F.col("total") - F.col("at")) / gap).otherwise(0.0)
     return piece.withColumn("i", F.explode(frames)).select(
         "path_id", (F.col("i") + frame_start).alias("frame"), *[V.lerp(F.col(c), F.col(f"n{c}"), t).alias(c) for c in "xyz"]
     )
@@ -172,7 +173,7 @@ def aim_angles(dx: Column, dy: Column, dz: Column) -> tuple[Column, Column]:
 
 def look_at(eyes: DataFrame, targets: DataFrame, by: str = "obj_id", spread: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Adds the unit direction and angles from each eye to its group's target (tx, ty, tz)."""
-    joined = join_group_row(eyes, targets.select(by, "tx", "ty", "tz"), [by], list(spread))
+    joined = eyes.join(targets.select(by, "tx", "ty", "tz"), [by])
     d = tuple(F.col(f"t{c}") - F.col(c) for c in "xyz")
     size = F.nullif(V.length(d), F.lit(0.0))
     unit = joined.withColumns({f"d{c}": F.coalesce(e / size, F.lit(0.0)) for c, e in zip("xyz", d)})

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshlark.functions.skew import join_group_row
+
 from meshlark.session import cut
 
 
@@ -43,7 +43,7 @@ def climb(
         )
         found = F.col("_root").isNotNull()
         state = cut(
-            join_group_row(open_, above, ["_up"], [node], "left").select(
+            open_.join(above, ["_up"], "left").select(
                 node,
                 F.col("_next").alias("_up"),
                 F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth") - 1).alias("depth"),
@@ -105,7 +105,7 @@ def dependency_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
             break
         placed = ready if placed is None else placed.unionByName(ready)
         freed = (
-            join_group_row(edges.withColumnRenamed("src", "node"), ready.select("node"), ["node"], ["dst"])
+            edges.withColumnRenamed("src", "node").join(ready.select("node"), ["node"])
             .groupBy(F.col("dst").alias("node"))
             .agg(F.count("*").alias("got"))
         )

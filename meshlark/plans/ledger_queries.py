@@ -80,7 +80,7 @@ def _(t):
         F.col("o_custkey").alias("root_id"), "o_orderdate", "o_orderkey",
         F.concat(F.lit("/out/m"), F.col("o_orderkey").cast("string")).alias("path"),
     )
-    return L.fan_in_members(items, "root_id", ["o_orderdate", "o_orderkey"], "path")
+    return L.fan_in_members(items, "root_id", ["o_orderdate", "o_orderkey"], "path", [F.col("o_orderdate")])
 
 
 @query("merge_attributes", """

@@ -101,7 +101,7 @@ def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = words[0]
     parsed = lines.select("path", "block", "seq", kind.alias("kind"), F.slice(words, 2, 1_000_000_000).alias("args")).filter(kind.isin("v", "f"))
     is_v, is_f = (F.when(F.col("kind") == k, 1).otherwise(0).cast("long") for k in "vf")
-    numbered = running(parsed, ["path"], ["block", "seq"], {"nv": is_v, "nf": is_f})
+    numbered = running(parsed, ["path"], ["block", "seq"], {"nv": is_v, "nf": is_f}, pieces=[F.col("block")])
     verts = numbered.filter("kind = 'v'").select(
         "path", (F.col("nv") - 1).alias("vert_id"), *[F.get("args", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
     )
@@ -162,7 +162,7 @@ def stl_text_triangles(lines: DataFrame) -> DataFrame:
     corners = lines.filter(F.startswith(F.ltrim("value"), F.lit("vertex"))).select(
         "path", "block", "seq", *[words[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")]
     )
-    numbered = rank_within(corners, ["path"], ["block", "seq"], "rn").withColumn("i", F.col("rn") - 1)
+    numbered = rank_within(corners, ["path"], ["block", "seq"], "rn", pieces=[F.col("block")]).withColumn("i", F.col("rn") - 1)
     names = [CORNERS[0:3], CORNERS[3:6], CORNERS[6:9]]
     pick = lambda k, c: F.max(F.when(F.col("i") % 3 == k, F.col(c)))
     return numbered.groupBy("path", F.floor(F.col("i") / 3).alias("tri_id")).agg(

@@ -167,7 +167,7 @@ class Tables:
     def keyframes(self) -> DataFrame:
         """keyframes(obj_id, frame, x, y, z)"""
         ev = self.read("events").select("user_id", "ts", "event_id", "value")
-        return rank_within(ev, ["user_id"], ["ts", "event_id"], "rn").select(
+        return rank_within(ev, ["user_id"], ["ts", "event_id"], "rn", pieces=[F.col("ts").cast("date")]).select(
             F.col("user_id").alias("obj_id"),
             F.col("rn").cast("int").alias("frame"),
             (F.col("value") / 100.0).alias("x"),

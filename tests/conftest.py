@@ -18,11 +18,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def hot(spark):
-    """Every group above four rows counts as hot."""
-    spark.conf.set("spark.meshlark.hotGroupRows", "4")
-    yield spark
-    spark.conf.unset("spark.meshlark.hotGroupRows")

@@ -6,14 +6,17 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
+from meshlark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 LONG = {
     "lloyd_relax_all", "camera_log", "repair_surface", "cull_normal", "cull_sdf", "sdf_difference", "sample_sdf", "mesh_to_sdf",
     "camera_candidates", "min_distance_thin", "density_iso_faces", "lloyd_relax",
 }
+#: No SQL says these; other tests hold them against plain versions.
+NO_SQL = {"min_distance_thin", "repair_surface"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
-NAMES = [n for n in entry.queries() if n not in LONG or os.environ.get("ALL_QUERIES")]
+NAMES = [n for n in registry.queries() if n not in LONG or os.environ.get("ALL_QUERIES")]
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +26,12 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    oracle = entry.oracle_sql().get(name)
-    assert (compare(df, con, oracle) if oracle else None) is None
+    df = registry.queries()[name](spark, SF)
+    oracle = registry.oracle_sql().get(name)
+    if oracle is None:
+        assert name in NO_SQL and df.count() > 0
+    else:
+        assert compare(df, con, oracle) is None
 
 
 def test_every_oracle_has_a_query():

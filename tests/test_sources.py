@@ -109,8 +109,8 @@ def test_open_box_obj(spark, tmp_path):
     assert M.delete_boundary_faces(loops).select("face_id").distinct().count() == 1
 
 
-def test_hot_ring_matches_window(hot, tmp_path):
-    _, loops = obj(hot, tmp_path, "fan.obj", ["f 1 2 3 4 5 6 7 8"])
+def test_ring_of_one_face(spark, tmp_path):
+    _, loops = obj(spark, tmp_path, "fan.obj", ["f 1 2 3 4 5 6 7 8"])
     got = {(r["vert_id"], r["b"], r["v0"]) for r in M.rings(loops).collect()}
     assert got == {(i, (i + 1) % 8, 0) for i in range(8)}
 

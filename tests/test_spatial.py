@@ -24,9 +24,9 @@ def crowded():
 
 
 @pytest.mark.parametrize("k", [1, 8])
-def test_knn_exact_on_crowded_points(hot, k):
+def test_knn_exact_on_crowded_points(spark, k):
     xyz = crowded()
-    got = {(r["pt_id"], r["rank"]): r["nb_id"] for r in S.knn(cloud(hot, xyz), k).collect()}
+    got = {(r["pt_id"], r["rank"]): r["nb_id"] for r in S.knn(cloud(spark, xyz), k).collect()}
     assert got == brute_knn(xyz, k)
 
 
