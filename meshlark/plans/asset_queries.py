@@ -115,6 +115,48 @@ def _(t):
     )
 
 
+@query("glb_quarantine", sql("", """
+    SELECT 'assets/o' || l_orderkey || '.glb' AS path, CASE WHEN error_message IS NULL THEN 'success' ELSE 'error' END AS status, error_message FROM (
+        SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'Invalid header' WHEN l_orderkey % 17 = 0 THEN 'Chunk longer than the file'
+            WHEN l_orderkey % 13 = 0 THEN 'Invalid JSON chunk' END AS error_message FROM (SELECT DISTINCT l_orderkey FROM lineitem))"""))
+def _(t):
+    files = glb_files(t)
+    order = F.regexp_extract("path", "o([0-9]+)", 1).cast("long")
+    endless = F.concat(F.expr("substring(content, 1, 12)"), F.unhex(F.lit("FFFFFFFF")), F.expr("substring(content, 17)"))
+    damaged = files.withColumn("content", F.when((order % 17 == 0) & (F.length("content") > 20), endless).otherwise(F.col("content")))
+    return models.gltf_stats(damaged).select("path", "status", "error_message")
+
+
+@query("obj_quarantine", sql("", """
+    SELECT 'o' || l_orderkey || '.obj' AS path, CASE WHEN message IS NULL THEN 'success' ELSE 'error' END AS status, message AS error_message,
+        CASE WHEN message IS NULL THEN n END AS vertices, CASE WHEN message IS NULL THEN 1 END AS faces FROM (
+        SELECT l_orderkey, count(*) AS n, CASE WHEN l_orderkey % 7 = 0 AND min(l_linenumber) = 1 THEN 'Invalid vertex line'
+            WHEN l_orderkey % 5 = 0 THEN 'Invalid face line' WHEN count(*) < 3 THEN 'Face of a vertex that is not there' END AS message
+        FROM lineitem GROUP BY 1)"""))
+def _(t):
+    line = F.col("l_linenumber").cast("long")
+    x = F.when((F.col("l_orderkey") % 7 == 0) & (line == 1), "x").otherwise(F.col("l_quantity").cast("string"))
+    vertex = F.concat_ws(" ", F.lit("v"), x, F.col("l_tax").cast("string"), F.col("l_discount").cast("string"))
+    items = t.read("lineitem").select("l_orderkey", line.alias("seq"), vertex.alias("value"))
+    faces = items.select("l_orderkey").distinct().select("l_orderkey", F.lit(1000).cast("long").alias("seq"), F.when(
+        F.col("l_orderkey") % 5 == 0, "f 1 2 0").otherwise("f 1/1 2/2 3/3").alias("value"))
+    lines = items.union(faces).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".obj")).alias("path"), F.lit(0).alias("block"), "seq", "value")
+    return models.obj_status(lines)
+
+
+@query("stl_quarantine", sql("tris", """
+    SELECT 'part' || part || '.stl' AS path, CASE WHEN part % 3 = 1 THEN 'error' ELSE 'success' END AS status,
+        CASE WHEN part % 3 = 1 THEN 'Length does not fit the header' END AS error_message, CASE WHEN part % 3 <> 1 THEN n ELSE 0 END AS triangles
+    FROM (SELECT tri_id // 700 AS part, count(*) AS n FROM tris GROUP BY 1)"""))
+def _(t):
+    part = F.floor(F.col("tri_id") / 700)
+    whole = models.stl_files_of(t.tris().withColumn("path", F.concat(F.lit("part"), part.cast("string"), F.lit(".stl"))))
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    files = cut(whole.withColumn("content", F.when(number % 3 == 1, F.expr("substring(content, 1, length(content) - 50)")).otherwise(F.col("content"))), "stl")
+    found = models.stl_triangles(files).groupBy("path").agg(F.count("*").alias("n"))
+    return models.stl_status(files).join(found, "path", "left").select("path", "status", "error_message", F.coalesce("n", F.lit(0)).alias("triangles"))
+
+
 @query("gltf_nodes", sql("", """
     SELECT path, CAST(k AS INT) AS node_id, CASE WHEN k = 1 THEN 0 END AS parent_id, CASE k WHEN 0 THEN 'root' ELSE 'part' END AS name,
         CASE k WHEN 0 THEN 1e0 ELSE CAST(n AS DOUBLE) END AS tx, CASE k WHEN 0 THEN 0e0 ELSE 2.5e0 END AS tz FROM g, range(2) t(k) WHERE error_message IS NULL""", g=_GLB))

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions.skew import rank_within, running
+from meshlark.functions.worker import ship
+
+ship(__name__)
 
 # -- glTF -------------------------------------------------------------------
 
@@ -18,7 +21,7 @@ GLTF_SCHEMA = """asset struct<version string>,
     materials array<struct<name string>>,
     nodes array<struct<name string, mesh int, children array<int>, translation array<double>, matrix array<double>>>"""
 GLB_MAGIC, JSON_CHUNK = "676C5446", "4A534F4E"  # 'glTF' and 'JSON'
-BAD_HEADER, BAD_JSON = "Invalid header", "Invalid JSON chunk"
+BAD_HEADER, BAD_JSON, BAD_LENGTH = "Invalid header", "Invalid JSON chunk", "Chunk longer than the file"
 TRIANGLES = 4  # primitive mode
 
 
@@ -33,10 +36,10 @@ def gltf_documents(files: DataFrame) -> DataFrame:
     content = F.col("content")
     text = F.endswith(F.lower("path"), F.lit(".gltf"))
     framed = (F.hex(F.substring(content, 1, 4)) == GLB_MAGIC) & (F.hex(F.substring(content, 17, 4)) == JSON_CHUNK)
-    size = F.when(framed, _u32(content, 13)).cast("int")
-    body = F.when(text, content).when(framed, F.substring(content, F.lit(21), size))
+    size, held = _u32(content, 13), F.length(content) - 20
+    body = F.when(text, content).when(framed, F.substring(content, F.lit(21), F.least(size, held.cast("long")).cast("int")))
     parsed = files.withColumn("gltf", F.from_json(F.decode(body, "UTF-8"), GLTF_SCHEMA))
-    message = F.when(~text & ~F.coalesce(framed, F.lit(False)), BAD_HEADER).when(F.col("gltf.asset.version").isNull(), BAD_JSON)
+    message = F.when(~text & ~F.coalesce(framed, F.lit(False)), BAD_HEADER).when(~text & (size > held), BAD_LENGTH).when(F.col("gltf.asset.version").isNull(), BAD_JSON)
     return parsed.select("path", "length", "gltf", message.alias("error_message"))
 
 
@@ -47,7 +50,8 @@ def gltf_stats(files: DataFrame) -> DataFrame:
     place with higher-order functions: no explode, join or shuffle.
     """
     docs = gltf_documents(files)
-    prims = F.flatten(F.transform(F.coalesce("gltf.meshes", F.array()), lambda m: m["primitives"]))
+    no_primitives = F.array().cast("array<struct<attributes:map<string,int>,indices:int,material:int,mode:int>>")
+    prims = F.flatten(F.transform(F.coalesce("gltf.meshes", F.array()), lambda m: F.coalesce(m["primitives"], no_primitives)))
     accessor = lambda i: F.get("gltf.accessors", i)
     position = lambda p: accessor(p["attributes"]["POSITION"])
     corners = lambda p: F.coalesce(accessor(p["indices"])["count"], position(p)["count"])
@@ -92,10 +96,14 @@ def gltf_nodes(files: DataFrame) -> DataFrame:
 # -- OBJ --------------------------------------------------------------------
 
 
+BAD_VERTEX, BAD_FACE, NO_VERTEX = "Invalid vertex line", "Invalid face line", "Face of a vertex that is not there"
+
+
 def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vertices(path, vert_id, x, y, z) and loops(path, face_id, pos, vert_id, n) of OBJ lines, ids from 0.
 
-    Negative references count back from the vertices read so far.
+    Negative references count back from the vertices read so far. What is no number is null: take the lines that
+    ``obj_quarantine`` calls good.
     """
     words = F.split(F.trim("value"), "\\s+")
     kind = words[0]
@@ -103,9 +111,9 @@ def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_v, is_f = (F.when(F.col("kind") == k, 1).otherwise(0).cast("long") for k in "vf")
     numbered = running(parsed, ["path"], ["block", "seq"], {"nv": is_v, "nf": is_f}, pieces=[F.col("block")])
     verts = numbered.filter("kind = 'v'").select(
-        "path", (F.col("nv") - 1).alias("vert_id"), *[F.get("args", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
+        "path", (F.col("nv") - 1).alias("vert_id"), *[F.get("args", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")]
     )
-    ref = F.split("arg", "/")[0].cast("long")
+    ref = F.split("arg", "/")[0].try_cast("long")
     loops = (
         numbered.filter("kind = 'f'")
         .select("path", (F.col("nf") - 1).alias("face_id"), "nv", F.size("args").alias("n"), F.posexplode("args").alias("pos", "arg"))
@@ -114,6 +122,32 @@ def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return verts, loops
 
 
+def obj_status(lines: DataFrame) -> DataFrame:
+    """(path, status, error_message, vertices, faces) of every file that has a line; the message is of its first bad line."""
+    words = F.split(F.trim("value"), "\\s+")
+    kind, args = words[0], F.slice(words, 2, 1_000_000_000)
+    refs = F.transform(args, lambda a: F.split(a, "/")[0].try_cast("long"))
+    is_v, is_f = kind == "v", kind == "f"
+    wrong = F.when(is_v & ((F.size(args) < 3) | F.exists(F.slice(args, 1, 3), lambda a: a.try_cast("double").isNull())), BAD_VERTEX).when(
+        is_f & ((F.size(args) < 3) | F.exists(refs, lambda r: r.isNull() | (r == 0))), BAD_FACE)
+    read = lines.select("path", "block", "seq", is_v.alias("v"), is_f.alias("f"), wrong.alias("wrong"), F.when(
+        is_f, F.array_max(F.transform(refs, F.abs))).alias("far"))
+    seen = read.groupBy("path").agg(
+        F.count_if("v").alias("vertices"), F.count_if("f").alias("faces"), F.max("far").alias("far"),
+        F.min(F.when(F.col("wrong").isNotNull(), F.struct("block", "seq", "wrong"))).alias("first"))
+    message = F.coalesce(F.col("first.wrong"), F.when(F.col("far") > F.col("vertices"), NO_VERTEX))
+    good = message.isNull()
+    return seen.select(
+        "path", F.when(good, "success").otherwise("error").alias("status"), message.alias("error_message"),
+        F.when(good, F.col("vertices")).alias("vertices"), F.when(good, F.col("faces")).alias("faces"))
+
+
+def obj_quarantine(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of the good files, one row for each broken file)."""
+    broken = obj_status(lines).filter("status = 'error'").select("path", "status", "error_message")
+    return lines.join(broken, "path", "left_anti"), broken
+
+
 def obj_lines_of(vertices: DataFrame, loops: DataFrame) -> DataFrame:
     """OBJ text of tables (path, vert_id from 0, x, y, z) and (path, face_id, pos, vert_id): (path, kind, ord, value)."""
     v = vertices.select(
@@ -151,8 +185,23 @@ def is_binary_stl() -> Column:
     return (F.length("content") >= STL_HEADER) & (F.length("content") == _u32(F.col("content"), 81) * STL_RECORD + STL_HEADER)
 
 
+BAD_STL = "Length does not fit the header"
+
+
+def stl_status(files: DataFrame) -> DataFrame:
+    """(path, length, status, error_message) of every file: binary with the length that its header says, or text."""
+    text = F.substring("content", 1, 5).cast("string") == "solid"
+    good = F.coalesce(is_binary_stl() | text, F.lit(False))
+    return files.select(
+        "path", F.length("content").cast("long").alias("length"), F.when(good, "success").otherwise("error").alias("status"),
+        F.when(~good, BAD_STL).alias("error_message"))
+
+
 def stl_triangles(files: DataFrame) -> DataFrame:
-    """Triangles of binary STL contents; bytes to floats is the one step Spark SQL has no function for."""
+    """Triangles of binary STL contents; bytes to floats is the one step Spark SQL has no function for.
+
+    Other contents give no triangles; ``stl_status`` has a row for each.
+    """
     return files.filter(is_binary_stl()).select("path", "content").mapInPandas(_read_stl, STL_SCHEMA)
 
 
@@ -160,7 +209,7 @@ def stl_text_triangles(lines: DataFrame) -> DataFrame:
     """Triangles of ASCII STL lines: every three ``vertex`` lines of a file."""
     words = F.split(F.trim("value"), "\\s+")
     corners = lines.filter(F.startswith(F.ltrim("value"), F.lit("vertex"))).select(
-        "path", "block", "seq", *[words[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")]
+        "path", "block", "seq", *[F.get(words, F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")]
     )
     numbered = rank_within(corners, ["path"], ["block", "seq"], "rn", pieces=[F.col("block")]).withColumn("i", F.col("rn") - 1)
     names = [CORNERS[0:3], CORNERS[3:6], CORNERS[6:9]]

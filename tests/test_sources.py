@@ -1,5 +1,8 @@
 import json
+import os
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -148,3 +151,53 @@ def test_linear_path_ends_one_past(spark):
     got = {r["frame"]: r["x"] for r in T.linear_path(way, 10).collect()}
     assert sorted(got) == list(range(1, 12)) and got[6] == 1.0 and got[11] == 2.0
     assert [r["path_id"] for r in T.path_errors(way).collect()] == [2]
+
+
+BROKEN_OBJ = {
+    "vertex": ["v x 2 3", "v 0 0 0", "v 1 0 0", "f 1 2 3"], "short": ["v 0 0"], "face": ["v 0 0 0", "f 1 q 1"], "zero": ["v 0 0 0", "f 0 1 1"],
+    "far": ["v 0 0 0", "v 1 0 0", "v 0 1 0", "f 1 2 4"], "good": ["v 0 0 0", "v 1 0 0", "v 0 1 0", "f -3 -2 -1"],
+}
+
+
+def test_broken_obj_is_a_row(spark, tmp_path):
+    for name, lines in BROKEN_OBJ.items():
+        (tmp_path / f"{name}.obj").write_text("\n".join(lines))
+    lines = scan.asset_lines(spark, str(tmp_path))
+    good, bad = models.obj_quarantine(lines)
+    assert {r["path"].rsplit("/", 1)[1]: r["error_message"] for r in bad.collect()} == {
+        "vertex.obj": models.BAD_VERTEX, "short.obj": models.BAD_VERTEX, "face.obj": models.BAD_FACE, "zero.obj": models.BAD_FACE, "far.obj": models.NO_VERTEX}
+    assert models.obj_status(lines).count() == len(BROKEN_OBJ)
+    verts, loops = models.obj_tables(good)
+    assert verts.count() == 3 and sorted(r["vert_id"] for r in loops.collect()) == [0, 1, 2]
+    assert models.obj_tables(lines)[0].count() == sum(x.startswith("v") for v in BROKEN_OBJ.values() for x in v)  # broken lines don't end the job
+
+
+def test_broken_stl_and_glb_are_rows(spark):
+    stl = bytes(80) + struct.pack("<I", 2) + bytes(50)
+    rows = [("cut.stl", stl), ("whole.stl", stl + bytes(50)), ("text.stl", b"solid x"), ("none.stl", b""), ("null.stl", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r["path"]: r["status"] for r in models.stl_status(files).collect()}
+    assert got == {"cut.stl": "error", "whole.stl": "success", "text.stl": "success", "none.stl": "error", "null.stl": "error"}
+    body = b'{"asset":{"version":"2.0"},"meshes":[{"name":"m"}]}'
+    head = b"glTF" + struct.pack("<II", 2, 0)
+    rows = [("endless.glb", head + b"\xff\xff\xff\xffJSON" + body), ("bare.glb", head + struct.pack("<I", len(body)) + b"JSON" + body)]
+    files = spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, length long, content binary")
+    got = {r["path"]: (r["status"], r["error_message"], r["faces"]) for r in models.gltf_stats(files).collect()}
+    assert got == {"endless.glb": ("error", models.BAD_LENGTH, None), "bare.glb": ("success", None, 0)}
+
+
+def test_stl_away_from_the_repository(tmp_path):
+    """Workers that cannot import the package still read STL."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from meshlark.session import build_session
+from meshlark.sources import models
+spark = build_session("away", "local[1]", **{{"spark.ui.enabled": "false"}})
+files = spark.createDataFrame([("a.stl", bytes(80) + (1).to_bytes(4, "little") + bytes(50))], "path string, content binary")
+print("rows", models.stl_triangles(files).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
