@@ -285,7 +285,7 @@ def _surface_cell(tris: DataFrame, axes: str = "xyz") -> float:
 def nearest_triangle(points: DataFrame, tris: DataFrame) -> DataFrame:
     """Adds tri_id, dist, sdf and the surface point (sx, sy, sz) of the object's nearest triangle; nulls if it has none.
 
-    sdf is positive on the normal's side, and negative or zero otherwise. Big
+    sdf is positive on the normal's side of that triangle's plane, and negative or zero otherwise. Big
     triangles sit on coarser grids, so none is repeated more than 64 times.
     """
     flat = cut(_with_box(distinct_tris(tris)), "tris")
@@ -340,11 +340,14 @@ def _gap(points: DataFrame, tris: DataFrame) -> float:
 
 # -- inside by ray parity ---------------------------------------------------
 
-HIT_GRID = 1e4  # hits closer than 1/HIT_GRID in z count as one surface
+SAME_SURFACE = 1e-4  # a hit no further than this above the one before it is the same surface
 
 
 def ray_hits(points: DataFrame, tris: DataFrame) -> DataFrame:
-    """(obj_id, pt_id, hits): surfaces of the object above each point, straight up; 0 where there is none."""
+    """(obj_id, pt_id, hits): surfaces of the object above each point, straight up; 0 where there is none.
+
+    A point's hits are walked upwards; one within ``SAME_SURFACE`` of the hit before it is not counted again.
+    """
     flat = cut(_with_box(distinct_tris(tris)), "tris")
     size = _surface_cell(flat, "xy")
     placed = flat.withColumn("level", _level(size, "xy")).withColumn("cell", F.lit(size) * F.pow(F.lit(2.0), "level"))
@@ -362,11 +365,22 @@ def ray_hits(points: DataFrame, tris: DataFrame) -> DataFrame:
         .filter("v >= 0 AND w >= 0 AND v + w <= 1")
         .withColumn("hz", F.col("az") + (F.col("bz") - F.col("az")) * F.col("v") + (F.col("cz_") - F.col("az")) * F.col("w"))
         .filter("hz > z")
-        .select("obj_id", "pt_id", F.floor(F.col("hz") * HIT_GRID).cast("long").alias("surface"))
-        .distinct()
+        .select("obj_id", "pt_id", "hz")
     )
-    none = base.select("obj_id", "pt_id", F.lit(None).cast("long").alias("surface"))
-    return hits.unionByName(none).groupBy("obj_id", "pt_id").agg(F.count("surface").alias("hits"))
+    below = F.lag("hz").over(Window.partitionBy("obj_id", "pt_id").orderBy("hz"))
+    surfaces = hits.withColumn("surface", below.isNull() | (F.col("hz") - below > SAME_SURFACE)).select("obj_id", "pt_id", "surface")
+    none = base.select("obj_id", "pt_id", F.lit(False).alias("surface"))
+    return surfaces.unionByName(none).groupBy("obj_id", "pt_id").agg(F.count_if("surface").alias("hits"))
+
+
+def signed_distance(points: DataFrame, tris: DataFrame) -> DataFrame:
+    """``nearest_triangle`` with ``sdf`` negative where a ray from the point meets an odd number of surfaces.
+
+    The plane of the nearest triangle says nothing of the side where a corner or an edge is nearest; the count does.
+    """
+    near, hits = nearest_triangle(points, tris), ray_hits(points, tris)
+    sign = F.when(F.col("hits") % 2 == 1, -F.col("dist")).otherwise(F.col("dist"))
+    return near.join(hits, ["obj_id", "pt_id"], "left").withColumn("sdf", sign).drop("hits")
 
 
 def cull_raycast(points: DataFrame, tris: DataFrame, keep: str = "outside") -> DataFrame:
@@ -405,8 +419,8 @@ def points_to_sdf(points: DataFrame, radius: float, voxel: float) -> DataFrame:
 def mesh_to_sdf(tris: DataFrame, voxel: float, band: float | None = None) -> DataFrame:
     """voxels(obj_id, ix, iy, iz, sdf): signed distance on the voxels within ``band`` of the surface.
 
-    A triangle meets its own voxels by generation, so there is no join; the
-    nearest one per voxel is a map-side combined minimum.
+    A triangle meets its own voxels by generation; the nearest one per voxel
+    is a map-side combined minimum. The sign is that of ``signed_distance``.
     """
     band = 3 * voxel if band is None else band
     flat = spread(_with_box(distinct_tris(tris)), "tri_id")
@@ -420,8 +434,10 @@ def mesh_to_sdf(tris: DataFrame, voxel: float, band: float | None = None) -> Dat
         .agg(F.min(F.struct("d2", "tri_id", "side")).alias("s"))
         .filter(F.col("s.d2") <= band * band)
     )
-    dist = F.sqrt("s.d2")
-    return best.select("obj_id", "ix", "iy", "iz", F.when(F.col("s.side"), dist).otherwise(-dist).alias("sdf"))
+    voxels = cut(best.select("obj_id", F.struct("ix", "iy", "iz").alias("pt_id"), F.sqrt("s.d2").alias("dist")), "voxels")
+    hits = ray_hits(voxels.select("obj_id", "pt_id", *[(F.col(f"pt_id.i{c}") * voxel).alias(c) for c in "xyz"]), tris)
+    signed = F.when(F.col("hits") % 2 == 1, -F.col("dist")).otherwise(F.col("dist"))
+    return voxels.join(hits, ["obj_id", "pt_id"]).select("obj_id", "pt_id.ix", "pt_id.iy", "pt_id.iz", signed.alias("sdf"))
 
 
 def iso_surface_faces(voxels: DataFrame) -> DataFrame:

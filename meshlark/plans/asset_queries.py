@@ -289,7 +289,7 @@ def _(t):
 
 
 _PICKED = """SELECT obj_id, i AS idx, x, y, z FROM o JOIN range(5) t(i) ON CASE WHEN n <= 5 THEN ord = i ELSE ord = CAST(floor(i * (n / 5e0)) AS BIGINT) END"""
-_AIMS = f"""SELECT obj_id, idx, {folded_xyz('r1', 'r2')} FROM (
+_AIMS = f"""SELECT obj_id, idx, {folded_xyz('r1', 'r2', whole=True)} FROM (
     SELECT d.*, f.*, row_number() OVER (PARTITION BY d.obj_id, idx ORDER BY rn) AS first FROM (SELECT obj_id, idx, {noise(42, repr('face'), 'obj_id', 'idx')} AS u,
         {noise(42, repr('r1'), 'obj_id', 'idx')} AS r1, {noise(42, repr('r2'), 'obj_id', 'idx')} AS r2 FROM picked) d
     JOIN cum f ON f.obj_id = d.obj_id AND (u <= hi OR rn = f.n)) WHERE first = 1"""

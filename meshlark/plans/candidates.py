@@ -21,7 +21,7 @@ def scored_candidates(tris: DataFrame, divisions: float = 200.0, seed: int | Non
     lattice = P.volume_scatter(bounds, divisions)
     key = ["obj_id", "pt_id"]
     jittered = P.perturb(lattice, F.col("spacing") * 0.4, seed, key)
-    measured = cut(S.nearest_triangle(jittered, tris), "sdf")
+    measured = cut(S.signed_distance(jittered, tris), "sdf")
     outside = P.cull_sdf(measured)
     return P.normalize_attr(outside, by=["obj_id"]).transform(P.random_weight, seed, key)
 

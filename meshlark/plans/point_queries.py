@@ -39,9 +39,24 @@ def lattice(bounds: str, inclusive: bool) -> str:
         unnest(range(0, {_last('x')} + 1)) a(ix), unnest(range(0, {_last('y')} + 1)) b(iy), unnest(range(0, {_last('z')} + 1)) c(iz)) {keep}"""
 
 
-def nearest(points: str, tris: str = "tris") -> dict[str, str]:
-    """CTEs ending in ``sd``: every point of ``points`` with its nearest triangle by brute force."""
+def hits_above(points: str, tris: str = "tris") -> str:
+    """Surfaces straight above each point by brute force: hits more than 1e-4 above the one before."""
+    return f"""SELECT obj_id, pt_id, count(*) FILTER (p IS NULL OR hz - p > 1e-4) AS hits FROM (
+        SELECT obj_id, pt_id, hz, lag(hz) OVER (PARTITION BY obj_id, pt_id ORDER BY hz) AS p FROM (
+            SELECT obj_id, pt_id, z, az + (bz-az)*v + (cz-az)*w AS hz FROM (
+                SELECT *, ((x-ax)*(cy-ay) - (y-ay)*(cx-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS v,
+                    ((bx-ax)*(y-ay) - (by_-ay)*(x-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS w
+                FROM {points} JOIN {tris} USING (obj_id)) WHERE v >= 0 AND w >= 0 AND v + w <= 1) WHERE hz > z) GROUP BY 1, 2"""
+
+
+def nearest(points: str, tris: str = "tris", by_plane: bool = False) -> dict[str, str]:
+    """CTEs ending in ``sd``: every point of ``points`` with its nearest triangle by brute force.
+
+    The sign of sdf is that of the parity of surfaces above, or, ``by_plane``, the side of the triangle's plane.
+    """
+    inside = "NOT s.side" if by_plane else "coalesce(hits, 0) % 2 = 1"
     return {
+        "above": hits_above(points, tris),
         "pr": f"""SELECT q.obj_id, pt_id, x, y, z, tri_id, ax, ay, az, bx, by_, bz, cx, cy, cz, bx-ax AS abx, by_-ay AS aby, bz-az AS abz,
             cx-ax AS acx, cy-ay AS acy, cz-az AS acz FROM {points} q JOIN {tris} USING (obj_id)""",
         "p1": "SELECT *, " + ", ".join(
@@ -62,7 +77,8 @@ def nearest(points: str, tris: str = "tris") -> dict[str, str]:
         "p5": """SELECT obj_id, pt_id, x, y, z, tri_id, sx, sy, sz, (x-sx)*(x-sx) + (y-sy)*(y-sy) + (z-sz)*(z-sz) AS d2,
             (x-sx)*(aby*acz - abz*acy) + (y-sy)*(abz*acx - abx*acz) + (z-sz)*(abx*acy - aby*acx) > 0 AS side FROM p4""",
         "p6": "SELECT obj_id, pt_id, x, y, z, arg_min({'tri': tri_id, 'd2': d2, 'side': side}, (d2, tri_id)) AS s FROM p5 GROUP BY 1, 2, 3, 4, 5",
-        "sd": "SELECT obj_id, pt_id, x, y, z, s.tri AS tri_id, sqrt(s.d2) AS dist, CASE WHEN s.side THEN sqrt(s.d2) ELSE -sqrt(s.d2) END AS sdf FROM p6",
+        "sd": f"""SELECT obj_id, pt_id, x, y, z, s.tri AS tri_id, sqrt(s.d2) AS dist, CASE WHEN {inside} THEN -sqrt(s.d2) ELSE sqrt(s.d2) END AS sdf
+            FROM p6 LEFT JOIN above USING (obj_id, pt_id)""",
     }
 
 
@@ -90,12 +106,7 @@ def _(t):
     SELECT obj_id, coalesce(n, 0) AS n_points, coalesce(n, 0) >= 2 AS success,
         CASE WHEN coalesce(n, 0) < 2 THEN 'Only ' || coalesce(n, 0) || ' points inside (need >= 2)' END AS message
     FROM b LEFT JOIN (SELECT obj_id, count(*) AS n FROM hit WHERE hits % 2 = 1 GROUP BY 1) USING (obj_id)""", b=TRI_BOUNDS,
-    s=f"SELECT *, {DIAG} / 16e0 AS spacing FROM b", lat=lattice("s", False), hit="""
-    SELECT obj_id, pt_id, count(DISTINCT floor(hz * 1e4)) AS hits FROM (
-        SELECT obj_id, pt_id, z, az + (bz-az)*v + (cz-az)*w AS hz FROM (
-            SELECT *, ((x-ax)*(cy-ay) - (y-ay)*(cx-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS v,
-                ((bx-ax)*(y-ay) - (by_-ay)*(x-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS w
-            FROM lat JOIN tris USING (obj_id)) WHERE v >= 0 AND w >= 0 AND v + w <= 1) WHERE hz > z GROUP BY 1, 2"""))
+    s=f"SELECT *, {DIAG} / 16e0 AS spacing FROM b", lat=lattice("s", False), hit=hits_above("lat")))
 def _(t):
     bounds = P.tri_bounds(t.tris())
     inside = S.cull_raycast(P.volume_scatter(bounds, 16.0), t.tris(), keep="inside")
@@ -114,11 +125,7 @@ def _(t):
 
 # -- inside, nearest, distance ----------------------------------------------
 
-_HITS = """SELECT obj_id, pt_id, count(DISTINCT floor(hz * 1e4)) AS hits FROM (
-    SELECT obj_id, pt_id, z, az + (bz-az)*v + (cz-az)*w AS hz FROM (
-        SELECT *, ((x-ax)*(cy-ay) - (y-ay)*(cx-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS v,
-            ((bx-ax)*(y-ay) - (by_-ay)*(x-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS w
-        FROM q JOIN tris USING (obj_id)) WHERE v >= 0 AND w >= 0 AND v + w <= 1) WHERE hz > z GROUP BY 1, 2"""
+_HITS = hits_above("q")
 
 
 @query("ray_hits", sql("points tris", "SELECT obj_id, pt_id, coalesce(hits, 0) AS hits FROM q LEFT JOIN h USING (obj_id, pt_id)", q=JITTERED, h=_HITS))
@@ -132,19 +139,19 @@ def _(t):
     return rxyz(S.cull_raycast(jittered(t), t.tris()), "obj_id", "pt_id")
 
 
-@query("cull_normal", sql("points tris", f"SELECT obj_id, pt_id, {rs('x y z')} FROM sd WHERE sdf > 0", q=JITTERED, **nearest("q")))
+@query("cull_normal", sql("points tris", f"SELECT obj_id, pt_id, {rs('x y z')} FROM sd WHERE sdf > 0", q=JITTERED, **nearest("q", by_plane=True)))
 def _(t):
     return rxyz(S.cull_normal(jittered(t), t.tris()), "obj_id", "pt_id")
 
 
 @query("sample_sdf", sql("points tris", f"SELECT obj_id, pt_id, tri_id, {rs('dist sdf', 8)} FROM sd", q=JITTERED, **nearest("q")))
 def _(t):
-    return rxyz(S.nearest_triangle(jittered(t), t.tris()), "obj_id", "pt_id", "tri_id", cols=("dist", "sdf"), places=8)
+    return rxyz(S.signed_distance(jittered(t), t.tris()), "obj_id", "pt_id", "tri_id", cols=("dist", "sdf"), places=8)
 
 
 @query("cull_sdf", sql("points tris", f"SELECT obj_id, pt_id, {rs('sdf', 8)} FROM sd WHERE sdf >= 0", q=JITTERED, **nearest("q")))
 def _(t):
-    return rxyz(P.cull_sdf(S.nearest_triangle(jittered(t), t.tris())), "obj_id", "pt_id", cols=("sdf",), places=8)
+    return rxyz(P.cull_sdf(S.signed_distance(jittered(t), t.tris())), "obj_id", "pt_id", cols=("sdf",), places=8)
 
 
 _Q = {c: f"(abs({c} - (min_{c} + max_{c}) / 2) - ((max_{c} - min_{c}) / 2 - {DIAG} / 200e0 * 1.5e0))" for c in "xyz"}
@@ -156,7 +163,7 @@ _BOXSDF = (
 @query("sdf_difference", sql("points tris", f"""
     SELECT obj_id, pt_id, {r(f'greatest({_BOXSDF}, -sdf)', 'diff')} FROM sd JOIN b USING (obj_id)""", b=BOUNDS, q=JITTERED, **nearest("q")))
 def _(t):
-    measured = S.nearest_triangle(jittered(t), t.tris())
+    measured = S.signed_distance(jittered(t), t.tris())
     return rxyz(P.sdf_difference(measured, M.local_bounds(t.points(), "obj_id")), "obj_id", "pt_id", cols=("diff",))
 
 
@@ -282,11 +289,11 @@ def _(t):
 _AREAS = "SELECT *, 0.5e0 * sqrt(ux*ux + uy*uy + uz*uz) AS area FROM c WHERE ux*ux + uy*uy + uz*uz > 0"
 
 
-def folded_xyz(r1: str, r2: str) -> str:
+def folded_xyz(r1: str, r2: str, whole: bool = False) -> str:
+    """The point of folded draws on a triangle, rounded unless ``whole``."""
     f1, f2 = (f"(CASE WHEN {r1} + {r2} > 1.0 THEN 1.0 - {x} ELSE {x} END)" for x in (r1, r2))
-    return ", ".join(
-        r(f"a{c} + {f1} * ({b} - a{c}) + {f2} * (c{c} - a{c})", c) for c, b in (("x", "bx"), ("y", "by_"), ("z", "bz"))
-    )
+    sides = {c: f"a{c} + {f1} * ({b} - a{c}) + {f2} * (c{c} - a{c})" for c, b in (("x", "bx"), ("y", "by_"), ("z", "bz"))}
+    return ", ".join(f"{e} AS {c}" if whole else r(e, c) for c, e in sides.items())
 
 
 _CUM = """SELECT *, row_number() OVER w AS rn, sum(area) OVER (PARTITION BY obj_id ORDER BY tri_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)

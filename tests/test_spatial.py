@@ -60,7 +60,7 @@ SIGNED = [-1, -0.7, 1, 2, 3, -0.1, 29]
 
 
 def test_signed_distance_of_cube(spark):
-    got = {r["pt_id"]: r["sdf"] for r in S.nearest_triangle(cloud(spark, PROBES), cube(spark)).collect()}
+    got = {r["pt_id"]: r["sdf"] for r in S.signed_distance(cloud(spark, PROBES), cube(spark)).collect()}
     assert [got[i] for i in range(len(PROBES))] == pytest.approx(SIGNED)
 
 
@@ -109,3 +109,32 @@ def test_repaired_surface_is_closed(spark):
         line = (f["axis"], *[f[f"i{c}"] for c in "xyz" if c != f["axis"]])
         along[line] = along.get(line, 0) + f["outward"]
     assert faces and not any(along.values())  # every line through the shell leaves it as often as it enters
+
+
+def closed(spark, corners, faces):
+    rows = [(k, 0, *[float(v) for i in f for v in corners[i]]) for k, f in enumerate(faces)]
+    return spark.createDataFrame(
+        rows, "tri_id bigint, obj_id int, ax double, ay double, az double, bx double, by_ double, bz double, cx double, cy double, cz double")
+
+
+def test_sign_at_sharp_corners(spark):
+    """Beyond the tip of a spike and beside the edge of a thin wedge the nearest plane says nothing."""
+    spike = closed(spark, [(0, -1, -1), (0, 1, -1), (0, 0, 1), (10, 0, 0)], [(0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)])
+    tip = np.array([[11, 0.9, 0], [11, -0.4, 0.3], [9.9, 0.0, 0.001], [5, 0, 0], [-1, 0, 0]])
+    got = {r["pt_id"]: r["sdf"] for r in S.signed_distance(cloud(spark, tip), spike).collect()}
+    assert [got[k] > 0 for k in range(5)] == [True, True, False, False, True]
+    wedge = closed(spark, [(0, 0, 0), (0, 10, 0), (5, 0, 0.1), (5, 10, 0.1), (5, 0, -0.1), (5, 10, -0.1)], [
+        (0, 2, 3), (0, 3, 1), (0, 1, 5), (0, 5, 4), (2, 4, 5), (2, 5, 3), (0, 4, 2), (1, 3, 5)])
+    edge = np.array([[-1, 5, 0.5], [-1, 5, -0.5], [4, 5, 0.01], [4, 5, 0.3], [-0.2, 5.3, 0]])
+    got = {r["pt_id"]: r["sdf"] for r in S.signed_distance(cloud(spark, edge), wedge).collect()}
+    assert [got[k] > 0 for k in range(5)] == [True, True, False, True, True]
+
+
+def test_close_surfaces_count_once(spark):
+    """Two sheets 2e-8 apart, on either side of a multiple of 1e-4, and one further up."""
+    def sheet(z):
+        return [(-9, -9, z), (9, -9, z), (0, 9, z)]
+    corners = [c for z in (0.5 - 1e-8, 0.5 + 1e-8, 0.7) for c in sheet(z)]
+    tris = closed(spark, corners, [(0, 1, 2), (3, 4, 5), (6, 7, 8)])
+    got = {r["pt_id"]: r["hits"] for r in S.ray_hits(cloud(spark, np.array([[0, 0, 0], [0, 0, 0.6], [0, 0, 0.8], [50, 0, 0]], float)), tris).collect()}
+    assert got == {0: 2, 1: 1, 2: 0, 3: 0}
