@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshlark.functions import vector as V
@@ -291,8 +293,9 @@ def place_vertices(vertices: DataFrame, objects: DataFrame, keep_location: bool
 
 
 def flip_negative(loops: DataFrame, objects: DataFrame) -> DataFrame:
-    """Reverse the ring of faces whose object has a negative scale product."""
-    mirrored = objects.select("obj_id", (F.col("scale_x") < 0).alias("_neg"))
+    """Reverse the ring of faces whose object has a negative product of its scales (those of the axes it has)."""
+    product = reduce(lambda a, b: a * b, [F.col(f"scale_{c}") for c in "xyz" if f"scale_{c}" in objects.columns])
+    mirrored = objects.select("obj_id", (product < 0).alias("_neg"))
     return loops.join(mirrored, ["obj_id"]).withColumn(
         "pos", F.when(F.col("_neg"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))
     ).drop("_neg")

@@ -100,11 +100,13 @@ def knn(points: DataFrame, k: int = 8) -> DataFrame:
     """(obj_id, pt_id, rank, nb_id, d2, nx, ny, nz): k nearest others within the object, ties by id.
 
     Copies at one place are searched once: any point needs at most the k+1
-    smallest ids of a place, whatever the number of copies.
+    smallest ids of a place, whatever the number of copies. Points with a
+    coordinate that is null, infinite or no number have no place and are left out.
     """
     m = k + 1
     place = ["obj_id", "x", "y", "z"]
-    points = points.select("obj_id", "pt_id", "x", "y", "z")
+    finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in "xyz")
+    points = points.select("obj_id", "pt_id", "x", "y", "z").filter(finite)
     copies = points.groupBy(*place).agg(F.count("*").alias("n"), F.min("pt_id").alias("first"))
     cols = ["obj_id", "pt_id", "rank", "nb_id", "d2", "nx", "ny", "nz"]
     if copies.filter("n > 1").isEmpty():

@@ -22,7 +22,7 @@ def climb(
     a row has folded, so chains of depth d take log2(d) joins; a recursive query
     would take d rounds and stop at its row limit. Adds ``root`` and ``depth``
     (0 at a root). A parent that is not in the table makes its child a root.
-    Rows on or below a cycle have no root and are left out.
+    Rows on or below a cycle are there with a null root, depth and carry.
     """
     up = F.col("_up")
     state = cut(
@@ -53,7 +53,9 @@ def climb(
             "climb",
         )
         done, open_ = done.unionByName(state.filter(up.isNull())), state.filter(up.isNotNull())
-    return done.drop("_up")
+    none = lambda c: F.lit(None).cast(done.schema[c].dataType).alias(c)
+    circular = open_.select(node, none("depth"), none("root"), *[none(c) for c in carry])
+    return done.drop("_up").unionByName(circular)
 
 
 def root_path(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", name: str = "name", sep: str = ".") -> DataFrame:
@@ -87,8 +89,8 @@ def dependency_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     """Longest-path depth of every node; null for nodes on or behind a cycle.
 
     Peels one level per round: nodes whose predecessors are all placed. A round
-    touches only the edges leaving the last level, and counts are combined
-    before they are shuffled, so a node with very many edges is no bottleneck.
+    reads all edges and rewrites the waiting nodes; counts are combined before
+    they are shuffled, so a node with very many edges is no bottleneck.
     """
     edges = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

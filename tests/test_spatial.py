@@ -138,3 +138,11 @@ def test_close_surfaces_count_once(spark):
     tris = closed(spark, corners, [(0, 1, 2), (3, 4, 5), (6, 7, 8)])
     got = {r["pt_id"]: r["hits"] for r in S.ray_hits(cloud(spark, np.array([[0, 0, 0], [0, 0, 0.6], [0, 0, 0.8], [50, 0, 0]], float)), tris).collect()}
     assert got == {0: 2, 1: 1, 2: 0, 3: 0}
+
+
+def test_knn_leaves_out_what_has_no_place(spark):
+    rng = np.random.default_rng(9)
+    xyz = rng.uniform(0, 1, (50, 3))
+    odd = np.vstack([xyz, [[np.nan, 0, 0], [np.inf, 0, 0]]])
+    got = {(r["pt_id"], r["rank"]): r["nb_id"] for r in S.knn(cloud(spark, odd), 3).collect()}
+    assert got == brute_knn(xyz, 3)
