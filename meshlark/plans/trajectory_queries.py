@@ -47,12 +47,12 @@ _SUBJECTS = "SELECT obj_id, 'scan_' || obj_id || '.glb' AS filename, coalesce(fx
 
 
 @query("static_orbit_dataset", sql("keyframes objects", f"""
-    SELECT obj_id, filename, modality, CAST(i + 1 AS INT) AS frame, {r('cos(2 * pi() * i / 24e0) * 3e0', 'x')}, {r('sin(2 * pi() * i / 24e0) * 3e0', 'y')}, 1.5e0 AS z,
-        {r('0 - fx', 'shift_x')}, {r('0 - fy', 'shift_y')} FROM subj, range(24) t(i), (VALUES ('rgb'), ('depth')) m(modality) WHERE NOT moving""",
+    SELECT obj_id, filename, modality, CAST(i + 1 AS INT) AS frame, {r('cos(2 * pi() * i / 360e0) * 3e0', 'x')}, {r('sin(2 * pi() * i / 360e0) * 3e0', 'y')}, 1.5e0 AS z,
+        {r('0 - fx', 'shift_x')}, {r('0 - fy', 'shift_y')} FROM subj, range(360) t(i), (VALUES ('rgb'), ('depth')) m(modality) WHERE NOT moving""",
     ends=_ENDS, subj=_SUBJECTS))
 def _(t):
     static, _ = T.split_animated(subjects(t), t.keyframes(), 0.4)
-    jobs = T.static_orbit_jobs(static, radius=3.0, height=1.5, frame_count=24)
+    jobs = T.static_orbit_jobs(static, radius=3.0, height=1.5, frame_count=360)
     return rxyz(jobs, "obj_id", "filename", "modality", "frame", cols=("x", "y", "z", "shift_x", "shift_y"))
 
 
@@ -88,14 +88,14 @@ def _(t):
     return T.path_errors(t.read("lineitem").select(F.col("l_orderkey").alias("path_id")))
 
 
-RES = 8
+RES = 64
 _SEGS = """SELECT a.path_id, a.idx, m, """ + ", ".join(
     f"coalesce(o.{c}, a.{c}) AS p0{c}, a.{c} AS p1{c}, b.{c} AS p2{c}, coalesce(d.{c}, b.{c}) AS p3{c}" for c in "xyz"
 ) + """ FROM wp a JOIN wp b ON b.path_id = a.path_id AND b.idx = a.idx + 1 LEFT JOIN wp o ON o.path_id = a.path_id AND o.idx = a.idx - 1
     LEFT JOIN wp d ON d.path_id = a.path_id AND d.idx = a.idx + 2 JOIN (SELECT path_id, count(*) AS m FROM wp GROUP BY 1) s ON s.path_id = a.path_id"""
-_CURVE = """SELECT path_id, idx * 8 + j AS k, """ + ", ".join(
+_CURVE = f"""SELECT path_id, idx * {RES} + j AS k, """ + ", ".join(
     f"(1-u)*(1-u)*(1-u)*p1{c} + 3*(1-u)*(1-u)*u*(p1{c} + (p2{c}-p0{c})/6) + 3*(1-u)*u*u*(p2{c} - (p3{c}-p1{c})/6) + u*u*u*p2{c} AS {c}" for c in "xyz"
-) + " FROM (SELECT *, j / 8e0 AS u FROM segs, range(9) t(j) WHERE j < 8 OR idx = m - 2)"
+) + f" FROM (SELECT *, j / {RES}e0 AS u FROM segs, range({RES + 1}) t(j) WHERE j < {RES} OR idx = m - 2)"
 
 
 @query("bezier_path", sql("points", f"SELECT path_id, k, {rs('x y z')} FROM curve", wp=WAYPOINTS, segs=_SEGS, curve=_CURVE))
