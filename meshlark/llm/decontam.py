@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
+from meshlark.llm.held import Held
 from meshlark.session import cut
 
 ship(__name__)
@@ -25,21 +26,15 @@ HELD = 200_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
+def _hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word.encode("utf-8", "replace"))
-        return found
+    return xxh64_intdigest(word.encode("utf-8", "replace"))
 
 
 def word_hashes(text: str) -> np.ndarray:
     words = _WORDS.findall(text.lower())
-    hashes = once("word-hashes", _Hashes)
+    hashes = once("word-hashes", lambda: Held(_hash, HELD))
     return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -118,23 +113,24 @@ def _hits(spark: SparkSession, filtered: np.ndarray, size: int, masks: list[str]
         held, size, masks = shared.value
         for batch in batches:
             for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
-                out = []
-                for key, doc, text in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    words = word_hashes(text or "")
-                    seeds_at, places = [], []
-                    for mask in masks:
-                        found = seeds(words, mask)
-                        at = np.arange(len(found))
-                        for probe in range(PROBES):
-                            bit = _bit(found, probe, size)
-                            ok = (held[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-                            found, at = found[ok], at[ok]
-                        seeds_at += found.astype(np.int64).tolist()
-                        places += at.tolist()
-                    if places:
-                        out.append({
-                            "key": key, "doc": doc, "words": words.astype("<u8").tobytes(),
-                            "hits": [{"seed": s, "at": a} for s, a in zip(seeds_at, places, strict=True)]})
+                texts = [word_hashes(x or "") for x in part.column(2).to_pylist()]
+                ends = np.cumsum([len(x) for x in texts])
+                words = np.concatenate(texts)
+                left = np.repeat(ends, [len(x) for x in texts]) - np.arange(len(words))  # words of the text from here on
+                hits: dict[int, list] = {}
+                for mask in masks:
+                    found = seeds(words, mask)
+                    at = np.flatnonzero(left[:len(found)] >= len(mask))
+                    found = found[at]
+                    for probe in range(PROBES):
+                        bit = _bit(found, probe, size)
+                        ok = (held[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        found, at = found[ok], at[ok]
+                    for k, seed, place in zip(np.searchsorted(ends, at, side="right").tolist(), found.astype(np.int64).tolist(), at.tolist(), strict=True):
+                        hits.setdefault(k, []).append({"seed": seed, "at": place - int(ends[k]) + len(texts[k])})
+                out = [{
+                    "key": part.column(0)[k].as_py(), "doc": part.column(1)[k].as_py(), "words": texts[k].astype("<u8").tobytes(), "hits": found,
+                } for k, found in hits.items()]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _HITS)
 
