@@ -205,9 +205,18 @@ def delete_boundary_faces(loops: DataFrame) -> DataFrame:
 
 
 def delete_matching_faces(loops: DataFrame, vertices: DataFrame, reference: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Drop faces all of whose corners lie on a reference vertex, to the tolerance's grid."""
-    cell = [F.round(F.col(c) / tolerance).cast("long").alias(f"c{c}") for c in "xyz"]
-    on_ref = vertices.select("obj_id", "vert_id", *cell).join(reference.select(*cell).distinct(), ["cx", "cy", "cz"], "left_semi")
+    """Drop faces all of whose corners lie within ``tolerance`` of a reference vertex.
+
+    Cells are as wide as the tolerance, and a reference vertex stands in its own and the 26 around it: what is near
+    enough shares a cell, and the distance decides.
+    """
+    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    ref = reference.select(*[F.col(c).alias(f"r{c}") for c in "xyz"]).distinct()
+    for c in "xyz":
+        ref = ref.withColumn(f"c{c}", F.explode(F.sequence(cell(f"r{c}") - 1, cell(f"r{c}") + 1)))
+    placed = vertices.select("obj_id", "vert_id", *"xyz", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    apart = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0))
+    on_ref = placed.join(ref, ["cx", "cy", "cz"]).filter(apart <= tolerance * tolerance).select("obj_id", "vert_id").distinct()
     hits = loops.join(on_ref.select("obj_id", "vert_id"), ["obj_id", "vert_id"], "left_semi")
     gone = hits.groupBy("obj_id", "face_id").agg(F.count("*").alias("hits"), F.max("n").alias("n")).filter("hits = n")
     return loops.join(gone, ["obj_id", "face_id"], "left_anti")

@@ -201,3 +201,13 @@ print("rows", models.stl_triangles(files).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_matching_faces_by_distance(spark, tmp_path):
+    """Corners next to a multiple of the tolerance match at 2e-8 and not beyond the tolerance."""
+    verts, loops = obj(spark, tmp_path, "pair.obj", ["f 1 2 3", "f 1 2 4"])
+    places = {r["vert_id"]: (r["x"], r["y"], r["z"]) for r in verts.collect()}
+    near = [(x + d, y, z) for k, (x, y, z) in places.items() for d in [(2e-8, -2e-8, 9e-5, 2e-4)[k % 4]]]
+    reference = spark.createDataFrame(near[:4], "x double, y double, z double")
+    left = M.delete_matching_faces(loops, verts.withColumn("obj_id", F.lit(0)), reference, 1e-4).select("face_id").distinct().collect()
+    assert [r["face_id"] for r in left] == [1]
