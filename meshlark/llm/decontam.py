@@ -15,8 +15,11 @@ from meshlark.llm.held import Held
 from meshlark.session import cut
 
 ship(__name__)
-#: Places of a window of twelve words that count; the others may be anything.
-MASKS = ["111010110111", "110111011011", "101101111101"]
+#: Places of a seed that count; the others may be anything. Of any eight places of twelve or fewer, five are the counted
+#: places of one of these masks, so every stretch that the alignment accepts has a seed (a test tries all of them).
+MASKS = [
+    "111011", "11001011", "110100011", "1100010011", "101111", "1110000101", "11010101", "1001100011", "1010010011", "100101011", "10010111",
+]
 SPAN = 12
 ENOUGH = 8  # equal words of SPAN that make a stretch
 LEAST_WORDS = 8  # shorter benchmark items say too little to be looked for
@@ -56,11 +59,6 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
-def masks_for(length: int) -> list[str]:
-    """An item shorter than a window is sought whole."""
-    return MASKS if length >= SPAN else ["1" * length]
-
-
 def _bit(found: np.ndarray, probe: int, size: int) -> np.ndarray:
     """Places of hashes in a Bloom filter of 2 ** size bits, independent for each probe."""
     return mixed(found * _FACTORS[probe]) >> np.uint64(64 - size)
@@ -75,7 +73,7 @@ def test_seeds(items: DataFrame) -> DataFrame:
                 words = word_hashes(text or "")
                 if len(words) < LEAST_WORDS:
                     continue
-                for mask in masks_for(len(words)):
+                for mask in MASKS:
                     found = seeds(words, mask)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(found.astype(np.int64)), pa.array([item] * len(found), pa.int64()), pa.array(np.arange(len(found))),
@@ -105,12 +103,12 @@ def bloom(found: DataFrame, most_bits: int = 28) -> tuple[np.ndarray, int]:
     return out, size
 
 
-def _hits(spark: SparkSession, filtered: np.ndarray, size: int, masks: list[str]):
+def _hits(spark: SparkSession, filtered: np.ndarray, size: int):
     """Documents with a place that may be a test seed: their words and those places."""
-    shared = spark.sparkContext.broadcast((filtered, size, masks))
+    shared = spark.sparkContext.broadcast((filtered, size))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, masks = shared.value
+        held, size = shared.value
         for batch in batches:
             for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
                 texts = [word_hashes(x or "") for x in part.column(2).to_pylist()]
@@ -118,7 +116,7 @@ def _hits(spark: SparkSession, filtered: np.ndarray, size: int, masks: list[str]
                 words = np.concatenate(texts)
                 left = np.repeat(ends, [len(x) for x in texts]) - np.arange(len(words))  # words of the text from here on
                 hits: dict[int, list] = {}
-                for mask in masks:
+                for mask in MASKS:
                     found = seeds(words, mask)
                     at = np.flatnonzero(left[:len(found)] >= len(mask))
                     found = found[at]
@@ -179,11 +177,12 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, item_words, matched, overlap): the documents that hold ``share`` of an item's words or more.
 
-    A word is lower-cased letters and digits. Every window of twelve words, of items and of whole documents, is
-    hashed under three masks that ignore some places, so a hit survives substituted words; windows meet by a join
-    on the hash. Each pair found is then aligned at the shifts of its hits: words count that are equal in place and
-    in a stretch of twelve with eight equal ones. Items shorter than a window are sought whole, those of under eight
-    words not at all. An item_id of several rows stands for all of its texts; repeated documents give one row.
+    A word is lower-cased letters and digits. Every window of items and of whole documents is hashed under masks that
+    count five places and ignore others, so a hit survives substituted words; windows meet by a join on the hash. Each
+    pair found is then aligned at the shifts of its hits: words count that are equal in place and in a stretch of
+    twelve (or all of a shorter item) with eight equal ones. The masks hit every such stretch, wherever its unequal
+    words are. Items of under eight words are not looked for. An item_id of several rows stands for all of its texts;
+    repeated documents give one row.
 
     A Bloom filter of the test seeds, of 32 MB at most, keeps documents without any hit from being moved. Null
     texts hold nothing; other columns are dropped.
@@ -191,13 +190,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     found = cut(test_seeds(items), "test-seeds")
-    lengths = [r.n_words for r in found.select("n_words").filter(F.col("n_words") < SPAN).distinct().collect()]  # SPAN numbers at most
     held, size = bloom(found)
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("-")), F.lit("/"), F.col("text")), 256))
     rows = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit_docs = cut(rows.mapInArrow(
-        _hits(spark, held, size, MASKS + ["1" * n for n in sorted(lengths)]),
-        "key binary, doc long, words binary, hits array<struct<seed:long,at:long>>"), "hit-documents")
+        _hits(spark, held, size), "key binary, doc long, words binary, hits array<struct<seed:long,at:long>>"), "hit-documents")
     hits = hit_docs.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
     pairs = hits.join(found, "seed").groupBy("key", "item", "n_words").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     words = items.mapInArrow(_items, "item long, item_words binary").withColumn("n_words", (F.octet_length("item_words") / 8).cast("long"))
