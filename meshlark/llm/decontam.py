@@ -22,6 +22,7 @@ MASKS = [
 ]
 SPAN = 12
 ENOUGH = 8  # equal words of SPAN that make a stretch
+LONG = 13  # words of one stretch that are a leak, whatever their share of the item
 LEAST_WORDS = 8  # shorter benchmark items say too little to be looked for
 PROBES = 4
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -140,9 +141,10 @@ _HITS = pa.schema([
     ("hits", pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int64())])))])
 
 
-def matched(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> int:
-    """Words of the item that stand in the document in a stretch (ENOUGH equal of SPAN) at one of the shifts."""
+def matched(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> tuple[int, int]:
+    """Words of the item that stand in the document in a stretch (ENOUGH equal of SPAN) at one of the shifts: all, and most of one stretch."""
     held = np.zeros(len(item), bool)
+    longest = 0
     span = min(SPAN, len(item))
     for shift in shifts:
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
@@ -155,8 +157,12 @@ def matched(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> int:
         near = np.zeros(len(item) + 1, np.int64)
         np.add.at(near, np.flatnonzero(good), 1)
         np.add.at(near, np.flatnonzero(good) + span, -1)
-        held |= equal & (np.cumsum(near)[:-1] > 0)
-    return int(held.sum())
+        inside = np.cumsum(near)[:-1] > 0
+        held |= equal & inside
+        starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        if len(starts):
+            longest = max(longest, int(np.add.reduceat((equal & inside).astype(np.int64), starts).max()))
+    return int(held.sum()), longest
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +171,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, item_words, shifts in zip(*(batch.column(x).to_pylist() for x in ("words", "item_words", "shifts")), strict=True):
             n.append(matched(np.frombuffer(words, "<u8"), np.frombuffer(item_words, "<u8"), shifts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("item"), batch.column("n_words"), pa.array(n, pa.int64())], ["doc_id", "item_id", "item_words", "matched"])
+            [batch.column("doc"), batch.column("item"), batch.column("n_words"), *(pa.array([x[k] for x in n], pa.int64()) for k in range(2))],
+            ["doc_id", "item_id", "item_words", "matched", "longest"])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, item_words, matched, overlap): the documents that hold ``share`` of an item's words or more.
+    """(doc_id, item_id, item_words, matched, overlap): the documents that hold ``share`` of an item's words or more,
+    or LONG words of it in one stretch.
 
     A word is lower-cased letters and digits. Every window of items and of whole documents is hashed under masks that
     count five places and ignore others, so a hit survives substituted words; windows meet by a join on the hash. Each
@@ -200,8 +208,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
     words = items.mapInArrow(_items, "item long, item_words binary").withColumn("n_words", (F.octet_length("item_words") / 8).cast("long"))
     whole = pairs.join(hit_docs.select("key", "doc", "words").dropDuplicates(["key"]), "key").join(words, ["item", "n_words"])
     checked = whole.select("doc", "item", "n_words", "words", "item_words", "shifts").mapInArrow(
-        _verify, "doc_id long, item_id long, item_words long, matched long")
-    best = checked.withColumn("overlap", F.col("matched") / F.col("item_words")).filter(F.col("overlap") >= share)
+        _verify, "doc_id long, item_id long, item_words long, matched long, longest long")
+    best = checked.withColumn("overlap", F.col("matched") / F.col("item_words")).filter((F.col("overlap") >= share) | (F.col("longest") >= LONG))
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "matched", "item_words")).alias("b")).select(
         "doc_id", "item_id", "b.item_words", "b.matched", "b.overlap")
 
