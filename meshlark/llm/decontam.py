@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
@@ -171,8 +171,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, item_words, shifts in zip(*(batch.column(x).to_pylist() for x in ("words", "item_words", "shifts")), strict=True):
             n.append(matched(np.frombuffer(words, "<u8"), np.frombuffer(item_words, "<u8"), shifts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("item"), batch.column("n_words"), *(pa.array([x[k] for x in n], pa.int64()) for k in range(2))],
-            ["doc_id", "item_id", "item_words", "matched", "longest"])
+            [*(batch.column(x) for x in ("key", "doc", "item", "n_words")), *(pa.array([x[k] for x in n], pa.int64()) for k in range(2))],
+            ["key", "doc_id", "item_id", "item_words", "matched", "longest"])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +181,12 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["item", "item_words"])
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """What tells rows of documents apart: the hash of doc_id and text. Rows without a text have none."""
+    doc_id = F.coalesce(F.hex(docs["doc_id"].cast("long")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(doc_id, F.lit("/"), docs["text"]), 256))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, item_words, matched, overlap): the documents that hold ``share`` of an item's words or more,
     or LONG words of it in one stretch.
@@ -195,26 +201,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
     A Bloom filter of the test seeds, of 32 MB at most, keeps documents without any hit from being moved. Null
     texts hold nothing; other columns are dropped.
     """
+    best = _leaks(docs, items, share)
+    return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "matched", "item_words")).alias("b")).select(
+        "doc_id", "item_id", "b.item_words", "b.matched", "b.overlap")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """(key, doc_id, item_id, item_words, matched, longest, overlap) of the leaks of each distinct row of documents."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     found = cut(test_seeds(items), "test-seeds")
     held, size = bloom(found)
-    key = F.unhex(F.sha2(F.concat(F.coalesce(F.hex(F.col("doc_id").cast("long")), F.lit("-")), F.lit("/"), F.col("text")), 256))
-    rows = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.filter(F.col("text").isNotNull()).select(_row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit_docs = cut(rows.mapInArrow(
         _hits(spark, held, size), "key binary, doc long, words binary, hits array<struct<seed:long,at:long>>"), "hit-documents")
     hits = hit_docs.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
     pairs = hits.join(found, "seed").groupBy("key", "item", "n_words").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     words = items.mapInArrow(_items, "item long, item_words binary").withColumn("n_words", (F.octet_length("item_words") / 8).cast("long"))
     whole = pairs.join(hit_docs.select("key", "doc", "words").dropDuplicates(["key"]), "key").join(words, ["item", "n_words"])
-    checked = whole.select("doc", "item", "n_words", "words", "item_words", "shifts").mapInArrow(
-        _verify, "doc_id long, item_id long, item_words long, matched long, longest long")
-    best = checked.withColumn("overlap", F.col("matched") / F.col("item_words")).filter((F.col("overlap") >= share) | (F.col("longest") >= LONG))
-    return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "matched", "item_words")).alias("b")).select(
-        "doc_id", "item_id", "b.item_words", "b.matched", "b.overlap")
+    checked = whole.select("key", "doc", "item", "n_words", "words", "item_words", "shifts").mapInArrow(
+        _verify, "key binary, doc_id long, item_id long, item_words long, matched long, longest long")
+    return checked.withColumn("overlap", F.col("matched") / F.col("item_words")).filter((F.col("overlap") >= share) | (F.col("longest") >= LONG))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that hold a benchmark item."""
-    leaks = cut(find_leaks(docs, items, share).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The rows of ``docs``, all columns, without those whose own text holds a benchmark item.
+
+    Other rows of the same doc_id, or of a null one, stay.
+    """
+    leaks = cut(_leaks(docs, items, share).select(F.col("key").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, _row_key(docs) == leaks["_leak"], "left_anti")

@@ -247,10 +247,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, th, class_id) for every row of (doc_id, text): rows of one class are linked by near-duplicate texts.
+    """(doc_id, th, class_id, component) for every row of (doc_id, text): rows of one class are linked by near-duplicate texts.
 
     Texts are alike if the weighted Jaccard similarity of their five-word shingles is ``least`` or more; a class is
-    a component of that relation, named by its smallest doc_id. ``th`` is the hash of the row's text.
+    a component of that relation, named by its smallest doc_id. ``th`` is the hash of the row's text, ``component`` tells classes apart where
+    doc_ids are null or repeated.
 
     Rows with the same shingles are one node from the start, so exact copies, however many, are never paired.
     Nodes that share a band of the signature meet by joins on the band's hash: first each with the smallest node of
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     signed = cut(texts.mapInArrow(_sign, SIGNED), "signatures")
     nodes = cut(signed.filter("n > 0").groupBy("node").agg(
-        F.min(F.struct("doc_id", "th")).alias("home"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("home"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")).select("node", "n", "bands", "sketch", "home.doc_id", "home.th"), "texts")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key")
@@ -289,18 +290,19 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.union(more))
     of_node = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    named = of_node.join(of_node.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("node", "class_id")
-    worded = signed.filter("n > 0").select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "class_id")
-    return worded.union(signed.filter("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id")))
+    named = of_node.join(of_node.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("node", "class_id", F.col("label").alias("component"))
+    worded = signed.filter("n > 0").select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "class_id", "component")
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/"), F.col("th").cast("string")).cast("binary")
+    return worded.union(signed.filter("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), own))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one row of each class: the first by doc_id, then by text hash.
+    """The rows of ``docs``, all columns, without all but one row of each class: the first by doc_id, a null one last, then by text hash.
 
     Rows without words are kept, but a repeated row only once.
     """
     classes = cut(near_duplicates(docs.select("doc_id", "text"), least), "classes")
-    kept = cut(classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count(F.lit(1)).alias("rows")).select(
+    kept = cut(classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th")), "kept")
     repeated = classes.groupBy("doc_id", "th").count().filter("count > 1")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text")).join(
