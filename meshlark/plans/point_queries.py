@@ -396,7 +396,7 @@ def _(t):
 
 @query("repair_surface")
 def _(t):
-    return C.repair_surface(t.tris(), RADIUS, VOXEL, overlap=0.7, iterations=2, seed=SEED)
+    return C.repair_surface(t.tris(), RADIUS, VOXEL, seed=SEED)
 
 
 # -- the whole flow ---------------------------------------------------------
