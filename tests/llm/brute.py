@@ -13,9 +13,6 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-MASKS = ["111010110111", "110111011011", "101101111101"]
-
-
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
@@ -77,28 +74,24 @@ def classes(docs, least=0.8):
 
 
 def leaks(docs, items, share=0.5):
-    """{(doc_id, item_id): matched words}, trying every alignment that a mask hits."""
+    """{(doc_id, item_id): matched words}, trying every alignment; half of the words, or 13 of one stretch."""
     out = {}
     for item_id, item_text in items:
         item = words(item_text)
-        if len(item) < 8:
-            continue
         span = min(12, len(item))
-        masks = MASKS if len(item) >= 12 else ["1" * len(item)]
-        for doc_id, text in docs:
-            doc, held = words(text), set()
+        for doc_id, text in docs if len(item) >= 8 else []:
+            doc, held, longest = words(text), set(), 0
             for shift in range(1 - len(item), len(doc)):
                 at = [k for k in range(len(item)) if 0 <= k + shift < len(doc)]
                 same = {k for k in at if item[k] == doc[k + shift]}
-                if len(same) < 8:
-                    continue
-                starts = [k for k in at if k + span - 1 in at]
-                if not any(all(bit == "0" or k + j in same for j, bit in enumerate(m)) for k in starts for m in masks):
-                    continue
-                for k in starts:
-                    if sum(j in same for j in range(k, k + span)) >= min(8, span):
-                        held |= same & set(range(k, k + span))
-            if len(held) >= share * len(item):
+                stretch, end = set(), -1
+                for k in at:
+                    window = same & set(range(k, k + span))
+                    if k + span - 1 in at and len(window) >= 8:
+                        stretch, end = stretch | window if k <= end else window, k + span
+                        longest = max(longest, len(stretch))
+                        held |= window
+            if len(held) >= share * len(item) or longest >= 13:
                 out[doc_id, item_id] = max(len(held), out.get((doc_id, item_id), 0))
     return out
 

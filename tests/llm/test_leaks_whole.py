@@ -8,29 +8,6 @@ import brute
 from meshlark.llm import decontam
 
 
-def leaks(docs, items, share=0.5):
-    """{(doc_id, item_id): matched words}, trying every alignment; half of the words, or 13 of one stretch."""
-    out = {}
-    for item_id, item_text in items:
-        item = brute.words(item_text)
-        span = min(12, len(item))
-        for doc_id, text in docs if len(item) >= 8 else []:
-            doc, held, longest = brute.words(text), set(), 0
-            for shift in range(1 - len(item), len(doc)):
-                at = [k for k in range(len(item)) if 0 <= k + shift < len(doc)]
-                same = {k for k in at if item[k] == doc[k + shift]}
-                stretch, end = set(), -1
-                for k in at:
-                    window = same & set(range(k, k + span))
-                    if k + span - 1 in at and len(window) >= 8:
-                        stretch, end = stretch | window if k <= end else window, k + span
-                        longest = max(longest, len(stretch))
-                        held |= window
-            if len(held) >= share * len(item) or longest >= 13:
-                out[doc_id, item_id] = max(len(held), out.get((doc_id, item_id), 0))
-    return out
-
-
 def test_masks_hit_every_stretch():
     """Any eight of twelve places hold the counted places of a mask; of fewer places, too."""
     counted = [{k for k, bit in enumerate(m) if bit == "1"} for m in decontam.MASKS]
@@ -53,7 +30,7 @@ def test_short_items_with_changes(spark, make_docs):
                 part[k] = "zz"
             rows.append((len(rows), " ".join([*random.choices(vocabulary, k=12), *part, *random.choices(vocabulary, k=5)]), "en", "a"))
     got = {(r.doc_id, r.item_id): r.matched for r in decontam.find_leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = leaks([r[:2] for r in rows], items)
+    want = brute.leaks([r[:2] for r in rows], items)
     assert got == want and len(want) > 400
 
 
@@ -73,5 +50,5 @@ def test_long_passages_of_longer_items(spark, make_docs):
         rows.append((len(rows), apart, "en", "a"))
     docs, table = make_docs(rows), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in decontam.find_leaks(docs, table).collect()}
-    assert set(got) == held and got == leaks([r[:2] for r in rows], items)
+    assert set(got) == held and got == brute.leaks([r[:2] for r in rows], items)
     assert {r.doc_id for r in decontam.drop_leaks(docs, table).collect()} == {r[0] for r in rows} - {d for d, _ in held}
