@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import bpe, chat, counts, decontam, langid, licences, linededup, neardup, quality, tokenids
+from meshlark.llm import bpe, chat, counts, decontam, exactdup, langid, licences, linededup, neardup, quality, runs, tokenids, turns
 from meshlark.session import cut
 
 QUERIES: dict = {}
@@ -177,3 +177,145 @@ LEFT JOIN dirs m ON m.from_dir = regexp_replace(f.path, '/[^/]*$', '')
 LEFT JOIN dirs p ON p.from_dir = split_part(f.path, '/', 1)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(paths(table(spark, sf_dir, "documents")), keep=("doc_id",))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text of ASCII characters, bit by bit."""
+    return f"""xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(8 * length({text})),
+      lambda i: CASE WHEN i % 8 = 0 THEN ascii({text}[i // 8 + 1])::UBIGINT ELSE 0::UBIGINT END)),
+      lambda c, e: xor(xor(c, e) >> 1, 3988292384::UBIGINT * (xor(c, e) & 1::UBIGINT))))::BIGINT"""
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents with a repeating end, by the contract of op11."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    marked = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut_up = marked.withColumn("words", F.when(F.col("chosen"), words)).withColumn("n", F.size("words"))
+    placed = cut_up.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    new = F.array_join(F.transform("words", lambda w, i: F.get("words", at(i).cast("int"))), " ")
+    return placed.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), new).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", f"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h
+  FROM documents
+), sized AS (
+  SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM doc
+), said AS (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN words[i + 1] ELSE words[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END AS word
+  FROM sized, range(0, n) r(i)
+), same AS (
+  SELECT x.doc_id, y.i - x.i AS d, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+  FROM said x JOIN said y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretch AS (
+  SELECT doc_id, min(i) AS start, count(*) + d AS length, d AS period FROM same GROUP BY doc_id, d, island
+  HAVING count(*) + d >= greatest(6, 4 * d)
+), run AS (
+  SELECT * FROM stretch s WHERE NOT EXISTS (
+    SELECT 1 FROM stretch t WHERE t.doc_id = s.doc_id AND t.period < s.period AND s.period % t.period = 0
+      AND t.start <= s.start AND t.start + t.length >= s.start + s.length)
+), best AS (
+  SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT s.doc_id, s.i FROM said s JOIN run r ON r.doc_id = s.doc_id AND s.i >= r.start + r.period AND s.i < r.start + r.length
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM said s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    length, start, period = -best["col1"], best["start"], best["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_exact_dedup", """
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS text
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text) AS group_size, row_number() OVER best = 1 AS kept,
+  sha256(text) AS text_sha256
+FROM bare WINDOW best AS (PARTITION BY text ORDER BY size DESC, doc_id NULLS LAST)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by the contract of op13; a dropped row stays as one that is not ``there``."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat_ws(":", told("conv_id"), told("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), hit.alias("hit"))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("hit") != 0).alias("there"), copies.alias("copy")).drop("copy")
+
+
+_BARE = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op13_repair", f"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit
+  FROM conversations
+), row AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM hit, range(0, CASE WHEN hit = 3 THEN 2 ELSE 1 END) r(copy) WHERE hit <> 0
+), told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    CASE WHEN {_BARE} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+      WHEN right({_BARE}, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM row
+), pair AS (
+  SELECT *, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS initials FROM told
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (initials NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pair GROUP BY conv_id
+), arc AS (
+  -- before each row: up to two inserted ones; state 0 nothing yet, 1 system, 2 user, 3 assistant
+  SELECT * FROM (VALUES (0, '', '', 0), (1, '', '', 1), (2, '', '', 2), (3, '', '', 3), (0, 'I', 'user:|', 2), (1, 'I', 'user:|', 2), (3, 'I', 'user:|', 2),
+    (2, 'I', 'assistant:|', 3), (0, 'II', 'user:|assistant:|', 3), (1, 'II', 'user:|assistant:|', 3)) v(was, edits, added, then_)
+), walk(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', ''::VARCHAR FROM counted
+  UNION ALL
+  SELECT * FROM (
+    SELECT w.conv_id, t.i, CASE op WHEN 'D' THEN then_ WHEN 'R' THEN CASE then_ WHEN 2 THEN 3 ELSE 2 END
+        ELSE CASE left(t.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+      w.cost + 3 * length(edits) + CASE op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+      w.audit || edits || op AS audit,
+      w.lines || replace(added, '|', chr(10)) || CASE op WHEN 'D' THEN '' WHEN 'R' THEN CASE then_ WHEN 2 THEN 'assistant:' ELSE 'user:' END || t.text || chr(10)
+        ELSE t.role || ':' || t.text || chr(10) END AS lines
+    FROM walk w JOIN told t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN arc ON arc.was = w.state
+      JOIN (VALUES ('D'), ('R'), ('K')) o(op) ON op = 'D' OR (fault IN ('', 'truncated') AND (op = 'R' OR left(t.role, 1) = 's' AND then_ = 0
+        OR left(t.role, 1) = 'u' AND then_ IN (0, 1, 3) OR left(t.role, 1) = 'a' AND then_ = 2))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT w.conv_id, w.cost + 3 * length(edits) AS cost, audit || edits AS audit, lines || replace(added, '|', chr(10)) AS lines
+  FROM walk w JOIN counted c ON c.conv_id = w.conv_id AND c.n = w.i JOIN arc ON arc.was = w.state AND then_ IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * length(edits), audit || edits) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(left(lines, greatest(length(lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted USING (conv_id) LEFT JOIN ended USING (conv_id)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
