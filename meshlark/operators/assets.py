@@ -96,10 +96,11 @@ def validation_report(rows: DataFrame) -> DataFrame:
     """Success rows with stats, error rows with the message; every input row gives one row."""
     ok = F.col("error_message").isNull()
     stat = lambda c: F.when(ok, F.col(c)).alias(c)
+    materials = [stat("materials")] if "materials" in rows.columns else []
     return rows.select(
         F.col("path").alias("file"), F.concat(stem(F.col("path")), F.lit("_report.json")).alias("report_name"),
         F.when(ok, "success").otherwise("error").alias("status"), "error_message",
-        stat("vertices"), stat("faces"), stat("dim_x"), stat("dim_y"), stat("dim_z"),
+        stat("vertices"), stat("faces"), stat("dim_x"), stat("dim_y"), stat("dim_z"), *materials,
     )
 
 

@@ -12,7 +12,7 @@ from meshlark.plans.mesh_queries import BOX, CORNERS, LOCAL, rs, rxyz
 from meshlark.plans.oracle_views import noise, r, sql
 from meshlark.plans.point_queries import BOUNDS, CROSS, _AREAS, _CUM, _FLOW, folded_xyz
 from meshlark.session import cut, fresh_dir
-from meshlark.sources import models, reports, scan
+from meshlark.sources import gltf, models, places, reports, scan
 from meshlark.sources.tables import Tables
 from meshlark.streaming import ingest, skip
 
@@ -166,9 +166,83 @@ def _(t):
 
 @query("validation_report", sql("", f"""
     SELECT path AS file, {STEM.format('path')} || '_report.json' AS report_name, CASE WHEN error_message IS NULL THEN 'success' ELSE 'error' END AS status, error_message,
-        {_ok('vertices', 'vertices')}, {_ok('faces', 'faces')}, {_ok('round(max_x - min_x, 4)', 'dim_x')}, {_ok('2e0', 'dim_y')}, {_ok('2e0', 'dim_z')} FROM g""", g=_GLB))
+        {_ok('vertices', 'vertices')}, {_ok('faces', 'faces')}, {_ok('round(max_x - min_x, 4)', 'dim_x')}, {_ok('2e0', 'dim_y')}, {_ok('2e0', 'dim_z')},
+        {_ok('o_orderpriority', 'materials')} FROM g""", g=_GLB))
 def _(t):
-    return inspector.model_reports(glb_files(t))
+    return inspector.model_reports(glb_files(t)).withColumn("materials", F.array_join("materials", ","))
+
+
+def scene_files(t):
+    """One GLB a part, built in SQL: a mesh shown by three nodes (turned below a scaled one, by a matrix, mirrored) and one that none shows."""
+    text = lambda c: F.col(c).cast("string")
+    lit = F.lit
+    body = F.concat(
+        lit('{"asset":{"version":"2.0"},"meshes":[{"primitives":[{"attributes":{"POSITION":0},"indices":1,"material":0}]},'
+            '{"primitives":[{"attributes":{"POSITION":0},"material":1}]}],"accessors":[{"count":8,"min":[-1,0,0],"max":[1,2,'), text("p_size"),
+        lit(']},{"count":36}],"materials":[{"name":"'), text("p_brand"), lit('"},{"name":"spare"}],"nodes":[{"children":[1,2],"translation":['),
+        (F.col("p_partkey") % 7).cast("string"), lit(',0,1],"scale":[2,2,2]},{"mesh":0,"rotation":[0,0,0.6,0.8],"translation":[0,'), text("p_size"),
+        lit(',0]},{"mesh":0,"matrix":[3,0,0,0,0,1,0,0,0,0,1,0,0,0,-'), text("p_size"), lit(',1]},{"mesh":0,"scale":[-1,1,1]}]}'))
+    made = t.read("part").withColumn("body", body)
+    size = F.octet_length("body")
+    whole = F.concat(F.unhex(F.concat(lit("676C5446" "02000000"), _le_hex(size + 20), _le_hex(size), lit("4A534F4E"))), F.encode("body", "UTF-8"))
+    content = F.when(F.col("p_partkey") % 11 == 0, F.substring(whole, 1, 3)).otherwise(whole)
+    return made.select(F.concat(lit("scenes/p"), text("p_partkey"), lit(".glb")).alias("path"), content.alias("content"), F.length(content).cast("long").alias("length"))
+
+
+_SCENE = """SELECT 'scenes/p' || p_partkey || '.glb' AS path, p_partkey % 11 <> 0 AS good, p_brand, p_partkey % 7 AS m, CAST(p_size AS DOUBLE) AS s FROM part"""
+_SCENE_BOX = {"min_x": "least(m - 6, -1e0)", "max_x": "greatest(m + 6, 1e0)", "min_y": "least(2 * s - 1.92e0, 0e0)", "max_y": "greatest(2 * s + 3.04e0, 4e0)",
+              "min_z": "least(1 - 2 * s, 0e0)", "max_z": "greatest(2 * s + 1, s)"}
+
+
+@query("gltf_world_bbox", sql("", f"""
+    SELECT path, CASE WHEN good THEN 'success' ELSE 'error' END AS status, CASE WHEN good THEN 24 END AS vertices, CASE WHEN good THEN 36 END AS faces,
+        CASE WHEN good THEN 3 END AS mesh_count, CASE WHEN good THEN p_brand END AS materials,
+        {', '.join(f'round(CASE WHEN good THEN {e} END, 6) + 0.0 AS {n}' for n, e in _SCENE_BOX.items())} FROM s""", s=_SCENE))
+def _(t):
+    scene = gltf.gltf_scene(gltf.content_documents(scene_files(t)))
+    return scene.select("path", "status", "vertices", "faces", "mesh_count", F.array_join("materials", ",").alias("materials"), *[rounded(c).alias(c) for c in _SCENE_BOX])
+
+
+@query("gltf_instances", sql("", """
+    SELECT path, v.* FROM s, (VALUES (1, 0.56e0, -1.92e0, 0.56e0), (2, 6e0, 0e0, 2e0), (3, -1e0, 0e0, 1e0)) v(node_id, m00, m01, m11) WHERE good""", s=_SCENE))
+def _(t):
+    found = gltf.gltf_instances(gltf.content_documents(scene_files(t)))
+    return found.select("path", "node_id", *[rounded(F.col("world")[k]).alias(n) for k, n in ((0, "m00"), (1, "m01"), (5, "m11"))])
+
+
+def tri_documents(t):
+    """The triangles of each object as one GLB on disk, then its document, read by ranges."""
+    folder = fresh_dir(t.spark, "glb")
+    named = t.tris().withColumn("path", F.concat(F.lit("o"), F.col("obj_id").cast("string"), F.lit("/mesh.glb")))
+    places.write_files(gltf.glb_files_of(named), folder)
+    return gltf.documents(gltf.read_heads(scan.asset_scan(t.spark, folder, ".glb", recursive=True)))
+
+
+_OBJ_OF = F.regexp_extract("path", "/o([0-9]+)/mesh.glb$", 1).cast("int").alias("obj_id")
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY tri_id) - 1 AS i FROM tris"
+
+
+@query("gltf_vertices", sql("tris", f"""
+    SELECT obj_id, 3 * i + c AS vert_id, {', '.join(f"CAST(CAST(CASE c WHEN 0 THEN a{c} WHEN 1 THEN b{c}{'_' if c == 'y' else ''} ELSE c{c} END AS FLOAT) AS DOUBLE) AS {c}" for c in 'xyz')}
+    FROM ranked, range(3) r(c)""", ranked=_RANKED))
+def _(t):
+    return gltf.gltf_vertices(tri_documents(t), piece=1000).select(_OBJ_OF, "vert_id", "x", "y", "z")
+
+
+@query("gltf_loops", sql("tris", "SELECT obj_id, i AS face_id, CAST(c AS INT) AS pos, 3 * i + c AS vert_id, 3 AS n FROM ranked, range(3) r(c)", ranked=_RANKED))
+def _(t):
+    return gltf.gltf_loops(tri_documents(t), piece=1000).select(_OBJ_OF, "face_id", "pos", "vert_id", "n")
+
+
+@query("report_files", sql("", f"""
+    SELECT 'scenes/p' || regexp_extract(path, '([0-9]+)', 1) || '_report.json' AS report, CASE WHEN good THEN 'success' ELSE 'error' END AS status,
+        CASE WHEN good THEN p_brand END AS materials, round(CASE WHEN good THEN {_SCENE_BOX['max_x']} - {_SCENE_BOX['min_x']} END, 4) + 0.0 AS dim_x FROM s""", s=_SCENE))
+def _(t):
+    folder = fresh_dir(t.spark, "reports")
+    rows = inspector.model_reports(scene_files(t))
+    reports.write_report_files(rows, F.concat(F.lit("scenes/"), F.col("report_name")), folder)
+    back = reports.read_report_files(t.spark, folder, "status string, materials array<string>, dim_x double")
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), "(scenes/[^/]*)$", 1).alias("report"), "status", F.array_join("materials", ",").alias("materials"), "dim_x")
 
 
 @query("validation_summary", sql("", """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from meshlark.operators import assets as A, mesh as M
-from meshlark.sources import models, reports, scan
+from meshlark.session import cut
+from meshlark.sources import gltf, reports, scan
 from meshlark.sources.tables import Tables
 
 
@@ -21,16 +22,23 @@ def scene_reports(t: Tables) -> DataFrame:
     )
 
 
-def model_reports(files: DataFrame) -> DataFrame:
-    """Validation rows of glTF contents (path, length, content)."""
-    stats = models.gltf_stats(files)
+def _reports(docs: DataFrame) -> DataFrame:
     dims = {f"dim_{c}": F.round(F.col(f"max_{c}") - F.col(f"min_{c}"), 4) + 0.0 for c in "xyz"}
-    return A.validation_report(stats.withColumns(dims))
+    return A.validation_report(gltf.gltf_scene(docs).withColumns(dims))
+
+
+def model_reports(files: DataFrame) -> DataFrame:
+    """Validation rows of glTF contents (path, length, content): counts, materials and world box over all instances."""
+    return _reports(gltf.content_documents(files))
+
 
+def inspect_folder(spark, folder: str, out: str, ext: str = ".glb") -> DataFrame:
+    """Inspect every model below ``folder`` by its head alone and return the summary row.
 
-def inspect_folder(spark, folder: str, out: str, glob: str = "*.glb") -> DataFrame:
-    """Read every model below ``folder``, write one report each below ``out``, and return the summary row."""
-    rows = model_reports(scan.asset_contents(spark, folder, glob)).withColumn("stem", A.stem(F.col("file")))
-    reports.write_reports(rows, out)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return A.validation_summary(reports.read_reports(spark, out, schema))
+    Each model's report is a file ``{stem}_report.json`` below ``out``, in the folder that it has below ``folder``.
+    """
+    files = scan.asset_scan(spark, folder, ext, recursive=True)
+    rows = cut(_reports(gltf.documents(gltf.read_heads(files))), "reports")
+    inside = F.regexp_replace(F.substring_index("file", folder.rstrip("/").split(":")[-1].rstrip("/") + "/", -1), "[^/]*$", "")
+    reports.write_report_files(rows, F.concat(inside, F.col("report_name")), out)
+    return A.validation_summary(rows)

@@ -31,14 +31,14 @@ def _u32(content: Column, at: int) -> Column:
     return F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
 
 
-def gltf_documents(files: DataFrame) -> DataFrame:
+def gltf_documents(files: DataFrame, schema: str = GLTF_SCHEMA) -> DataFrame:
     """path, length, gltf (parsed JSON), error_message of .glb contents or .gltf text (path, length, content)."""
     content = F.col("content")
     text = F.endswith(F.lower("path"), F.lit(".gltf"))
     framed = (F.hex(F.substring(content, 1, 4)) == GLB_MAGIC) & (F.hex(F.substring(content, 17, 4)) == JSON_CHUNK)
     size, held = _u32(content, 13), F.length(content) - 20
     body = F.when(text, content).when(framed, F.substring(content, F.lit(21), F.least(size, held.cast("long")).cast("int")))
-    parsed = files.withColumn("gltf", F.from_json(F.decode(body, "UTF-8"), GLTF_SCHEMA))
+    parsed = files.withColumn("gltf", F.from_json(F.decode(body, "UTF-8"), schema))
     message = F.when(~text & ~F.coalesce(framed, F.lit(False)), BAD_HEADER).when(~text & (size > held), BAD_LENGTH).when(F.col("gltf.asset.version").isNull(), BAD_JSON)
     return parsed.select("path", "length", "gltf", message.alias("error_message"))
 

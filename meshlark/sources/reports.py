@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from meshlark.sources.places import write_files
+
 
 def report_path(path: Column) -> Column:
     """A path without the .json suffix is a folder and gets report.json inside it."""
@@ -20,3 +22,15 @@ def write_reports(reports: DataFrame, folder: str, key: str = "stem") -> None:
 
 def read_reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(folder)
+
+
+def write_report_files(reports: DataFrame, path: Column, folder: str) -> None:
+    """One JSON file per row at exactly ``report_path(path)``, below ``folder`` where that is relative.
+
+    A report appears whole or not at all; rows of one path replace each other.
+    """
+    write_files(reports.select(report_path(path).alias("path"), F.encode(F.to_json(F.struct("*")), "UTF-8").alias("content")), folder)
+
+
+def read_report_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(folder)
