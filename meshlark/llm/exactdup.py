@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,33 @@ def _named(cells: DataFrame, *content: str) -> DataFrame:
     return cut(distinct.select(*content, F.monotonically_increasing_id().alias("name")), "names")
 
 
-def identities(rows: DataFrame) -> DataFrame:
+def _named_blocks(cells: DataFrame) -> DataFrame:
+    """(row, n, place, name) of (row, n, place, hash, block): names as by ``_named``, with each block's bytes moved only once.
+
+    The different blocks of each hash are gathered, sorted and named. Where a hash has a single block it stands for it
+    in the join that brings the names back; the blocks of other hashes are compared themselves.
+    """
+    gathered = cells.groupBy("hash").agg(F.collect_set("block").alias("blocks"))
+    each = gathered.select("hash", (F.size("blocks") > 1).alias("clash"), F.explode("blocks").alias("block")).sortWithinPartitions("block")
+    names = cut(each.select("hash", F.when(F.col("clash"), F.col("block")).alias("block"), F.monotonically_increasing_id().alias("name")), "names")
+    named = cells.select("row", "n", "place", "hash").join(names.filter("block IS NULL").select("hash", "name"), "hash").select("row", "n", "place", "name")
+    clashes = cut(names.filter("block IS NOT NULL"), "clashes")
+    if not clashes.isEmpty():
+        named = named.unionByName(cells.join(clashes, ["hash", "block"]).select("row", "n", "place", "name"))
+    return cut(named, "cells")
+
+
+def identities(rows: DataFrame, hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """(row, level, name) of (row, blocks): two rows have the same level and name if and only if their blocks are equal.
 
     Blocks are named first; then, level by level, each pair of neighbouring names, a last one without neighbour being
     a pair of its own kind. A row whose names have become one is done. Levels are as many as the logarithm of the
-    longest row's blocks. Rows without blocks have level -1. Names hold for this run alone.
+    longest row's blocks. Rows without blocks have level -1. Names hold for this run alone. ``hashed`` only brings
+    equal blocks together; how many others share a hash makes no difference to the result.
     """
     done = rows.filter(F.size("blocks") == 0).select("row", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))
-    cells = rows.select("row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("place", "block"))
-    names = _named(cells, "block")
-    cells = cut(cells.join(names, "block").select("row", "n", "place", "name"), "cells")
-    level = 0
+    cells = rows.select("row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("place", "block")).withColumn("hash", hashed("block"))
+    cells, level = _named_blocks(cells), 0
     while True:
         done = done.union(cells.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
         more = cells.filter("n > 1")

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshlark.llm import exactdup, plans, runs, turns
 
@@ -146,6 +147,19 @@ def test_exact_groups(spark, make_docs, odd_rows):
     assert exactdup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_blocks_that_share_a_hash(spark):
+    """Names tell blocks apart whatever the hash."""
+    random.seed(10)
+    rows = [(k, [bytes(random.choices(b"ab", k=random.choice((1, 2)))) for _ in range(random.choice((0, 1, 2, 3, 5)))]) for k in range(300)]
+    table = spark.createDataFrame(rows, "row long, blocks array<binary>")
+    for hashed in (lambda c: F.lit(1), lambda c: F.length(c), F.xxhash64):
+        got = {r.row: (r.level, r.name) for r in exactdup.identities(table, hashed).collect()}
+        of = {}
+        for k, blocks in rows:
+            of.setdefault(tuple(blocks), set()).add(got[k])
+        assert len(got) == len(rows) and all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+
+
 def test_a_third_of_all_rows_is_one_text(spark, make_docs):
     rows = [(k, "the same text " * 200 if k % 3 == 0 else f"text {k} " * 100, "en", "a") for k in range(900)]
     got = exactdup.exact_duplicates(make_docs(rows), 256)
