@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
+from meshlark.llm.held import Settled
 
 ship(__name__)
 CHUNK = 1 << 15  # code points of a chunk
@@ -21,7 +22,10 @@ HELD = 200_000  # pre-tokens whose ids a worker keeps
 
 
 class Coder:
-    """Encoder and decoder of one rank file, with the ids of recent pre-tokens."""
+    """Encoder and decoder of one rank file, with the ids of recent pre-tokens.
+
+    A text with a character on which character tables differ is split by the library itself.
+    """
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
@@ -31,6 +35,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.held: dict[str, bytes] = {}
+        self.settled = Settled()
         self.bytes_of = {i: b for b, i in ranks.items()}
 
     def _learn(self, piece: str) -> bytes:
@@ -41,6 +46,8 @@ class Coder:
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
+        if not self.settled.all_of(text):
+            return np.array(self._encode.encode_ordinary(text), dtype="<u4").tobytes()
         get, learn = self.held.get, self._learn
         return b"".join([get(piece) or learn(piece) for piece in self.split(text)])
 
@@ -141,7 +148,7 @@ def _boundaries(files: Files, chunk: int, overlap: int):
 
     Boundaries count from the start of the chunk that owns them. Those at the very end of what the chunk reads are
     left out while the text goes on: what follows could move them. So are those behind white space, which would
-    be split otherwise at the end of a piece.
+    be split otherwise at the end of a piece, and those beside a pre-token with a character on which tables differ.
     """
     places = pa.list_(pa.int32())
     kind = _CHUNK_ROWS.append(pa.field("head", places)).append(pa.field("tail", places))
@@ -153,7 +160,9 @@ def _boundaries(files: Files, chunk: int, overlap: int):
             for text, is_open in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = coder.split(text)
                 ends = np.cumsum([len(x) for x in found])
-                ends = ends[[not x[-1].isspace() and (end <= len(text) - AHEAD or not is_open) for x, end in zip(found, ends, strict=True)]]
+                sure = [True] * (len(found) + 1) if coder.settled.all_of(text) else [*map(coder.settled.all_of, found), True]
+                ends = ends[[not x[-1].isspace() and (end <= len(text) - AHEAD or not is_open) and sure[k] and sure[k + 1]
+                             for k, (x, end) in enumerate(zip(found, ends, strict=True))]]
                 heads.append(ends[ends < overlap].astype(np.int32))
                 tails.append((ends[ends >= chunk] - chunk).astype(np.int32))
             yield pa.RecordBatch.from_arrays(

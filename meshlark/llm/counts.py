@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
+from meshlark.llm.held import Settled
 
 ship(__name__)
 CHUNK = 1 << 15  # code points
@@ -131,10 +132,14 @@ class Transducer:
 
 
 class Counter:
-    """Token counts of texts for a file of the tokenizers library: BPE with word ends, lower-cased, white space dropped."""
+    """Token counts of texts for a file of the tokenizers library: BPE with word ends, lower-cased, white space dropped.
+
+    Texts of settled characters are normalised and split here; others by the library's own normaliser and splitter.
+    """
 
     def __init__(self, content: bytes):
         import regex
+        from tokenizers import Tokenizer
 
         says = json.loads(content)
         model, split = says["model"], says["pre_tokenizer"]["pretokenizers"][0]
@@ -147,6 +152,9 @@ class Counter:
         specials = [x["content"] for x in says["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.held: dict[str, int] = {}
+        library = Tokenizer.from_str(content.decode())
+        self.normalise, self.split, self.byte_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, byte_letters()
+        self.settled = Settled()
 
     def _learn(self, word: str) -> int:
         if len(self.held) >= HELD:
@@ -162,6 +170,9 @@ class Counter:
 
     def _count(self, text: str) -> int:
         if not text.isascii():
+            if not self.settled.all_of(text):
+                pieces = [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.split(self.normalise(text))]
+                return sum(map(self.transducer.count, pieces))
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing goes letter by letter there
         get, learn = self.held.get, self._learn
         return sum([get(w) or learn(w) for w in self.words(text.lower())])
@@ -281,8 +292,8 @@ def count_tokens(docs: DataFrame, file: File, limit: int = 2048, chunk: int = CH
 
     Texts of one chunk are counted where they are. Longer ones are cut into chunks that are dealt out over the
     cluster; each becomes a state map, and the maps of one text compose in three steps, 64 neighbours at a time.
-    Rows of one long text and id are counted once and multiplied. Null text counts as empty; other columns are
-    dropped.
+    Rows of one long text and id are counted once and multiplied. Null text counts as empty; special tokens' strings
+    inside texts count as those tokens; an empty table gives no rows; other columns are dropped.
     """
     bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
 from meshlark.llm.counts import byte_letters
-from meshlark.llm.held import Held
+from meshlark.llm.held import Held, Settled
 from meshlark.session import cut, fresh_dir
 
 ship(__name__)
@@ -67,7 +67,7 @@ class Tokenizer:
         self.library = Library.from_buffer(content)
         self.model, self.split = self.library.model, regex.compile(PATTERN).findall
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
-        self.pieces = Held(self._piece, HELD)
+        self.pieces, self.settled = Held(self._piece, HELD), Settled()
 
     def _piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -75,7 +75,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.plain and not self.special(text):
+        if self.plain and self.settled.all_of(text) and not self.special(text):
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
