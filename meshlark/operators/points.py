@@ -23,6 +23,17 @@ def _diagonal() -> Column:
     return V.length(tuple(F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"))
 
 
+def lattice_number() -> Column:
+    """The number of lattice point (ix, iy, iz) of a bounds row with ``spacing``."""
+    last = lambda c: F.floor((F.col(f"max_{c}") - F.col(f"min_{c}")) / F.col("spacing")).cast("long")
+    return (F.col("ix") * (last("y") + 1) + F.col("iy")) * (last("z") + 1) + F.col("iz")
+
+
+def spaced_bounds(bounds: DataFrame, divisions: float) -> DataFrame:
+    """Adds ``spacing``: each box's diagonal over ``divisions``."""
+    return bounds.withColumn("spacing", _diagonal() / divisions)
+
+
 def _lattice(bounds: DataFrame, inclusive: bool) -> DataFrame:
     """(obj_id, pt_id, ix, iy, iz, x, y, z, spacing) of each bounds row, which carries ``spacing``.
 
@@ -39,8 +50,7 @@ def _lattice(bounds: DataFrame, inclusive: bool) -> DataFrame:
     if not inclusive:
         for c in "xyz":
             pts = pts.filter((F.col(c) > F.col(f"min_{c}")) & (F.col(c) < F.col(f"max_{c}")))
-    number = (F.col("ix") * (last("y") + 1) + F.col("iy")) * (last("z") + 1) + F.col("iz")
-    return pts.select("obj_id", number.alias("pt_id"), "ix", "iy", "iz", "x", "y", "z", "spacing")
+    return pts.select("obj_id", lattice_number().alias("pt_id"), "ix", "iy", "iz", "x", "y", "z", "spacing")
 
 
 def scatter_spacing(max_sdf: Column, threshold: float = 0.5) -> Column:
@@ -54,7 +64,7 @@ def grid_scatter(bounds: DataFrame, max_sdf: Column, threshold: float = 0.5) ->
 
 def volume_scatter(bounds: DataFrame, divisions: float = 200.0) -> DataFrame:
     """Lattice strictly inside each box, spaced by its diagonal over ``divisions``."""
-    return _lattice(bounds.withColumn("spacing", _diagonal() / divisions), inclusive=False)
+    return _lattice(spaced_bounds(bounds, divisions), inclusive=False)
 
 
 def scatter_outcome(points: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -342,13 +342,13 @@ def _gap(points: DataFrame, tris: DataFrame) -> float:
 
 # -- inside by ray parity ---------------------------------------------------
 
-SAME_SURFACE = 1e-4  # a hit no further than this above the one before it is the same surface
+SAME_SURFACE = 1e-4  # a hit no further than this above the last one counted is the same surface
 
 
 def ray_hits(points: DataFrame, tris: DataFrame) -> DataFrame:
     """(obj_id, pt_id, hits): surfaces of the object above each point, straight up; 0 where there is none.
 
-    A point's hits are walked upwards; one within ``SAME_SURFACE`` of the hit before it is not counted again.
+    A point's hits are walked upwards; one within ``SAME_SURFACE`` of the last one counted is not counted.
     """
     flat = cut(_with_box(distinct_tris(tris)), "tris")
     size = _surface_cell(flat, "xy")
@@ -369,10 +369,12 @@ def ray_hits(points: DataFrame, tris: DataFrame) -> DataFrame:
         .filter("hz > z")
         .select("obj_id", "pt_id", "hz")
     )
-    below = F.lag("hz").over(Window.partitionBy("obj_id", "pt_id").orderBy("hz"))
-    surfaces = hits.withColumn("surface", below.isNull() | (F.col("hz") - below > SAME_SURFACE)).select("obj_id", "pt_id", "surface")
-    none = base.select("obj_id", "pt_id", F.lit(False).alias("surface"))
-    return surfaces.unionByName(none).groupBy("obj_id", "pt_id").agg(F.count_if("surface").alias("hits"))
+    start = F.struct(F.lit(-math.inf).alias("last"), F.lit(0).cast("long").alias("n"))
+    counted = lambda acc, hz: F.when(hz - acc["last"] > SAME_SURFACE, F.struct(hz.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    none = base.select("obj_id", "pt_id", F.lit(None).cast("double").alias("hz"))
+    # nulls are not collected, so a point without a hit has an empty list
+    return hits.unionByName(none).groupBy("obj_id", "pt_id").agg(F.array_sort(F.collect_list("hz")).alias("up")).select(
+        "obj_id", "pt_id", F.aggregate("up", start, counted)["n"].alias("hits"))
 
 
 def signed_distance(points: DataFrame, tris: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshlark.functions.vector import rounded
-from meshlark.operators import mesh as M, points as P, spatial as S
+from meshlark.operators import columns, mesh as M, points as P, spatial as S
 from meshlark.plans import candidates as C
 from meshlark.plans.common import registrar
 from meshlark.plans.mesh_queries import CROSS, rs, rxyz
@@ -39,14 +39,19 @@ def lattice(bounds: str, inclusive: bool) -> str:
         unnest(range(0, {_last('x')} + 1)) a(ix), unnest(range(0, {_last('y')} + 1)) b(iy), unnest(range(0, {_last('z')} + 1)) c(iz)) {keep}"""
 
 
+def counted(heights: str) -> str:
+    """How many of a sorted list of heights lie more than 1e-4 above the last one counted."""
+    return (f"coalesce(list_reduce(list_transform({heights}, lambda h: {{'l': h, 'n': 1}}), "
+            "lambda a, b: CASE WHEN b.l - a.l > 1e-4 THEN {'l': b.l, 'n': a.n + 1} ELSE a END).n, 0)")
+
+
 def hits_above(points: str, tris: str = "tris") -> str:
-    """Surfaces straight above each point by brute force: hits more than 1e-4 above the one before."""
-    return f"""SELECT obj_id, pt_id, count(*) FILTER (p IS NULL OR hz - p > 1e-4) AS hits FROM (
-        SELECT obj_id, pt_id, hz, lag(hz) OVER (PARTITION BY obj_id, pt_id ORDER BY hz) AS p FROM (
+    """Surfaces straight above each point by brute force: hits more than 1e-4 above the last one counted."""
+    return f"""SELECT obj_id, pt_id, CAST({counted("list(hz ORDER BY hz)")} AS BIGINT) AS hits FROM (
             SELECT obj_id, pt_id, z, az + (bz-az)*v + (cz-az)*w AS hz FROM (
                 SELECT *, ((x-ax)*(cy-ay) - (y-ay)*(cx-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS v,
                     ((bx-ax)*(y-ay) - (by_-ay)*(x-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS w
-                FROM {points} JOIN {tris} USING (obj_id)) WHERE v >= 0 AND w >= 0 AND v + w <= 1) WHERE hz > z) GROUP BY 1, 2"""
+                FROM {points} JOIN {tris} USING (obj_id)) WHERE v >= 0 AND w >= 0 AND v + w <= 1) WHERE hz > z GROUP BY 1, 2"""
 
 
 def nearest(points: str, tris: str = "tris", by_plane: bool = False) -> dict[str, str]:
@@ -102,15 +107,39 @@ def _(t):
     return rxyz(P.grid_scatter(bounds, F.col("max_sdf")), "obj_id", "pt_id")
 
 
+def interior(divisions: float) -> dict[str, str]:
+    """CTEs ending in ``pt``: the lattice points inside, by the crossings of each column (needs ``b``)."""
+    span = lambda c, b: f"unnest(range(CAST(floor((least(a{c}, {b}, c{c}) - min_{c}) / spacing) AS BIGINT) - 1, CAST(floor((greatest(a{c}, {b}, c{c}) - min_{c}) / spacing) AS BIGINT) + 2)) r{c}(i{c})"
+    return {
+        "s": f"SELECT *, {DIAG} / {divisions!r}e0 AS spacing FROM b",
+        "over": f"SELECT t.*, ix, iy, min_x + ix * spacing AS x, min_y + iy * spacing AS y FROM tris t JOIN s USING (obj_id), {span('x', 'bx')}, {span('y', 'by_')} "
+                "WHERE min_x + ix * spacing > min_x AND min_x + ix * spacing < max_x AND min_y + iy * spacing > min_y AND min_y + iy * spacing < max_y",
+        "hz": """SELECT obj_id, ix, iy, list(hz ORDER BY hz) AS hs FROM (SELECT *, az + (bz-az)*v + (cz-az)*w AS hz FROM (
+            SELECT *, ((x-ax)*(cy-ay) - (y-ay)*(cx-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS v,
+                ((bx-ax)*(y-ay) - (by_-ay)*(x-ax)) / nullif((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax), 0) AS w FROM over)
+            WHERE v >= 0 AND w >= 0 AND v + w <= 1) GROUP BY 1, 2, 3""",
+        "between": f"""SELECT obj_id, ix, iy, coalesce(hs[i - 1], -1e300) AS lo, hs[i] AS hi FROM hz, unnest(range(1, len(hs) + 1)) r(i)
+            WHERE {counted("hs[i:]")} % 2 = 1""",
+        "pt": """SELECT obj_id, ix, iy, iz FROM between JOIN s USING (obj_id),
+            unnest(range(CAST(floor((greatest(lo, min_z) - min_z) / spacing) AS BIGINT) - 1, CAST(floor((least(hi, max_z) - min_z) / spacing) AS BIGINT) + 2)) z(iz)
+            WHERE min_z + iz * spacing >= lo AND min_z + iz * spacing < hi AND min_z + iz * spacing > min_z AND min_z + iz * spacing < max_z""",
+    }
+
+
 @query("grid_scatter_inside", sql("points tris", """
     SELECT obj_id, coalesce(n, 0) AS n_points, coalesce(n, 0) >= 2 AS success,
         CASE WHEN coalesce(n, 0) < 2 THEN 'Only ' || coalesce(n, 0) || ' points inside (need >= 2)' END AS message
-    FROM b LEFT JOIN (SELECT obj_id, count(*) AS n FROM hit WHERE hits % 2 = 1 GROUP BY 1) USING (obj_id)""", b=TRI_BOUNDS,
-    s=f"SELECT *, {DIAG} / 16e0 AS spacing FROM b", lat=lattice("s", False), hit=hits_above("lat")))
+    FROM b LEFT JOIN (SELECT obj_id, count(*) AS n FROM pt GROUP BY 1) USING (obj_id)""", b=TRI_BOUNDS, **interior(200)))
 def _(t):
     bounds = P.tri_bounds(t.tris())
-    inside = S.cull_raycast(P.volume_scatter(bounds, 16.0), t.tris(), keep="inside")
-    return P.scatter_outcome(inside, bounds)
+    return P.scatter_outcome(columns.volume_scatter_inside(t.tris(), bounds), bounds)
+
+
+@query("volume_scatter_inside", sql("points tris", """
+    SELECT obj_id, ix, count(*) AS n_points, CAST(sum(iy) AS BIGINT) AS sum_iy, CAST(sum(iz) AS BIGINT) AS sum_iz FROM pt GROUP BY 1, 2""", b=TRI_BOUNDS, **interior(200)))
+def _(t):
+    inside = columns.volume_scatter_inside(t.tris(), P.tri_bounds(t.tris()))
+    return inside.groupBy("obj_id", "ix").agg(F.count("*").alias("n_points"), F.sum("iy").alias("sum_iy"), F.sum("iz").alias("sum_iz"))
 
 
 @query("volume_scatter", sql("points", f"SELECT obj_id, pt_id, {rs('x y z')} FROM lat", b=BOUNDS, s=f"SELECT *, {DIAG} / 24e0 AS spacing FROM b", lat=lattice("s", False)))
