@@ -444,6 +444,23 @@ def mesh_to_sdf(tris: DataFrame, voxel: float, band: float | None = None) -> Dat
     return voxels.join(hits, ["obj_id", "pt_id"]).select("obj_id", "pt_id.ix", "pt_id.iy", "pt_id.iz", signed.alias("sdf"))
 
 
+def sample_field(points: DataFrame, voxels: DataFrame, voxel: float) -> DataFrame:
+    """(obj_id, pt_id, sdf): the field of (obj_id, ix, iy, iz, sdf) read at each point between its eight voxels, by their nearness.
+
+    A point names its eight corners, which meet the voxels in one equi-join; where one of them is not in the field
+    (outside its band) the point has null.
+    """
+    low = {c: F.floor(F.col(c) / voxel) for c in "xyz"}
+    sides = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("xyz", (a, b, d))]) for a in (0, 1) for b in (0, 1) for d in (0, 1)])
+    placed = points.select("obj_id", "pt_id", *[low[c].alias(f"l{c}") for c in "xyz"], *[(F.col(c) / voxel - low[c]).alias(f"f{c}") for c in "xyz"])
+    asked = placed.withColumn("d", F.explode(sides))
+    near = {c: F.when(F.col(f"d.d{c}") == 1, F.col(f"f{c}")).otherwise(1.0 - F.col(f"f{c}")) for c in "xyz"}
+    asked = asked.select("obj_id", "pt_id", *[(F.col(f"l{c}") + F.col(f"d.d{c}")).alias(f"i{c}") for c in "xyz"], (near["x"] * near["y"] * near["z"]).alias("w"))
+    met = asked.join(voxels.select("obj_id", "ix", "iy", "iz", "sdf"), ["obj_id", "ix", "iy", "iz"], "left")
+    return met.groupBy("obj_id", "pt_id").agg(
+        F.when(F.count("sdf") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("sdf"))).alias("sdf"))
+
+
 def iso_surface_faces(voxels: DataFrame) -> DataFrame:
     """Voxel faces between sdf < 0 and sdf >= 0: (obj_id, axis, ix, iy, iz, outward) on the lower voxel.
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meshlark.functions import vector as V
 from meshlark.functions.skew import piece_of, running
 
-TOO_FEW_POSITIONS = "Need at least 2 positions for linear keyframes"
-TOO_FEW_CONTROL_POINTS = "Need at least 2 control points for a Bezier path"
+TOO_FEW_POSITIONS = "Path of fewer than two positions"
+TOO_FEW_CONTROL_POINTS = "Curve of fewer than two control points"
 SKIP_TEXT = ("Skipping ", ": Subject is animated.")
 
 
@@ -78,6 +78,11 @@ def path_errors(waypoints: DataFrame, message: str = TOO_FEW_POSITIONS) -> DataF
     return waypoints.groupBy("path_id").agg(F.count("*").alias("m")).filter("m < 2").select("path_id", F.lit(message).alias("message"))
 
 
+def curve_errors(control_points: DataFrame) -> DataFrame:
+    """(path_id, message) of the curves that ``bezier_path`` has no segment for: those of one point."""
+    return path_errors(control_points, TOO_FEW_CONTROL_POINTS)
+
+
 def linear_path(waypoints: DataFrame, frame_count: int = 150, frame_start: int = 1) -> DataFrame:
     """Keys along straight segments; frames are shared evenly and the last is one past the scene's end.
 

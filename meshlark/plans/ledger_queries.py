@@ -329,6 +329,23 @@ def _(t):
     return trees.world_offset(t.nodes()).withColumn("tx", F.round("tx", 6) + 0.0)
 
 
+@query("world_matrix", sql("nodes", """
+    SELECT node_id, root, depth, round(cos(a), 6) + 0.0 AS m00, round(sin(a), 6) + 0.0 AS m10, round(x, 6) + 0.0 AS m03, round(y, 6) + 0.0 AS m13, round(z, 6) + 0.0 AS m23 FROM turned""",
+    turned="""
+    SELECT node_id, node_id AS root, 0::BIGINT AS depth, tx / 4e0 AS a, tx AS x, 1e0 AS y, CAST(node_id % 5 AS DOUBLE) AS z FROM nodes WHERE parent_id IS NULL
+    UNION ALL
+    SELECT n.node_id, w.root, w.depth + 1, w.a + n.tx / 4e0, w.x + cos(w.a) * n.tx - sin(w.a) * 1e0, w.y + sin(w.a) * n.tx + cos(w.a) * 1e0, w.z + n.node_id % 5
+    FROM nodes n JOIN turned w ON n.parent_id = w.node_id"""))
+def _(t):
+    turn, zero, one = F.col("tx") / 4, F.lit(0.0), F.lit(1.0)
+    local = F.array(F.cos(turn), -F.sin(turn), zero, F.col("tx"), F.sin(turn), F.cos(turn), zero, one,
+                    zero, zero, one, (F.col("node_id") % 5).cast("double"), zero, zero, zero, one)
+    m = F.col("matrix")
+    at = {"m00": 0, "m10": 4, "m03": 3, "m13": 7, "m23": 11}
+    return trees.world_matrix(t.nodes().withColumn("matrix", local)).select(
+        "node_id", "root", "depth", *[(F.round(m[k], 6) + 0.0).alias(n) for n, k in at.items()])
+
+
 _EDGES = """SELECT CAST(floor((p_partkey - 1) / 4.0) AS BIGINT) AS src, p_partkey AS dst FROM part WHERE p_partkey > 0
     UNION SELECT CAST(floor(p_partkey / 7.0) AS BIGINT), p_partkey FROM part WHERE p_partkey > 0
     UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey % 400 = 399

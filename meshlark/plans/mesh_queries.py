@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshlark.functions.vector import rounded
-from meshlark.operators import mesh as M
+from meshlark.operators import mesh as M, winding
 from meshlark.plans.common import registrar
 from meshlark.plans.oracle_views import r, sql
 
@@ -229,6 +229,35 @@ def _(t):
     return M.flip_negative(t.loops(), t.objects()).select("obj_id", "face_id", "pos", "vert_id")
 
 
+def part_boxes(t):
+    """(loops, vertices): a box a part, some of its faces turned round."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    ends = {"min_x": key % 7, "max_x": key % 7 + size, "min_y": -size, "max_y": F.lit(1.0), "min_z": F.lit(2.0), "max_z": 2 + size / 4}
+    bounds = t.read("part").select(key.alias("obj_id"), *[e.cast("double").alias(c) for c, e in ends.items()])
+    face = F.col("face_id")
+    turned = (F.col("obj_id") * 5 + face * face) % 3 == 0
+    loops = M.box_faces(bounds, "obj_id").select(
+        "obj_id", (F.col("obj_id") * 6 + face).alias("face_id"), F.when(turned, 3 - F.col("pos")).otherwise(F.col("pos")).alias("pos"),
+        F.col("corner").alias("vert_id"), F.lit(4).alias("n"))
+    return loops, M.aabb_box(bounds, "obj_id", padding=0.0).withColumnRenamed("corner", "vert_id")
+
+
+_BOX_LOOPS = """SELECT p_partkey AS obj_id, p_partkey * 6 + f AS face_id, CAST(p AS INT) AS pos, CAST(q[p + 1] AS INT) AS vert_id,
+        (p_partkey * 5 + f * f) % 3 = 0 AS turned FROM part,
+        (VALUES (0, [0,1,3,2]), (1, [2,3,7,6]), (2, [6,7,5,4]), (3, [4,5,1,0]), (4, [2,6,4,0]), (5, [7,3,1,5])) v(f, q), range(4) r(p)"""
+
+
+@query("outward_winding", sql("", "SELECT obj_id, face_id, pos, vert_id FROM box_loops", box_loops=_BOX_LOOPS))
+def _(t):
+    loops, vertices = part_boxes(t)
+    return winding.outward_winding(loops, vertices).select("obj_id", "face_id", "pos", "vert_id")
+
+
+@query("outward_turns", sql("", "SELECT DISTINCT obj_id, face_id, obj_id * 6 AS part, turned AS turn FROM box_loops", box_loops=_BOX_LOOPS))
+def _(t):
+    return winding.outward_turns(*part_boxes(t))
+
+
 @query("center_at_origin", sql("vertices objects", f"""
     SELECT obj_id, vert_id, {r('x - cx', 'x')}, {r('y - cy', 'y')}, {r('z - cz', 'z')} FROM world
     JOIN (SELECT obj_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM corners GROUP BY 1) USING (obj_id)""", local_box=LOCAL, corners=CORNERS, world=WORLD))

@@ -241,6 +241,18 @@ def _(t):
     return rxyz(S.mesh_to_sdf(t.tris(), 0.1, 0.1), "obj_id", "ix", "iy", "iz", cols=("sdf",))
 
 
+@query("sample_sdf_field", sql("points", f"""
+    SELECT obj_id, pt_id, CASE WHEN count(sdf) = 8 THEN round(sum(w * sdf), 6) + 0.0 END AS sdf FROM asked LEFT JOIN vox USING (obj_id, ix, iy, iz) GROUP BY 1, 2""",
+    vox=voxel_sql("points"), q=JITTERED, asked="""
+    SELECT obj_id, pt_id, CAST(floor(x / 0.05e0) AS BIGINT) + a AS ix, CAST(floor(y / 0.05e0) AS BIGINT) + b AS iy, CAST(floor(z / 0.05e0) AS BIGINT) + c AS iz,
+        (CASE a WHEN 1 THEN x / 0.05e0 - floor(x / 0.05e0) ELSE 1 - (x / 0.05e0 - floor(x / 0.05e0)) END)
+        * (CASE b WHEN 1 THEN y / 0.05e0 - floor(y / 0.05e0) ELSE 1 - (y / 0.05e0 - floor(y / 0.05e0)) END)
+        * (CASE c WHEN 1 THEN z / 0.05e0 - floor(z / 0.05e0) ELSE 1 - (z / 0.05e0 - floor(z / 0.05e0)) END) AS w
+    FROM q, range(2) ra(a), range(2) rb(b), range(2) rc(c)"""))
+def _(t):
+    return rxyz(S.sample_field(jittered(t), S.points_to_sdf(t.points(), RADIUS, VOXEL), VOXEL), "obj_id", "pt_id", cols=("sdf",))
+
+
 # -- attributes -------------------------------------------------------------
 
 # a cheap distance: from the origin, less a radius

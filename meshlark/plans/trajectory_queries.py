@@ -83,11 +83,16 @@ def _(t):
     return rxyz(T.linear_path(waypoints(t)), "path_id", "frame")
 
 
-@query("path_errors", """SELECT l_orderkey AS path_id, 'Need at least 2 positions for linear keyframes' AS message FROM lineitem GROUP BY 1 HAVING count(*) < 2""")
+@query("path_errors", """SELECT l_orderkey AS path_id, 'Path of fewer than two positions' AS message FROM lineitem GROUP BY 1 HAVING count(*) < 2""")
 def _(t):
     return T.path_errors(t.read("lineitem").select(F.col("l_orderkey").alias("path_id")))
 
 
+@query("curve_errors", """SELECT l_orderkey AS path_id, 'Curve of fewer than two control points' AS message FROM lineitem GROUP BY 1 HAVING count(*) < 2""")
+def _(t):
+    return T.curve_errors(t.read("lineitem").select(F.col("l_orderkey").alias("path_id")))
+
+
 RES = 64
 _SEGS = """SELECT a.path_id, a.idx, m, """ + ", ".join(
     f"coalesce(o.{c}, a.{c}) AS p0{c}, a.{c} AS p1{c}, b.{c} AS p2{c}, coalesce(d.{c}, b.{c}) AS p3{c}" for c in "xyz"

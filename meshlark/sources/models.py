@@ -189,9 +189,15 @@ BAD_STL = "Length does not fit the header"
 
 
 def stl_status(files: DataFrame) -> DataFrame:
-    """(path, length, status, error_message) of every file: binary with the length that its header says, or text."""
-    text = F.substring("content", 1, 5).cast("string") == "solid"
-    good = F.coalesce(is_binary_stl() | text, F.lit(False))
+    """(path, length, status, error_message) of every file: binary with the length that its header says, or whole text.
+
+    Text begins with ``solid``, ends its solid and has three vertex lines a facet; a binary file whose header begins
+    so is still judged by its length.
+    """
+    said = F.when(F.substring("content", 1, 5).cast("string") == "solid", F.col("content").cast("string"))
+    lines = lambda word: F.regexp_count(said, F.lit(rf"(?m)^[ \t]*{word}\b"))
+    text = (lines("endsolid") > 0) & (lines("vertex") == 3 * lines("facet"))
+    good = F.coalesce(is_binary_stl(), F.lit(False)) | F.coalesce(text, F.lit(False))
     return files.select(
         "path", F.length("content").cast("long").alias("length"), F.when(good, "success").otherwise("error").alias("status"),
         F.when(~good, BAD_STL).alias("error_message"))

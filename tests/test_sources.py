@@ -174,10 +174,13 @@ def test_broken_obj_is_a_row(spark, tmp_path):
 
 def test_broken_stl_and_glb_are_rows(spark):
     stl = bytes(80) + struct.pack("<I", 2) + bytes(50)
-    rows = [("cut.stl", stl), ("whole.stl", stl + bytes(50)), ("text.stl", b"solid x"), ("none.stl", b""), ("null.stl", None)]
+    rows = [("cut.stl", stl), ("whole.stl", stl + bytes(50)), ("none.stl", b""), ("null.stl", None), ("solid.stl", b"solid"),
+        ("text.stl", b"solid x\nfacet normal 0 0 1\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendloop\nendfacet\nendsolid x\n"),
+        ("half.stl", b"solid x\nfacet normal 0 0 1\nouter loop\nvertex 0 0 0\nendsolid"), ("empty.stl", b"solid x\nendsolid x"),
+        ("named.stl", b"solid" + stl[5:] + bytes(50)), ("named_cut.stl", b"solid" + stl[5:])]
     files = spark.createDataFrame(rows, "path string, content binary")
     got = {r["path"]: r["status"] for r in models.stl_status(files).collect()}
-    assert got == {"cut.stl": "error", "whole.stl": "success", "text.stl": "success", "none.stl": "error", "null.stl": "error"}
+    assert {k for k, v in got.items() if v == "success"} == {"whole.stl", "text.stl", "empty.stl", "named.stl"} and len(got) == len(rows)
     body = b'{"asset":{"version":"2.0"},"meshes":[{"name":"m"}]}'
     head = b"glTF" + struct.pack("<II", 2, 0)
     rows = [("endless.glb", head + b"\xff\xff\xff\xffJSON" + body), ("bare.glb", head + struct.pack("<I", len(body)) + b"JSON" + body)]

@@ -146,3 +146,16 @@ def test_knn_leaves_out_what_has_no_place(spark):
     odd = np.vstack([xyz, [[np.nan, 0, 0], [np.inf, 0, 0]]])
     got = {(r["pt_id"], r["rank"]): r["nb_id"] for r in S.knn(cloud(spark, odd), 3).collect()}
     assert got == brute_knn(xyz, 3)
+
+
+def test_field_is_near_the_exact_distance(spark):
+    """Read between voxels, a cube's field is within a voxel of the distance; outside the band there is none."""
+    voxel = 0.1
+    rng = np.random.default_rng(9)
+    points = cloud(spark, np.vstack([rng.uniform(-1.25, 1.25, (300, 3)), [[5, 5, 5]]]))
+    field = S.mesh_to_sdf(cube(spark), voxel, 0.4)
+    got = {r["pt_id"]: r["sdf"] for r in S.sample_field(points, field, voxel).collect()}
+    exact = {r["pt_id"]: r["sdf"] for r in S.signed_distance(points, cube(spark)).collect()}
+    near = [k for k in exact if abs(exact[k]) < 0.2]
+    assert len(near) > 30 and all(got[k] is not None and abs(got[k] - exact[k]) < voxel for k in near)
+    assert got[300] is None and len(got) == 301
