@@ -17,18 +17,18 @@ SKIP_TEXT = ("Skipping ", ": Subject is animated.")
 # -- animation state --------------------------------------------------------
 
 
-def displacement(keyframes: DataFrame) -> DataFrame:
-    """Distance between each object's first and last key; 0 for a single frame."""
+def displacement(keyframes: DataFrame, order: str = "frame") -> DataFrame:
+    """Distance between each object's first and last key by ``order``; 0 for a single frame."""
     ends = keyframes.groupBy("obj_id").agg(
-        *[f(c, "frame").alias(f"{n}_{c}") for c in "xyz" for n, f in (("first", F.min_by), ("last", F.max_by))]
+        *[f(c, order).alias(f"{n}_{c}") for c in "xyz" for n, f in (("first", F.min_by), ("last", F.max_by))]
     )
     d = tuple(F.col(f"last_{c}") - F.col(f"first_{c}") for c in "xyz")
     return ends.select("obj_id", V.length(d).alias("displacement"), *[f"first_{c}" for c in "xyz"])
 
 
-def animated(keyframes: DataFrame, threshold: float = 0.01) -> DataFrame:
+def animated(keyframes: DataFrame, threshold: float = 0.01, order: str = "frame") -> DataFrame:
     """Strictly more than ``threshold`` apart; a closed loop counts as static."""
-    return displacement(keyframes).withColumn("animated", F.col("displacement") > threshold)
+    return displacement(keyframes, order).withColumn("animated", F.col("displacement") > threshold)
 
 
 def has_animation(objects: DataFrame, keyframes: DataFrame) -> DataFrame:

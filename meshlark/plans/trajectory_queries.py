@@ -30,7 +30,7 @@ _ENDS = """SELECT obj_id, arg_min(x, frame) AS fx, arg_min(y, frame) AS fy, sqrt
 
 @query("animated_filter", sql("keyframes", f"SELECT obj_id, {rs('displacement')}, displacement > 0.4 AS animated FROM ends", ends=_ENDS))
 def _(t):
-    state = T.animated(t.keyframes(), 0.4)
+    state = T.animated(t.timed_positions(), 0.4, "at")
     return rxyz(state, "obj_id", "animated", cols=("displacement",))
 
 
@@ -200,20 +200,20 @@ def _(t):
 
 
 _RASTER = """SELECT obj_id, col, "row", min(depth) AS depth, arg_min(pt_id, (depth, pt_id)) AS pt_id FROM (
-    SELECT obj_id, pt_id, depth, CAST(floor((a / depth * (50e0 / 18e0) + 1) / 2 * 64) AS INT) AS col,
-        CAST(floor((1 - bb / depth * (50e0 / 18e0) * (64e0 / 48e0)) / 2 * 48) AS INT) AS "row" FROM seen WHERE depth > 0.1)
-    WHERE col BETWEEN 0 AND 63 AND "row" BETWEEN 0 AND 47 GROUP BY 1, 2, 3"""
+    SELECT obj_id, pt_id, depth, CAST(floor((a / depth * (50e0 / 18e0) + 1) / 2 * 512) AS INT) AS col,
+        CAST(floor((1 - bb / depth * (50e0 / 18e0) ) / 2 * 512) AS INT) AS "row" FROM seen WHERE depth > 0.1)
+    WHERE col BETWEEN 0 AND 511 AND "row" BETWEEN 0 AND 511 GROUP BY 1, 2, 3"""
 
 
 @query("depth_raster", sql("points", f"""SELECT obj_id, col, "row", pt_id, {rs('depth')} FROM raster""", **_EYE, seen=_SEEN, raster=_RASTER))
 def _(t):
-    return rxyz(C.depth_raster(t.points(), basis(t), 64, 48), "obj_id", "col", "row", "pt_id", cols=("depth",))
+    return rxyz(C.depth_raster(t.points(), basis(t), 512, 512), "obj_id", "col", "row", "pt_id", cols=("depth",))
 
 
 @query("depth_raster_normalized", sql("points", f"""SELECT obj_id, col, "row", {r('(depth - lo) / (hi - lo)', 'value')} FROM raster
     JOIN (SELECT obj_id, min(depth) AS lo, max(depth) AS hi FROM raster GROUP BY 1) USING (obj_id)""", **_EYE, seen=_SEEN, raster=_RASTER))
 def _(t):
-    return rxyz(C.normalized_raster(C.depth_raster(t.points(), basis(t), 64, 48)), "obj_id", "col", "row", cols=("value",))
+    return rxyz(C.normalized_raster(C.depth_raster(t.points(), basis(t), 512, 512)), "obj_id", "col", "row", cols=("value",))
 
 
 @query("contour_edges", sql("ring vertices", """

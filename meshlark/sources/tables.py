@@ -179,6 +179,12 @@ class Tables:
             F.lit(0.0).alias("z"),
         )
 
+    def timed_positions(self) -> DataFrame:
+        """(obj_id, at, x, y, z): the positions of ``keyframes`` by time, not numbered, so without a rank over all of an object's events."""
+        return self.read("events").select(
+            F.col("user_id").alias("obj_id"), F.struct("ts", "event_id").alias("at"), (F.col("value") / 100.0).alias("x"),
+            ((F.col("event_id") % 100).cast("double") / 100.0).alias("y"), F.lit(0.0).alias("z"))
+
     def assets(self) -> DataFrame:
         return self.assets_of(self.read("pages"))
 
