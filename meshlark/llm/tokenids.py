@@ -46,11 +46,15 @@ HELD = 400_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+class Unsettled(Exception):
+    """A pre-token has a character on which character tables differ; the library then splits the text itself."""
+
+
 class Tokenizer:
     """A tokenizer file of the tokenizers library.
 
     Where the file says that pre-tokens are the plain byte-level ones, the library's model encodes each distinct
-    pre-token once as long as it is held. Otherwise, and where a text has a special token's string, the library
+    pre-token once as long as it is held. Otherwise, and where a text has a special token's string or an unsettled character, the library
     encodes the text as a whole.
     """
 
@@ -70,13 +74,18 @@ class Tokenizer:
         self.pieces, self.settled = Held(self._piece, HELD), Settled()
 
     def _piece(self, piece: str) -> bytes:
+        if not self.settled.all_of(piece):
+            raise Unsettled
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return array("I", [x.id for x in found]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.plain and self.settled.all_of(text) and not self.special(text):
-            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        if self.plain and not self.special(text):
+            try:
+                return b"".join(map(self.pieces.__getitem__, self.split(text)))
+            except Unsettled:
+                pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
