@@ -81,7 +81,11 @@ def leaks(docs, items, share=0.5):
         span = min(12, len(item))
         for doc_id, text in docs if len(item) >= 8 else []:
             doc, held, longest = words(text), set(), 0
-            for shift in range(1 - len(item), len(doc)):
+            where = defaultdict(list)
+            for j, w in enumerate(doc):
+                where[w].append(j)
+            equal = Counter(j - k for k, w in enumerate(item) for j in where.get(w, ()))
+            for shift in (x for x, n in equal.items() if n >= 8):
                 at = [k for k in range(len(item)) if 0 <= k + shift < len(doc)]
                 same = {k for k in at if item[k] == doc[k + shift]}
                 stretch, end = set(), -1
