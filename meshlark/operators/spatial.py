@@ -151,27 +151,29 @@ def lloyd_relax(points: DataFrame, iterations: int = 4, k: int = 8, damping: flo
 
 
 def min_distance_thin(points: DataFrame, distance: float, seed: int = 0) -> DataFrame:
-    """A maximal subset with no two points of an object closer than ``distance``.
+    """The points that a pass in hash order keeps, none closer than ``distance`` to a kept one of its object.
 
-    Cells are so small that one cell keeps at most one point. Per round each
-    cell puts up its point of lowest hash priority; those lower than every
-    rival within the distance stay, and points too close to them go. Only
-    cell champions are ever compared with each other.
+    The answer is the one of the pass, whatever the layout: a point stays once no better one within the distance is
+    open, and those too close to it go. Cells are so small that one keeps at most one point, so only each cell's best
+    open point is asked about; it meets the better open points of the cells around it. Ties go by id; points without
+    a place (null, NaN, infinite) are dropped.
     """
     size = distance / 1.7320509  # a cell's diagonal stays below the distance
     reach = 2
     d2 = sum((F.col(c) - F.col(f"k{c}")) * (F.col(c) - F.col(f"k{c}")) for c in "xyz")
     limit = distance * distance
-    active = cut(points.select("obj_id", "pt_id", "x", "y", "z", uniform(seed, "pt_id").alias("p"), *_cells(size)), "thin")
+    placed = points.filter(" AND ".join(f"abs({c}) < double('Infinity')" for c in "xyz"))
+    active = cut(placed.select("obj_id", "pt_id", "x", "y", "z", uniform(seed, "pt_id").alias("p"), *_cells(size)), "thin")
     kept = None
     while not active.isEmpty():
-        champion = F.min(F.struct("p", "pt_id", "x", "y", "z")).alias("c")
-        champions = cut(active.groupBy("obj_id", *CELL).agg(champion).select("obj_id", *CELL, "c.*"), "thin")
-        rivals = _spread(
-            champions.select("obj_id", F.struct("p", "pt_id").alias("rival"), *[F.col(c).alias(f"k{c}") for c in "xyz"], *CELL), reach
+        best = F.min(F.struct("p", "pt_id", "x", "y", "z")).alias("c")
+        champions = cut(active.groupBy("obj_id", *CELL).agg(best).select("obj_id", *CELL, "c.*"), "thin")
+        asked = _spread(
+            champions.select("obj_id", F.struct("p", "pt_id").alias("asked"), *[F.col(c).alias(f"k{c}") for c in "xyz"], *CELL), reach
         )
-        beaten = champions.join(rivals, ["obj_id", *CELL]).filter((d2 < limit) & (F.col("rival") < F.struct("p", "pt_id")))
-        won = cut(champions.join(beaten.select("obj_id", "pt_id").distinct(), ["obj_id", "pt_id"], "left_anti"), "thin")
+        better = active.join(asked, ["obj_id", *CELL]).filter((F.struct("p", "pt_id") < F.col("asked")) & (d2 < limit))
+        beaten = better.select("obj_id", F.col("asked.pt_id").alias("pt_id")).distinct()
+        won = cut(champions.join(beaten, ["obj_id", "pt_id"], "left_anti"), "thin")
         kept = won if kept is None else kept.unionByName(won)
         near = _spread(won.select("obj_id", *[F.col(c).alias(f"k{c}") for c in "xyz"], *CELL), reach)
         gone = active.join(near, ["obj_id", *CELL]).filter(d2 < limit).select("obj_id", "pt_id").distinct()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.operators import ledger as L, trees
+from meshlark.functions.worker import ship
+from meshlark.operators import ledger as L, trees, user_code
 from meshlark.plans.common import registrar
 from meshlark.plans.oracle_views import sql
 
+ship(__name__)
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)
 
@@ -59,6 +61,36 @@ def _(t):
     return batch(some, "some").unionByName(batch(none, "none"))
 
 
+def _views(item_id, key):
+    """As many views of an item as its key modulo 3, numbered from 0."""
+    for k in range(key % 3):
+        yield f"{item_id}_view{k}", "first" if k == 0 and key % 5 == 0 else None, 10 * k
+
+
+@query("fan_out_user", """
+    SELECT 'm' || o_orderkey || '_view' || k AS id, CASE WHEN k = 0 AND o_orderkey % 5 = 0 THEN 'first' ELSE 'm' || o_orderkey END AS parent_id,
+        10 * k AS val FROM orders, range(3) r(k) WHERE k < o_orderkey % 3""")
+def _(t):
+    return user_code.fan_out_user(_plain_items(t), _views, "id string, parent_id string, val long", "id", "k")
+
+
+def _newest(rows):
+    """One row of a root's rows: the count and the three newest paths."""
+    import pyarrow as pa
+
+    newest = sorted((p for paths in rows.column("newest").to_pylist() for p in paths), reverse=True)[:3]
+    return pa.table({"root_id": rows.column("root_id").slice(0, 1), "n_items": [sum(rows.column("n_items").to_pylist())], "newest": [newest]})
+
+
+@query("fan_in_user", """
+    SELECT o_custkey AS root_id, count(*) AS n_items, array_to_string(list(entry ORDER BY entry DESC)[1:3], ',') AS newest
+    FROM (SELECT o_custkey, o_orderdate::DATE || '/m' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS entry FROM orders) GROUP BY 1""")
+def _(t):
+    at = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("/m"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    items = t.read("orders").select(F.col("o_custkey").alias("root_id"), F.lit(1).cast("long").alias("n_items"), F.array(at).alias("newest"))
+    return user_code.fan_in_user(items, "root_id", _newest).withColumn("newest", F.array_join("newest", ","))
+
+
 @query("fan_in", """
     SELECT o_custkey AS root_id, count(*) AS n_items, round(sum(o_totalprice), 2) AS total,
         min('/out/m' || o_orderkey) AS first_path, max('/out/m' || o_orderkey) AS last_path FROM orders GROUP BY 1""")

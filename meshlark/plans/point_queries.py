@@ -16,6 +16,7 @@ query = registrar(QUERIES, ORACLES)
 
 SEED = 42
 JITTER = 0.1
+THIN = 0.08
 
 # -- SQL pieces -------------------------------------------------------------
 
@@ -430,9 +431,13 @@ def _(t):
     return rxyz(S.lloyd_relax(t.points(), 4), "obj_id", "pt_id")
 
 
-@query("min_distance_thin")
+@query("min_distance_thin", sql("points", f"""
+    SELECT obj_id, k.pt_id AS pt_id, {r('k.x', 'x')}, {r('k.y', 'y')}, {r('k.z', 'z')} FROM (SELECT obj_id, unnest(kept) AS k FROM passed)""", passed=f"""
+    SELECT obj_id, list_reduce(list([{{'pt_id': pt_id, 'x': x, 'y': y, 'z': z}}] ORDER BY {noise(SEED, 'pt_id')}, pt_id), lambda kept, q:
+        CASE WHEN len(list_filter(kept, lambda k: (q[1].x-k.x)*(q[1].x-k.x) + (q[1].y-k.y)*(q[1].y-k.y) + (q[1].z-k.z)*(q[1].z-k.z)
+            < {THIN * THIN!r}e0)) = 0 THEN list_concat(kept, q) ELSE kept END) AS kept FROM points GROUP BY obj_id"""))
 def _(t):
-    return rxyz(S.min_distance_thin(t.points(), 0.08, SEED), "obj_id", "pt_id")
+    return rxyz(S.min_distance_thin(t.points(), THIN, SEED), "obj_id", "pt_id")
 
 
 @query("repair_surface")

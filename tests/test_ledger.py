@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import ledger as L, trees
+from meshlark.operators import ledger as L, trees, user_code
 
 
 def rows(df):
@@ -56,6 +56,44 @@ def test_user_generator_as_udtf(spark):
     assert rows(got) == [("a0", "a"), ("a1", "a"), ("b0", "b"), ("b1", "b")]
 
 
+def test_fan_out_by_a_generator(spark):
+    items = spark.createDataFrame([("a", 2, "x"), ("b", 0, "x"), ("c", None, "x"), ("a", 2, "x")], "id string, n int, val string")
+    steps = lambda item, n: ((f"{item}{k}", "own" if k else None, k) for k in range(n or 0))
+    got = user_code.fan_out_user(items, steps, "id string, parent_id string, val int", "id", "n")
+    assert got.columns == ["id", "val", "parent_id"]
+    assert rows(got) == [("a0", 0, "a"), ("a0", 0, "a"), ("a1", 1, "own"), ("a1", 1, "own")]
+    bare = user_code.fan_out_user(items, lambda item, n: [(f"{item}!",)], "child string", "id", "n")
+    assert rows(bare) == [("a!", "a"), ("a!", "a"), ("b!", "b"), ("c!", "c")]
+    assert user_code.fan_out_user(items.limit(0), steps, "id string, parent_id string, val int", "id", "n").count() == 0
+
+
+def test_fan_in_by_a_collector(spark):
+    """A root with a third of the rows, null roots and values; never more rows at once than a batch and what is held."""
+    import pyarrow as pa
+
+    def spans(part):
+        assert part.num_rows <= 101
+        seen = sorted({v for vs in part.column("seen").to_pylist() for v in vs or []})
+        return pa.table({"root": part.column("root").slice(0, 1), "seen": [[seen[0], seen[-1]] if seen else []], "n": [sum(part.column("n").to_pylist())]})
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        base = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("r"), F.col("id") % 50)).alias("root"),
+                                        F.when(F.col("id") % 7 > 0, F.array("id")).alias("seen"), F.lit(1).cast("long").alias("n"))
+        got = {r.root: (list(r.seen), r.n) for r in user_code.fan_in_user(base, "root", spans).collect()}
+        empty = user_code.fan_in_user(base.limit(0), "root", spans).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want = {}
+    for k in range(6000):
+        root = {0: "hot", 1: f"r{k % 50}", 2: None}[k % 3]
+        seen, n = want.get(root, ([], 0))
+        want[root] = (seen + [k] * (k % 7 > 0), n + 1)
+    assert got == {root: ([min(seen), max(seen)], n) for root, (seen, n) in want.items()}
+    assert empty == 0
+
+
 LEDGER = "item_id string, step_key string, seq int, success boolean, duration_s double, ts timestamp"
 
 

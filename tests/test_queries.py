@@ -11,10 +11,10 @@ from meshlark.plans import registry
 SF = "/root/testdata/sf0.001"
 LONG = {
     "lloyd_relax_all", "camera_log", "repair_surface", "cull_normal", "cull_sdf", "sdf_difference", "sample_sdf", "mesh_to_sdf",
-    "camera_candidates", "min_distance_thin", "density_iso_faces", "lloyd_relax",
+    "camera_candidates", "density_iso_faces", "lloyd_relax",
 }
 #: No SQL says these; other tests hold them against plain versions.
-NO_SQL = {"min_distance_thin", "repair_surface"}
+NO_SQL = {"repair_surface"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
 NAMES = [n for n in registry.queries() if n not in LONG or os.environ.get("ALL_QUERIES")]
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,11 @@ def test_thin_keeps_distance_and_covers(spark):
     d = np.sqrt(((xyz[:, None] - xyz[ids][None]) ** 2).sum(2))
     assert all(d[i][np.array(ids) != i].min() >= 0.2 for i in ids)
     assert all(d[i].min() < 0.2 for i in range(len(xyz)) if i not in kept)
+    first = []  # the same as one pass over all points in hash order
+    for i in sorted(range(len(xyz)), key=lambda i: (hashlib.md5(f"1:{i}".encode()).hexdigest()[:8], i)):
+        if all(((xyz[i] - xyz[j]) ** 2).sum() >= 0.2 * 0.2 for j in first):
+            first.append(i)
+    assert kept == set(first)
 
 
 CUBE = [(-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1), (1, -1, 1), (1, 1, 1), (-1, 1, 1)]
