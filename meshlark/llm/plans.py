@@ -133,40 +133,50 @@ def paths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), "text")
 
 
-_NOTICES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licences.NOTICES))
+_NOTICES = ", ".join(f"({k}, '{name}', '{must}', '{text}')" for k, (name, must, text) in enumerate(licences.NOTICES))
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
 @query("op1_licence_scan", f"""
-WITH notice(notice, licence, text) AS (VALUES {_NOTICES}),
+WITH notice(notice, licence, must, text) AS (VALUES {_NOTICES}),
+word AS (
+  SELECT notice, licence, term, count(*) AS tf, list_contains(string_split(must, ' '), term)::INT AS must, len(string_split(must, ' ')) AS n_must
+  FROM (SELECT notice, licence, must, unnest({_WORDS.format("text")}) AS term FROM notice) GROUP BY notice, licence, must, term
+),
 files AS (
   SELECT doc_id, text, CASE WHEN doc_id % 64 = 0 THEN 'p' || doc_id // 512 || '/m' || (doc_id // 64) % 8 || '/LICENSE'
     WHEN doc_id % 512 = 1 THEN 'p' || doc_id // 512 || '/LICENSE'
     ELSE 'p' || doc_id // 512 || '/m' || (doc_id // 64) % 8 || '/' || doc_id || '.txt' END AS path
   FROM documents
-), parts AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM files
-  UNION ALL SELECT doc_id, text FROM files WHERE path LIKE '%/LICENSE'
-), unit AS (
-  SELECT row_number() OVER () AS unit, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(part), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS terms
-  FROM parts
-), filled AS (SELECT * FROM unit WHERE len(terms) > 0),
-word AS (
-  SELECT DISTINCT notice, licence, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM notice
-), said AS (SELECT unit, doc_id, len(terms) AS n_terms, unnest(terms) AS term FROM filled),
-met AS (SELECT * FROM said WHERE term IN (SELECT term FROM word)),
-total AS (SELECT count(*) + 1 AS n FROM filled),
-df AS (SELECT term, count(*) AS df FROM met GROUP BY term),
-weight AS (SELECT w.notice, w.licence, w.term, ln(n / (coalesce(df, 0) + 1)) ** 2 AS w FROM word w LEFT JOIN df USING (term), total),
-norm AS (SELECT notice, licence, sum(w) AS norm FROM weight GROUP BY ALL),
-size AS (
-  SELECT unit, doc_id, sum(w) + (any_value(n_terms) - count(*)) * ln(any_value(n)) ** 2 AS size
-  FROM met JOIN (SELECT DISTINCT term, w FROM weight) USING (term), total GROUP BY ALL
-), dot AS (SELECT unit, notice, sum(w) AS dot FROM met JOIN weight USING (term) GROUP BY ALL),
-score AS (
+), split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM files),
+line AS (SELECT doc_id, k, line, {_WORDS.format("line")} AS words FROM split),
+judged AS (
+  SELECT *, 2 * len(list_filter(words, lambda w: list_contains((SELECT list(DISTINCT term) FROM word), w))) >= len(words) AS alike FROM line
+), stretched AS (SELECT *, sum((NOT alike)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM judged),
+inside AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY k) AS i FROM stretched WHERE alike AND len(words) > 0),
+filled AS (
+  SELECT row_number() OVER () AS unit, doc_id, terms FROM (
+    SELECT doc_id, words AS terms FROM line
+    UNION ALL SELECT doc_id, flatten(list(words ORDER BY k)) FROM inside GROUP BY doc_id, stretch
+    UNION ALL SELECT a.doc_id, list_concat(a.words, b.words) FROM inside a JOIN inside b ON a.doc_id = b.doc_id AND a.stretch = b.stretch AND b.i = a.i + 1
+    UNION ALL SELECT doc_id, {_WORDS.format("text")} FROM files WHERE path LIKE '%/LICENSE'
+  ) WHERE len(terms) > 0
+),
+total AS (SELECT count(*) + 1 AS n FROM line WHERE len(words) > 0),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM line) GROUP BY term),
+weight AS (SELECT w.*, tf * ln(n / (coalesce(df, 0) + 1)) AS w FROM word w LEFT JOIN df USING (term), total),
+norm AS (SELECT notice, sum(w * w) AS norm FROM weight GROUP BY ALL),
+said AS (SELECT unit, doc_id, term, count(*) AS tf FROM (SELECT unit, doc_id, unnest(terms) AS term FROM filled) GROUP BY ALL),
+vector AS (SELECT unit, doc_id, term, tf * ln(n / (df + 1)) AS u FROM said JOIN df USING (term), total),
+size AS (SELECT unit, sum(u * u) AS size FROM vector GROUP BY unit),
+dot AS (
+  SELECT unit, doc_id, notice, licence, sum(u * w) AS dot FROM vector JOIN weight USING (term)
+  GROUP BY unit, doc_id, notice, licence, n_must HAVING sum(must) = n_must AND sum(u * w) > 0
+), score AS (
   SELECT doc_id, licence, round(dot / sqrt(size * norm), 6) AS score FROM dot JOIN size USING (unit) JOIN norm USING (notice)
 ), own AS (
   SELECT doc_id, licence AS own, score FROM score WHERE score >= 0.6
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY licence IN ('BSD', 'GPL', 'LGPL'), score DESC, licence) = 1
 ), dirs AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS from_dir, own AS inherited FROM own JOIN files USING (doc_id) WHERE path LIKE '%/LICENSE'
 )

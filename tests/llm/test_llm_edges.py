@@ -50,6 +50,35 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+def test_licence_texts(spark):
+    """Headers spread over comment lines, SPDX lines, whole files, and what only resembles them; a text of a million lines."""
+    def header(kind, version, what="program"):
+        return (f"# This {what} is free software; you can redistribute it and/or\n# modify it under the terms of the GNU {kind}General Public\n"
+                f"# License as published by the Free Software Foundation; either\n# version {version} of the License, or (at your option) any later version.\n")
+    bsd = [t for name, _, t in licences.NOTICES if name == "BSD-3-Clause"][-2]
+    apache = "Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"
+    rows = {
+        "a.c": ("// SPDX-License-Identifier: MIT", "MIT"), "b.c": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        "c.c": ("// SPDX-License-Identifier: Zlib", None), "d.c": (header("", 2), "GPL-2.0"), "e.c": (header("", 3), "GPL-3.0"),
+        "f.c": (header("Lesser ", "2.1", "library"), "LGPL-2.1"), "g.c": (header("Affero ", 3), "AGPL-3.0"),
+        "h.c": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "GPL"),
+        "x/LICENSE": (apache, "Apache-2.0"), "x/y/i.c": ("int main", "Apache-2.0"),
+        "z/COPYING": ("Copyright 2020 Someone Here\n\n" + "\n".join(bsd.split("\n")), "BSD-3-Clause"), "z/j.c": (None, "BSD-3-Clause"),
+        "k.c": ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), "l.c": ("mit", None), "m.c": ("the terms of the license are free", None),
+        "n.c": ("ordinary words of a story\n" * 300_000 + "/* MIT License */\n" + "one more\n" * 700_000, "MIT"), "o.c": ("", None),
+    }
+    prose = [(f"prose/{k}", f"the story of day {k} and of a house in the city, permission or not", None) for k in range(300)]
+    files = spark.createDataFrame([(p, *v) for p, v in rows.items()] + prose, "path string, text string, want string")
+    got = {r.path: r.licence for r in licences.scan(files.select("path", "text")).collect()}
+    assert got == {p: want for p, (_, want) in rows.items()} | {p: None for p, *_ in prose}
+
+
+def test_licence_ties(spark):
+    """Of equal scores the smaller name; what says which one goes before what does not."""
+    scored = spark.createDataFrame([(1, "MIT", 0.9), (1, "ISC", 0.9), (2, "BSD", 1.0), (2, "MIT", 0.7)], "k int, licence string, score double")
+    assert by_id(licences.best_of(scored, "k").collect()) == [(1, "ISC", 0.9), (2, "MIT", 0.7)]
+
+
 # 2 token ids
 
 def test_token_ids_odd(spark, odd, odd_rows):
