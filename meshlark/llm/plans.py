@@ -151,7 +151,7 @@ files AS (
 ), split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM files),
 line AS (SELECT doc_id, k, line, {_WORDS.format("line")} AS words FROM split),
 judged AS (
-  SELECT *, 2 * len(list_filter(words, lambda w: list_contains((SELECT list(DISTINCT term) FROM word), w))) >= len(words) AS alike FROM line
+  SELECT *, 2 * len(list_filter(words, lambda w: list_contains(v, w))) >= len(words) AS alike FROM line, (SELECT list(DISTINCT term) AS v FROM word)
 ), stretched AS (SELECT *, sum((NOT alike)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM judged),
 inside AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY k) AS i FROM stretched WHERE alike AND len(words) > 0),
 filled AS (
