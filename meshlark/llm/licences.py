@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.session import cut
@@ -117,9 +117,8 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     Weights are term counts times the inverse frequency of the term among all worded lines of all texts. What says
     which licence of its kind it is goes before what does not, then the better score, then the name.
 
-    The words shared with a notice must hold ``least`` squared of the notice's squared weight. So a unit without any
-    of the words that are left when each notice's lightest are put aside, up to that share, cannot reach it and is
-    dropped where it is read; only the others' words are joined with their frequencies.
+    A unit without all the words that some notice's licence needs cannot be called so and is dropped where it is read;
+    only the others' words are joined with their frequencies.
     """
     spark = files.sparkSession
     lines = files.select(F.explode(F.split("text", "\n")).alias("line")).select(F.array_distinct(terms(F.col("line"))).alias("terms")).filter(F.size("terms") > 0)
@@ -127,15 +126,16 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
         F.count(F.lit(1)).alias("df")), "line-frequencies")  # the empty word counts the lines
     total = counted.filter("term = ''").select((F.col("df") + 1).cast("double").alias("n"))
     idf = F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1))
-    weights = cut(notice_terms(spark).coalesce(1).join(counted, "term", "left").withColumn("n", total.scalar()).select(
-        "notice", "licence", "term", (F.col("tf") * idf).alias("w"), "must", "n_must"), "notices")
-    by_weight = Window.partitionBy("notice").orderBy("w", "term")
-    light = F.sum(F.col("w") * F.col("w")).over(by_weight) < least * least * 0.999999 * F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("notice"))
-    rows = weights.select("term", light.alias("light")).groupBy("term").agg(F.min("light").alias("light")).collect()  # as many as NOTICES has
-    vocabulary, heavy = sorted(r.term for r in rows), sorted(r.term for r in rows if not r.light)
-    if not heavy:  # no lines at all
-        heavy = vocabulary
-    near = units(files, vocabulary).filter(F.exists("terms", lambda w: w.isin(heavy)))
+    notices = cut(notice_terms(spark).coalesce(1), "notices")
+    vocabulary = [r.term for r in notices.select("term").distinct().sort("term").collect()]  # as many as NOTICES has
+    weights = notices.join(counted, "term", "left").withColumn("n", total.scalar()).select(
+        "notice", "licence", "term", (F.col("tf") * idf).alias("w"), "must", "n_must")
+    needs = [must.split() for must in dict.fromkeys(must for _, must, _ in NOTICES)]
+    telling = sorted({w for must in needs for w in must})
+    met = F.array_distinct(F.filter("terms", lambda w: w.isin(telling)))
+    fits = lambda words: (F.size(words) >= min(map(len, needs))) & F.exists(
+        F.lit(needs), lambda must: F.size(F.array_except(must, words)) == 0)
+    near = units(files, vocabulary).filter(F.exists(F.array(met), fits))  # as a lambda's variable the words are found once
     said = near.groupBy("path", "th", "unit").agg(F.first("terms").alias("terms")).select("path", "th", "unit", F.explode("terms").alias("term"))
     tf = said.groupBy("path", "th", "unit", "term").agg(F.count(F.lit(1)).alias("tf")).join(counted, "term").withColumn("n", total.scalar())
     tf = cut(tf.select("path", "th", "unit", "term", (F.col("tf") * idf).alias("u")), "unit-weights")
