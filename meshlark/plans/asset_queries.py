@@ -218,7 +218,10 @@ def tri_documents(t):
     return gltf.documents(gltf.read_heads(scan.asset_scan(t.spark, folder, ".glb", recursive=True)))
 
 
-_OBJ_OF = F.regexp_extract("path", "/o([0-9]+)/mesh.glb$", 1).cast("int").alias("obj_id")
+def _obj_of():
+    return F.regexp_extract("path", "/o([0-9]+)/mesh.glb$", 1).cast("int").alias("obj_id")
+
+
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY tri_id) - 1 AS i FROM tris"
 
 
@@ -226,12 +229,12 @@ _RANKED = "SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY tri_id) - 1
     SELECT obj_id, 3 * i + c AS vert_id, {', '.join(f"CAST(CAST(CASE c WHEN 0 THEN a{c} WHEN 1 THEN b{c}{'_' if c == 'y' else ''} ELSE c{c} END AS FLOAT) AS DOUBLE) AS {c}" for c in 'xyz')}
     FROM ranked, range(3) r(c)""", ranked=_RANKED))
 def _(t):
-    return gltf.gltf_vertices(tri_documents(t), piece=1000).select(_OBJ_OF, "vert_id", "x", "y", "z")
+    return gltf.gltf_vertices(tri_documents(t), piece=1000).select(_obj_of(), "vert_id", "x", "y", "z")
 
 
 @query("gltf_loops", sql("tris", "SELECT obj_id, i AS face_id, CAST(c AS INT) AS pos, 3 * i + c AS vert_id, 3 AS n FROM ranked, range(3) r(c)", ranked=_RANKED))
 def _(t):
-    return gltf.gltf_loops(tri_documents(t), piece=1000).select(_OBJ_OF, "face_id", "pos", "vert_id", "n")
+    return gltf.gltf_loops(tri_documents(t), piece=1000).select(_obj_of(), "face_id", "pos", "vert_id", "n")
 
 
 @query("report_files", sql("", f"""
