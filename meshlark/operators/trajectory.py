@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions import vector as V
-from meshlark.functions.skew import piece_of, running
+from meshlark.operators import arcs
 
 TOO_FEW_POSITIONS = "Path of fewer than two positions"
 TOO_FEW_CONTROL_POINTS = "Curve of fewer than two control points"
@@ -105,22 +105,27 @@ def linear_path(waypoints: DataFrame, frame_count: int = 150, frame_start: int =
     )
 
 
-def bezier_path(control_points: DataFrame, resolution: int = 64) -> DataFrame:
-    """(path_id, k, x, y, z): the smooth cubic through the control points, ``resolution`` samples per segment plus the end.
+def segments(control_points: DataFrame) -> DataFrame:
+    """(path_id, seg, p0x..p3z): the ends of each segment and their outer neighbours, null beyond the path's ends.
 
-    A segment needs its two ends and their outer neighbours. Every point names
-    the segments it takes part in, so they meet in one combined aggregate and a
-    path of any length is spread by segment. Handles are a sixth of the chord
-    between a point's neighbours.
+    Every point names the segments it takes part in, so they meet in one combined aggregate and a
+    path of any length is spread by segment.
     """
     roles = F.array(*[F.struct(F.lit(shift).alias("shift"), F.lit(role).alias("role")) for shift, role in ((1, 0), (0, 1), (-1, 2), (-2, 3))])
     named = control_points.select("path_id", "idx", "x", "y", "z", F.inline(roles)).withColumn("seg", F.col("idx") + F.col("shift"))
     at = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
-    seg = (
+    return (
         named.groupBy("path_id", "seg")
         .agg(*[at(r, c).alias(f"p{r}{c}") for r in range(4) for c in "xyz"])
         .filter("p1x IS NOT NULL AND p2x IS NOT NULL")
     )
+
+
+def bezier_path(control_points: DataFrame, resolution: int = 64) -> DataFrame:
+    """(path_id, k, x, y, z): the smooth cubic through the control points, ``resolution`` samples per segment plus the end.
+
+    Handles are a sixth of the chord between a point's neighbours.
+    """
     final = F.col("p3x").isNull()  # the last segment also gives the path's end
     steps = F.when(final, F.sequence(F.lit(0), F.lit(resolution))).otherwise(F.sequence(F.lit(0), F.lit(resolution - 1)))
     t = F.col("j") / F.lit(float(resolution))
@@ -130,35 +135,29 @@ def bezier_path(control_points: DataFrame, resolution: int = 64) -> DataFrame:
         p0, p1, p2, p3 = F.coalesce(f"p0{c}", f"p1{c}"), F.col(f"p1{c}"), F.col(f"p2{c}"), F.coalesce(f"p3{c}", f"p2{c}")
         h1, h2 = p1 + (p2 - p0) / 6.0, p2 - (p3 - p1) / 6.0
         coords[c] = u * u * u * p1 + 3.0 * u * u * t * h1 + 3.0 * u * t * t * h2 + t * t * t * p2
-    return seg.withColumn("j", F.explode(steps)).select(
+    return segments(control_points).withColumn("j", F.explode(steps)).select(
         "path_id", (F.col("seg") * resolution + F.col("j")).alias("k"), *[e.alias(c) for c, e in coords.items()]
     )
 
 
+STRETCH = 64  # steps of a curve that move as one row
+
+
 def follow_path(curve: DataFrame, frame_count: int = 150, frame_start: int = 1) -> DataFrame:
     """Positions at even arc-length steps along curve(path_id, k, x, y, z), one per frame.
 
-    Each piece of the curve emits the frames that fall on it, so frames and
-    pieces need no range join.
+    The curve moves once, into stretches that share their border points.
     """
-    prev = curve.select("path_id", (F.col("k") + 1).alias("k"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-    d = tuple(F.col(c) - F.col(f"q{c}") for c in "xyz")
-    stepped = curve.join(prev, ["path_id", "k"], "left").select("path_id", "k", "x", "y", "z", F.coalesce(V.length(d), F.lit(0.0)).alias("step"))
-    along = running(stepped, ["path_id"], ["k"], {"at": F.col("step"), "rn": F.lit(1).cast("long")}, {"at": "total", "rn": "n"}, [piece_of("k")])
-    ends = along.select("path_id", (F.col("k") - 1).alias("k"), F.col("at").alias("to"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
-    piece = along.join(ends, ["path_id", "k"])
-    last = F.lit(frame_count - 1)
-    number = lambda s: F.ceil(s / F.col("total") * last).cast("int")  # first frame at or after arc length s
-    final = F.col("rn") == F.col("n") - 1
-    lo, hi = number(F.col("at")), F.when(final, last).otherwise(number(F.col("to")) - 1)
-    still = F.when(F.col("rn") == 1, F.sequence(F.lit(0), last))  # a path without length stays at its start
-    frames = F.when(F.col("total") <= 0, still).when(hi >= lo, F.sequence(lo, hi))
-    gap = F.col("to") - F.col("at")
-    share = F.col("i") / last if frame_count > 1 else F.lit(0.0)  # a single frame is the start
-    t = F.when(gap > 0, (share * F.col("total") - F.col("at")) / gap).otherwise(0.0)
-    return piece.withColumn("i", F.explode(frames)).select(
-        "path_id", (F.col("i") + frame_start).alias("frame"), *[V.lerp(F.col(c), F.col(f"n{c}"), t).alias(c) for c in "xyz"]
-    )
+    number = F.floor(F.col("k") / STRETCH).cast("long")
+    homes = F.when(F.col("k") % STRETCH == 0, F.array(number - 1, number)).otherwise(F.array(number))
+    placed = curve.select("path_id", F.struct(F.col("k").cast("long").alias("k"), "x", "y", "z").alias("p"), F.explode(homes).alias("seg"))
+    stretches = placed.groupBy("path_id", "seg").agg(F.array_sort(F.collect_list("p")).alias("points"))
+    return arcs.even_frames(stretches, arcs.listed, frame_count, frame_start)
+
+
+def follow_bezier(control_points: DataFrame, resolution: int = 64, frame_count: int = 150, frame_start: int = 1) -> DataFrame:
+    """``follow_path`` of ``bezier_path``: a segment moves with its four control points and is sampled where it is."""
+    return arcs.even_frames(segments(control_points), arcs.cubic(resolution), frame_count, frame_start)
 
 
 def frame_timeline(clips: DataFrame, fps: int = 30, frame_start: int = 1, default_end: int = 150) -> DataFrame:

@@ -118,7 +118,7 @@ def _(t):
     summed="SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY k) AS s0, sum(step) OVER (PARTITION BY path_id) AS total, count(*) OVER (PARTITION BY path_id) AS n FROM stepped",
     pieces="SELECT *, lead(s0) OVER w AS until, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM summed WINDOW w AS (PARTITION BY path_id ORDER BY k)"))
 def _(t):
-    return rxyz(T.follow_path(T.bezier_path(waypoints(t), RES)), "path_id", "frame")
+    return rxyz(T.follow_bezier(waypoints(t), RES), "path_id", "frame")
 
 
 @query("frame_timeline", """
