@@ -85,13 +85,13 @@ def _frames(sample: Sampler, frame_count: int, frame_start: int):
             to = np.where(number == (before + there.sum(1, keepdims=True))[rows, 0], s1[rows, 0], to)
             safe = np.where(whole > 0, whole, 1.0)
             first = lambda s: np.ceil(s / safe * last).astype(np.int64)  # first frame at or after arc length s
-            still = ~(whole > 0)  # a path without length stays at its start
+            still = ~(whole > 0) | (last == 0)  # a path without length stays at its start, a single frame is there
             lo = np.where(still, 0, first(at))
             hi = np.where(still, np.where(number == 1, last, -1), np.where(number == n, last, first(to) - 1))
             count = np.maximum(hi - lo + 1, 0)
             of = np.repeat(np.arange(len(rows)), count)
             i = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of]
-            share = i / last if last else np.zeros(len(i))  # a single frame is the start
+            share = i / max(last, 1)
             gap = (to - at)[of]
             t = np.where(gap > 0, (share * whole[of] - at[of]) / np.where(gap > 0, gap, 1.0), 0.0)[:, None]
             a, b = points[rows[of], steps[of]], points[rows[of], steps[of] + 1]
