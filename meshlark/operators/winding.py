@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from meshlark.operators.mesh import rings
-from meshlark.session import cut
+from meshlark.session import cut, moved
 
 FACE = ["obj_id", "face_id"]
 
@@ -36,11 +36,11 @@ def oriented_parts(faces: DataFrame, links: DataFrame) -> DataFrame:
     state = cut(faces.select(*FACE, F.col("face_id").alias("part"), F.lit(0).alias("odd")).distinct(), "parts")
     while True:
         there = state.select("obj_id", F.col("face_id").alias("other"), "part", F.col("odd").alias("_odd"))
-        near = links.join(there, ["obj_id", "other"]).groupBy(*FACE).agg(
+        near = links.join(moved(there), ["obj_id", "other"]).groupBy(*FACE).agg(
             F.min(F.struct("part", F.col("odd").bitwiseXOR(F.col("_odd")).alias("odd"))).alias("near"))
-        taken = state.join(near, FACE, "left").select(*FACE, F.col("part").alias("_was"), F.least(F.struct("part", "odd"), "near").alias("t"))
+        taken = state.join(moved(near), FACE, "left").select(*FACE, F.col("part").alias("_was"), F.least(F.struct("part", "odd"), "near").alias("t"))
         home = state.select("obj_id", F.col("face_id").alias("_at"), F.col("part").alias("_part"), F.col("odd").alias("_odd"))
-        jumped = taken.withColumn("_at", F.col("t.part")).join(home, ["obj_id", "_at"])
+        jumped = taken.withColumn("_at", F.col("t.part")).join(moved(home), ["obj_id", "_at"])
         state = cut(jumped.select(*FACE, F.col("_part").alias("part"), F.col("t.odd").bitwiseXOR(F.col("_odd")).alias("odd"), "_was"), "parts")
         if state.filter("part <> _was").isEmpty():
             return state.drop("_was")
@@ -55,24 +55,24 @@ def outward_turns(loops: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     state = oriented_parts(loops, face_links(loops))
     place = vertices.select("obj_id", "vert_id", "x", "y", "z")
-    corners = cut(loops.select(*FACE, "pos", "n", "vert_id").join(place, ["obj_id", "vert_id"]).join(state, FACE), "corners")
+    corners = cut(loops.select(*FACE, "pos", "n", "vert_id").join(moved(place), ["obj_id", "vert_id"]).join(moved(state), FACE), "corners")
     middle = corners.groupBy("obj_id", "part").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     at = {c: F.col(c) - F.col(f"m{c}") for c in "xyz"}
-    seen = corners.join(middle, ["obj_id", "part"]).select(*FACE, "part", "odd", "pos", "n", *[at[c].alias(c) for c in "xyz"])
+    seen = corners.join(moved(middle), ["obj_id", "part"]).select(*FACE, "part", "odd", "pos", "n", *[at[c].alias(c) for c in "xyz"])
     after = seen.select(*FACE, F.pmod(F.col("pos") - 1, F.col("n")).cast(loops.schema["pos"].dataType).alias("pos"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
     first = seen.filter("pos = 0").select(*FACE, *[F.col(c).alias(f"f{c}") for c in "xyz"])
-    fan = seen.filter("pos BETWEEN 1 AND n - 2").join(after, [*FACE, "pos"]).join(first, FACE)
+    fan = seen.filter("pos BETWEEN 1 AND n - 2").join(moved(after), [*FACE, "pos"]).join(moved(first), FACE)
     triple = (F.col("fx") * (F.col("y") * F.col("nz") - F.col("z") * F.col("ny")) + F.col("fy") * (F.col("z") * F.col("nx") - F.col("x") * F.col("nz"))
               + F.col("fz") * (F.col("x") * F.col("ny") - F.col("y") * F.col("nx")))
     volume = fan.groupBy("obj_id", "part").agg(F.sum(F.when(F.col("odd") == 1, -triple).otherwise(triple)).alias("volume"))
-    return state.join(volume, ["obj_id", "part"], "left").select(
+    return state.join(moved(volume), ["obj_id", "part"], "left").select(
         *FACE, "part", F.col("odd").bitwiseXOR((F.coalesce("volume", F.lit(0.0)) < 0).cast("int")).cast("boolean").alias("turn"))
 
 
 def outward_winding(loops: DataFrame, vertices: DataFrame) -> DataFrame:
     """``loops`` with the rings of ``outward_turns`` reversed."""
     turns = outward_turns(loops, vertices).select(*FACE, "turn")
-    return loops.join(turns, FACE).withColumn("pos", F.when(F.col("turn"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))).drop("turn")
+    return loops.join(moved(turns), FACE).withColumn("pos", F.when(F.col("turn"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))).drop("turn")
 
 
 def winding_conflicts(loops: DataFrame) -> DataFrame:

@@ -75,3 +75,16 @@ def test_the_cube_of_boxes_is_outward(spark):
     loops = M.box_faces(bounds, "obj_id").withColumnRenamed("corner", "vert_id").withColumn("n", F.lit(4))
     verts = M.aabb_box(bounds, "obj_id").withColumnRenamed("corner", "vert_id")
     assert W.outward_turns(loops, verts).filter("turn").count() == 0
+
+
+def test_faces_and_corners_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Spark takes corners made by explode, and tables read back, for smaller than they are."""
+    from meshlark.plans.mesh_queries import part_boxes
+    from meshlark.sources.tables import Tables
+
+    plans = []
+    kept = W.cut
+    monkeypatch.setattr(W, "cut", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, label))
+    turns = W.outward_winding(*part_boxes(Tables(spark, "/root/testdata/sf0.001")))
+    plans.append(turns._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
