@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions.worker import ship
 from meshlark.operators.points import lattice_number, spaced_bounds
 from meshlark.operators.spatial import SAME_SURFACE, distinct_tris
-from meshlark.session import spread
+from meshlark.session import cut, spread
 
 ship(__name__)
 COLUMN = ["obj_id", "ix", "iy"]
@@ -40,35 +41,63 @@ def crossings(bounds: DataFrame, tris: DataFrame) -> DataFrame:
     return hit.select(*COLUMN, (F.col("az") + (F.col("bz") - F.col("az")) * F.col("v") + (F.col("cz_") - F.col("az")) * F.col("w")).alias("hz"))
 
 
-def inside_between(heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lo, hi) of the stretches lo <= z < hi from which an odd number of surfaces is met upwards.
+def _odd(h: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(odd, following) of heights that fall within each column, of which ``first`` is the place of a row's uppermost one.
 
-    A crossing within SAME_SURFACE of the last one counted is not counted; the first one above z always is. So
-    the count from a crossing on is one more than that from the first crossing beyond it.
+    ``following`` is the lowest crossing more than SAME_SURFACE above, -1 where there is none: one that is no further
+    up is not counted, the first one above a place always is. So the count from a crossing on is one more than that
+    from its following one. The first ``len(known)`` rows have their answer already.
     """
-    h = np.sort(heights)
-    following = np.searchsorted(h, h + SAME_SURFACE, side="right")
-    if (following == np.arange(1, len(h) + 1)).all():
-        odd = (len(h) - np.arange(len(h))) % 2 == 1
-    else:
-        odd = np.zeros(len(h) + 1, bool)
-        for i in range(len(h) - 1, -1, -1):
-            odd[i] = not odd[following[i]]
-        odd = odd[:-1]
-    lo = np.concatenate(([-np.inf], h[:-1]))
-    take = odd & (lo < h)
+    n = len(h)
+    at = np.arange(n) - 1
+    open_ = np.arange(n)
+    while len(open_):
+        open_ = open_[(at[open_] >= first[open_])]
+        open_ = open_[~(h[at[open_]] > h[open_] + SAME_SURFACE)]
+        at[open_] -= 1
+    following = np.where(at >= first, at, -1)
+    odd, up = np.append(np.ones(n, bool), False), np.append(np.where(following < 0, n, following), n)
+    odd[: len(known)], up[: len(known)] = known, n
+    while (up < n).any():  # the parity of the way up, by doubling
+        odd, up = odd ^ odd[up], up[up]
+    return odd[:-1], following
+
+
+def inside_between(heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lo, hi) of the stretches lo <= z < hi of one column from which an odd number of surfaces is met upwards."""
+    h = np.sort(heights)[::-1]
+    lo = np.append(h[1:], -np.inf)
+    take = _odd(h, np.zeros(len(h), int), np.zeros(0, bool))[0] & (lo < h)
     return lo[take], h[take]
 
 
 def _intervals(kind: pa.Schema):
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (obj_id, ix, iy, hz) with the columns together and each falling; what a column needs further down is carried on."""
+        held, known = None, np.zeros(0, bool)
+        give = lambda rows, take, lo: pa.RecordBatch.from_arrays(
+            [*(rows.column(k).filter(pa.array(take)) for k in range(3)), pa.array(lo[take]), rows.column(3).filter(pa.array(take))], schema=kind)
         for batch in batches:
-            heights = batch.column(3)
-            ends, values = heights.offsets.to_numpy(), heights.values.to_numpy()
-            found = [inside_between(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            which = pa.array(np.repeat(np.arange(len(found)), [len(lo) for lo, _ in found]))
-            sides = [np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in range(3)), *map(pa.array, sides)], schema=kind)
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch.cast(held.schema)])
+            n, since = rows.num_rows, max(len(known) - 1, 0)
+            other = np.zeros(n, bool)
+            for k in range(3):
+                other[1:] |= pc.not_equal(rows.column(k)[1:], rows.column(k)[:-1]).to_numpy(zero_copy_only=False)
+            h = rows.column(3).to_numpy(zero_copy_only=False)
+            first = np.maximum.accumulate(np.where(other, np.arange(n), 0))
+            odd, following = _odd(h, first, known)
+            lo = np.append(np.where(other[1:], -np.inf, h[1:]), -np.inf)
+            take = odd & (lo < h)
+            take[:since], take[-1] = False, False  # those given already, and the one whose lower end is yet to come
+            yield give(rows, take, lo)
+            # lower crossings follow one of those within SAME_SURFACE above the last, or the next one up
+            top = following[-1] if len(known) < n and following[-1] >= 0 else first[-1]
+            held, known = rows.slice(top), odd[top:]
+        if held is not None:
+            rows, odd = held.slice(held.num_rows - 1), known[-1:]
+            yield give(rows, odd.copy(), np.array([-np.inf]))
 
     return intervals
 
@@ -76,13 +105,13 @@ def _intervals(kind: pa.Schema):
 def interior_intervals(bounds: DataFrame, tris: DataFrame) -> DataFrame:
     """(obj_id, ix, iy, lo, hi): the stretches of every lattice column that lie inside the object's surface.
 
-    A column's crossings are one list, as long as the surfaces that lie over each other.
+    A column's crossings stream through a task from above, so no list of them is held.
     """
-    lists = crossings(bounds, tris).groupBy(*COLUMN).agg(F.collect_list("hz").alias("heights"))
+    met = spread(crossings(bounds, tris), *COLUMN).sortWithinPartitions(*COLUMN, F.desc("hz"))
     types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-    obj = lists.schema["obj_id"].dataType.simpleString()
+    obj = met.schema["obj_id"].dataType.simpleString()
     kind = pa.schema([("obj_id", types[obj]), ("ix", pa.int64()), ("iy", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
-    return lists.mapInArrow(_intervals(kind), f"obj_id {obj}, ix long, iy long, lo double, hi double")
+    return met.mapInArrow(_intervals(kind), f"obj_id {obj}, ix long, iy long, lo double, hi double")
 
 
 def interior_lattice(bounds: DataFrame, tris: DataFrame, inclusive: bool = False) -> DataFrame:
@@ -91,6 +120,7 @@ def interior_lattice(bounds: DataFrame, tris: DataFrame, inclusive: bool = False
     The points are those of the whole lattice, under the same numbers, from which an odd number of surfaces is met
     upwards; but only they are made: intervals are filled, no point is tested. ``inclusive`` takes the box's own sides.
     """
+    bounds = cut(bounds, "bounds")  # by its files Spark knows it for the small side of the joins; what explode makes has no size
     between = interior_intervals(bounds, tris).join(bounds, "obj_id")
     at = {c: F.col(f"min_{c}") + F.col(f"i{c}") * F.col("spacing") for c in "xyz"}
     last = F.floor((F.col("max_z") - F.col("min_z")) / F.col("spacing")).cast("long")

@@ -62,3 +62,26 @@ def test_nothing_inside(spark):
     box = P.tri_bounds(flat).withColumn("max_z", F.lit(5.0))
     assert columns.volume_scatter_inside(flat, box, 10.0).count() == 0
     assert columns.volume_scatter_inside(flat.limit(0), box, 10.0).count() == 0
+
+
+def test_columns_stream_over_batches_of_any_size():
+    """Crossings cut into batches anywhere give the intervals of the whole columns."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    columns_ = [rng.choice(np.arange(30) * 0.4e-4, rng.integers(1, 25)) + rng.choice([0.0, 1.0], 1) for _ in range(40)]
+    rows = [(0, 1, k, h) for k, c in enumerate(columns_) for h in sorted(c, reverse=True)]
+    names, types = ["obj_id", "ix", "iy", "hz"], [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+    kind = pa.schema([("obj_id", pa.int32()), ("ix", pa.int64()), ("iy", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
+    want = sorted((k, *map(float, i)) for k, c in enumerate(columns_) for i in zip(*columns.inside_between(c)))
+    for size in (1, 2, 3, 7, 50, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows[i:i + size]), types)], names) for i in range(0, len(rows), size)]
+        out = [r for b in columns._intervals(kind)(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["iy"], r["lo"], r["hi"]) for r in out) == want
+
+
+def test_the_boxes_are_the_side_that_is_broadcast(spark):
+    tris = soup(spark, np.random.default_rng(9).normal(size=(50, 9)))
+    plan = columns.volume_scatter_inside(tris, P.tri_bounds(tris), 20.0)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and all("BuildRight" in line for line in joins)
