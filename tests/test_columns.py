@@ -85,3 +85,35 @@ def test_the_boxes_are_the_side_that_is_broadcast(spark):
     plan = columns.volume_scatter_inside(tris, P.tri_bounds(tris), 20.0)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
     assert len(joins) == 2 and all("BuildRight" in line for line in joins)
+
+
+def test_hits_of_a_tile_are_the_walk_upwards():
+    from meshlark.operators import rays
+
+    rng = np.random.default_rng(10)
+    tris, at = rng.uniform(-1, 1, (300, 9)), rng.uniform(-1, 1, (40, 3))
+    tris[:, 8] = tris[:, 2] = tris[:, 5] = rng.choice(np.arange(60) * 0.4e-4, 300)  # level ones, many of them close
+    got = rays.hits_of(at, tris)
+    for point, n in zip(at, got):
+        a, u, w = tris[:, :2], tris[:, 3:5] - tris[:, :2], tris[:, 6:8] - tris[:, :2]
+        p, det = point[:2] - a, u[:, 0] * w[:, 1] - u[:, 1] * w[:, 0]
+        s, t = (p[:, 0] * w[:, 1] - p[:, 1] * w[:, 0]) / det, (u[:, 0] * p[:, 1] - u[:, 1] * p[:, 0]) / det
+        assert n == walked(tris[(s >= 0) & (t >= 0) & (s + t <= 1), 2], point[2])
+    assert got.max() > 5
+
+
+def test_crowded_tiles_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 16)
+    rng = np.random.default_rng(11)
+    xyz = np.vstack([rng.uniform(0, 3, (80, 3)) * (1, 1, 0), np.repeat([[2.0, 2.0, 0.0]], 50, 0), [[1e6, 0, 0], [2, 2, 9]]])
+    got = {r["pt_id"]: r["hits"] for r in S.ray_hits(cloud(spark, xyz), soup(spark, np.array(quad(1.0) + quad(2.0), float))).collect()}
+    assert got == {i: 0 if i >= 130 else 2 for i in range(132)}
+
+
+def test_pairs_with_triangles_are_not_sorted(spark, monkeypatch):
+    """The nearest of many candidates is kept by hashing; the least of whole rows has all of them sorted first."""
+    plans, kept = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, label))
+    rng = np.random.default_rng(12)
+    near = S.nearest_triangle(cloud(spark, rng.normal(size=(30, 3))), soup(spark, rng.normal(size=(40, 9))))
+    assert near.filter("tri_id IS NULL").count() == 0 and len(plans) > 3 and not any("SortAggregate" in p for p in plans)
