@@ -19,10 +19,14 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.glb", batch_siz
     )
 
 
-def table_stream(spark: SparkSession, folder: str, glob: str, schema: str, batch_size: int = 1) -> DataFrame:
-    """New parquet files in ``folder``, ``batch_size`` per micro-batch."""
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str, batch_size: int = 1) -> DataFrame:
+    """New parquet files of the table ``name`` in ``folder``, ``batch_size`` per micro-batch; the table is a file or a folder of part files.
+
+    The last letter stands as a pattern of itself: Spark streams what a pattern names, of either kind, while a plain
+    path has to be a folder.
+    """
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", batch_size).parquet(folder)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_size).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
     )
 
 
