@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions.worker import once, ship
@@ -104,9 +105,8 @@ def bloom(found: DataFrame, most_bits: int = 28) -> tuple[np.ndarray, int]:
     return out, size
 
 
-def _hits(spark: SparkSession, filtered: np.ndarray, size: int):
+def _hits(shared: Broadcast):
     """Documents with a place that may be a test seed: their words and those places."""
-    shared = spark.sparkContext.broadcast((filtered, size))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = shared.value
@@ -211,10 +211,11 @@ def _leaks(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     found = cut(test_seeds(items), "test-seeds")
-    held, size = bloom(found)
+    shared = spark.sparkContext.broadcast(bloom(found))
     rows = docs.filter(F.col("text").isNotNull()).select(_row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit_docs = cut(rows.mapInArrow(
-        _hits(spark, held, size), "key binary, doc long, words binary, hits array<struct<seed:long,at:long>>"), "hit-documents")
+        _hits(shared), "key binary, doc long, words binary, hits array<struct<seed:long,at:long>>"), "hit-documents")
+    shared.unpersist()
     hits = hit_docs.select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("at"))
     pairs = hits.join(found, "seed").groupBy("key", "item", "n_words").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     words = items.mapInArrow(_items, "item long, item_words binary").withColumn("n_words", (F.octet_length("item_words") / 8).cast("long"))
