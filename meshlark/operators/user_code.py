@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from meshlark.functions.worker import ship
+from meshlark.session import spread
+
+WORTH = 8  # rows of a root in a batch that are worth combining before they are sent
 
 
 def fan_out_user(items: DataFrame, generate: Callable[..., Iterable[tuple]], schema: str, *inputs: str) -> DataFrame:
@@ -46,27 +49,35 @@ def fan_in_user(items: DataFrame, root: str, combine: Callable[[pa.Table], pa.Ta
 
     ``combine`` gets a table of one root and gives back one of the same schema, as a rule of one row; it must not
     matter in which order and in how many helpings the rows come (make the columns it starts from by ``select``
-    before, the final ones by ``select`` after). It runs first on each Arrow batch where the rows lie, so a root with
-    a third of all rows sends a row a batch over the network, then batch by batch on what came together: no table of
-    all of a root's rows is ever made. Rows of null ``root`` are one group; no rows give none.
+    before, the final ones by ``select`` after). It runs first on each Arrow batch where the rows lie, for roots that are
+    often in it, so a root with a third of all rows sends a row a batch over the network, then on what came together,
+    sorted by root and batch by batch: no table of all of a root's rows is ever made, and roots of few rows share batches. Rows of null ``root`` are one group; no rows give none.
     """
     schema: StructType = items.schema
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [combine(part).cast(pa.schema(batch.schema)) for part in _by_root(pa.Table.from_batches([batch]), root)]
+            done = [combine(part).cast(batch.schema) if part.num_rows >= WORTH else part for part in _by_root(pa.Table.from_batches([batch]), root)]
             if done:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, of = None, None  # the last root met, of which more may follow
         for batch in batches:
-            more = pa.Table.from_batches([batch])
-            held = combine(more if held is None else pa.concat_tables([held, more])).cast(more.schema)
+            done = []
+            for part in _by_root(pa.Table.from_batches([batch]), root):
+                this = part.column(root)[0].as_py()
+                if held is not None and not (this == of or (this != this and of != of)):
+                    done.append(held)
+                    held = None
+                held, of = combine(part if held is None else pa.concat_tables([held, part])).cast(part.schema), this
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
         if held is not None:
             yield from held.combine_chunks().to_batches()
 
-    return items.mapInArrow(partial, schema).groupBy(root).applyInArrow(merge, schema)
+    met = spread(items.mapInArrow(partial, schema), root).sortWithinPartitions(root)
+    return met.mapInArrow(merge, schema)
 
 
 ship(__name__)

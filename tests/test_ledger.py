@@ -159,3 +159,17 @@ def test_world_matrix(spark):
 def test_levels_with_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4), (5, 6)], "src int, dst int")
     assert {r["node"]: r["level"] for r in trees.dependency_levels(edges).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None}
+
+
+def test_fan_in_user_combines_rare_roots_once_and_streams_them(spark):
+    import pyarrow as pa
+
+    def counted(rows):
+        return pa.table({"root": rows.column("root").slice(0, 1), "n": [sum(rows.column("n").to_pylist())], "calls": [1 + sum(rows.column("calls").to_pylist())]})
+
+    base = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.col("id") % 500).when(F.col("id") < 1010, F.lit(None)).otherwise(F.lit(-1)).alias("root"),
+        F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("calls"))
+    got = {r.root: (r.n, r.calls) for r in user_code.fan_in_user(base, "root", counted).collect()}
+    assert len(got) == 502 and got[None][0] == 10 and got[-1][0] == 1990
+    assert all(got[k] == (2, 1) for k in range(500))
