@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshlark.functions import vector as V
+from meshlark.functions.vector import rounded
 from meshlark.operators import arcs
 
 TOO_FEW_POSITIONS = "Path of fewer than two positions"
@@ -35,9 +36,9 @@ def has_animation(objects: DataFrame, keyframes: DataFrame) -> DataFrame:
     return objects.join(keyframes.select("obj_id").distinct(), "obj_id", "left_semi")
 
 
-def split_animated(subjects: DataFrame, keyframes: DataFrame, threshold: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def split_animated(subjects: DataFrame, keyframes: DataFrame, threshold: float = 0.01, by: str = "frame") -> tuple[DataFrame, DataFrame]:
     """(static subjects with their start position, skip-log rows) of subjects (obj_id, filename)."""
-    state = subjects.join(animated(keyframes, threshold), "obj_id", "left")
+    state = subjects.join(animated(keyframes, threshold, by), "obj_id", "left")
     moving = F.coalesce("animated", F.lit(False))
     start = [F.coalesce(f"first_{c}", F.lit(0.0)).alias(f"start_{c}") for c in "xyz"]
     log = F.concat(F.lit(SKIP_TEXT[0]), F.col("filename"), F.lit(SKIP_TEXT[1]))
@@ -60,12 +61,20 @@ def orbit(centers: DataFrame, radius: float = 5.0, height: float = 2.0, frame_co
     )
 
 
-def static_orbit_jobs(static: DataFrame, modalities: tuple[str, ...] = ("rgb", "depth"), **orbit_args) -> DataFrame:
-    """Orbit frames round the origin for subjects moved there (``shift`` = minus their start), per modality."""
-    moved = static.select(
-        "obj_id", "filename", *[(F.lit(0.0) - F.col(f"start_{c}")).alias(f"shift_{c}") for c in "xyz"], *[F.lit(0.0).alias(f"c{c}") for c in "xyz"]
-    )
-    return orbit(moved, **orbit_args).withColumn("modality", F.explode(F.array(*[F.lit(m) for m in modalities])))
+def static_orbit_jobs(
+    static: DataFrame, modalities: tuple[str, ...] = ("rgb", "depth"), places: int | None = None, **orbit_args
+) -> DataFrame:
+    """Orbit frames round the origin for subjects moved there (``shift`` = minus their start), per modality.
+
+    All subjects share the one orbit, so its frames are made, and rounded to ``places``, once, as are the subjects' shifts.
+    """
+    told = lambda c: c if places is None else rounded(c, places)
+    moved = static.select("obj_id", "filename", *[told(F.lit(0.0) - F.col(f"start_{c}")).alias(f"shift_{c}") for c in "xyz"])
+    origin = static.sparkSession.range(1).select(*[F.lit(0.0).alias(f"c{c}") for c in "xyz"])
+    frames = orbit(origin, **orbit_args).select("frame", *[told(F.col(c)).alias(c) for c in "xyz"])
+    frames = frames.withColumn("modality", F.explode(F.array(*[F.lit(m) for m in modalities])))
+    held = frames.agg(F.collect_list(F.struct("frame", "x", "y", "z", "modality")).alias("jobs"))  # frames times modalities
+    return moved.crossJoin(held).select("obj_id", "filename", *[f"shift_{c}" for c in "xyz"], F.inline("jobs"))
 
 
 def _sized(waypoints: DataFrame) -> DataFrame:

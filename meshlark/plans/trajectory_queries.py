@@ -51,9 +51,9 @@ _SUBJECTS = "SELECT obj_id, 'scan_' || obj_id || '.glb' AS filename, coalesce(fx
         {r('0 - fx', 'shift_x')}, {r('0 - fy', 'shift_y')} FROM subj, range(360) t(i), (VALUES ('rgb'), ('depth')) m(modality) WHERE NOT moving""",
     ends=_ENDS, subj=_SUBJECTS))
 def _(t):
-    static, _ = T.split_animated(subjects(t), t.keyframes(), 0.4)
-    jobs = T.static_orbit_jobs(static, radius=3.0, height=1.5, frame_count=360)
-    return rxyz(jobs, "obj_id", "filename", "modality", "frame", cols=("x", "y", "z", "shift_x", "shift_y"))
+    static, _ = T.split_animated(subjects(t), t.timed_positions(), 0.4, "at")
+    jobs = T.static_orbit_jobs(static, places=6, radius=3.0, height=1.5, frame_count=360)
+    return jobs.select("obj_id", "filename", "modality", "frame", "x", "y", "z", "shift_x", "shift_y")
 
 
 @query("animated_skip_log", sql("keyframes objects", "SELECT obj_id, 'Skipping ' || filename || ': Subject is animated.' AS message FROM subj WHERE moving", ends=_ENDS, subj=_SUBJECTS))
