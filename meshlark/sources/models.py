@@ -106,17 +106,21 @@ def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``obj_quarantine`` calls good.
     """
     words = F.split(F.trim("value"), "\\s+")
-    kind = words[0]
-    parsed = lines.select("path", "block", "seq", kind.alias("kind"), F.slice(words, 2, 1_000_000_000).alias("args")).filter(kind.isin("v", "f"))
+    args = F.slice(words, 2, 1_000_000_000)
+    kept = lines.select("path", "block", "seq", words[0].alias("kind"), "value")
+    # only text that is still read is numbered along: vertex lines alone for vertices, face lines and bare vertex marks for faces
+    numbered = lambda rows, **counts: running(rows, ["path"], ["block", "seq"], counts, pieces=[F.col("block")])
     is_v, is_f = (F.when(F.col("kind") == k, 1).otherwise(0).cast("long") for k in "vf")
-    numbered = running(parsed, ["path"], ["block", "seq"], {"nv": is_v, "nf": is_f}, pieces=[F.col("block")])
-    verts = numbered.filter("kind = 'v'").select(
-        "path", (F.col("nv") - 1).alias("vert_id"), *[F.get("args", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")]
+    at = F.col("nv") - 1
+    verts = numbered(kept.filter("kind = 'v'"), nv=is_v).select(
+        "path", at.alias("vert_id"), *[F.get(args, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")]
     )
+    faces = kept.filter("kind IN ('v', 'f')").withColumn("value", F.when(F.col("kind") == "f", F.col("value")))
     ref = F.split("arg", "/")[0].try_cast("long")
     loops = (
-        numbered.filter("kind = 'f'")
-        .select("path", (F.col("nf") - 1).alias("face_id"), "nv", F.size("args").alias("n"), F.posexplode("args").alias("pos", "arg"))
+        numbered(faces, nv=is_v, nf=is_f)
+        .filter("kind = 'f'")
+        .select("path", (F.col("nf") - 1).alias("face_id"), "nv", F.size(args).alias("n"), F.posexplode(args).alias("pos", "arg"))
         .select("path", "face_id", "pos", F.when(ref < 0, F.col("nv") + ref).otherwise(ref - 1).alias("vert_id"), "n")
     )
     return verts, loops

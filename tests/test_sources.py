@@ -214,3 +214,12 @@ def test_matching_faces_by_distance(spark, tmp_path):
     reference = spark.createDataFrame(near[:4], "x double, y double, z double")
     left = M.delete_matching_faces(loops, verts.withColumn("obj_id", F.lit(0)), reference, 1e-4).select("face_id").distinct().collect()
     assert [r["face_id"] for r in left] == [1]
+
+
+def test_obj_vertices_are_numbered_without_the_faces(spark):
+    lines = spark.createDataFrame([("a", 0, 0, "v 1 2 3"), ("a", 0, 1, "f 1 2 -1"), ("a", 9, 2, "v 4 5 6")], "path string, block long, seq long, value string")
+    verts, loops = models.obj_tables(lines)
+    assert sorted(tuple(r) for r in verts.collect()) == [("a", 0, 1.0, 2.0, 3.0), ("a", 1, 4.0, 5.0, 6.0)]
+    assert sorted((r.pos, r.vert_id, r.n) for r in loops.collect()) == [(0, 0, 3), (1, 1, 3), (2, 0, 3)]
+    plan = verts._jdf.queryExecution().optimizedPlan().toString()
+    assert "= v)" in plan[plan.rindex("Window"):]
