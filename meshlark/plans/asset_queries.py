@@ -11,7 +11,7 @@ from meshlark.plans.common import registrar
 from meshlark.plans.mesh_queries import BOX, CORNERS, LOCAL, rs, rxyz
 from meshlark.plans.oracle_views import noise, r, sql
 from meshlark.plans.point_queries import BOUNDS, CROSS, _AREAS, _CUM, _FLOW, folded_xyz
-from meshlark.session import cut, fresh_dir
+from meshlark.session import cut, fresh_dir, spread
 from meshlark.sources import gltf, models, places, reports, scan
 from meshlark.sources.tables import Tables
 from meshlark.streaming import ingest, skip
@@ -182,7 +182,8 @@ def scene_files(t):
         lit(']},{"count":36}],"materials":[{"name":"'), text("p_brand"), lit('"},{"name":"spare"}],"nodes":[{"children":[1,2],"translation":['),
         (F.col("p_partkey") % 7).cast("string"), lit(',0,1],"scale":[2,2,2]},{"mesh":0,"rotation":[0,0,0.6,0.8],"translation":[0,'), text("p_size"),
         lit(',0]},{"mesh":0,"matrix":[3,0,0,0,0,1,0,0,0,0,1,0,0,0,-'), text("p_size"), lit(',1]},{"mesh":0,"scale":[-1,1,1]}]}'))
-    made = t.read("part").withColumn("body", body)
+    # a part is a few bytes on disk and a whole scene to read: dealt out, or one task would read the scenes of a million rows
+    made = spread(t.read("part").select("p_partkey", "p_size", "p_brand"), "p_partkey").withColumn("body", body)
     size = F.octet_length("body")
     whole = F.concat(F.unhex(F.concat(lit("676C5446" "02000000"), _le_hex(size + 20), _le_hex(size), lit("4A534F4E"))), F.encode("body", "UTF-8"))
     content = F.when(F.col("p_partkey") % 11 == 0, F.substring(whole, 1, 3)).otherwise(whole)

@@ -91,19 +91,28 @@ def content_documents(files: DataFrame) -> DataFrame:
 # -- scenes -----------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for the row.
+
+    A column that a lambda names once is put into the lambda by the optimizer, and would be computed for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _local(node: Column) -> Column:
     """A node's own matrix, row by row: the one it states by columns, or translation, rotation and scale."""
     part = lambda name, k, default: F.coalesce(F.get(node[name], F.lit(k)), F.lit(float(default)))
     x, y, z, w = (part("rotation", k, k == 3) for k in range(4))
     sx, sy, sz = (part("scale", k, 1) for k in range(3))
     tx, ty, tz = (part("translation", k, 0) for k in range(3))
-    placed = F.array(
+    zero, last = F.lit(0.0), [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    turned = F.array(
         (1 - 2 * (y * y + z * z)) * sx, 2 * (x * y - z * w) * sy, 2 * (x * z + y * w) * sz, tx,
         2 * (x * y + z * w) * sx, (1 - 2 * (x * x + z * z)) * sy, 2 * (y * z - x * w) * sz, ty,
-        2 * (x * z - y * w) * sx, 2 * (y * z + x * w) * sy, (1 - 2 * (x * x + y * y)) * sz, tz,
-        F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+        2 * (x * z - y * w) * sx, 2 * (y * z + x * w) * sy, (1 - 2 * (x * x + y * y)) * sz, tz, *last)
+    straight = F.array(sx, zero, zero, tx, zero, sy, zero, ty, zero, zero, sz, tz, *last)
     stated = F.array(*[F.get(node["matrix"], F.lit(4 * j + i)) for i in range(4) for j in range(4)])
-    return F.when(F.size(node["matrix"]) == 16, stated).otherwise(placed)
+    return F.when(F.size(node["matrix"]) == 16, stated).when(node["rotation"].isNull(), straight).otherwise(turned)
 
 
 def with_worlds(docs: DataFrame) -> DataFrame:
@@ -113,35 +122,38 @@ def with_worlds(docs: DataFrame) -> DataFrame:
     matrix by its parent's times its own and its parent by the grandparent, so a chain of d nodes takes log2(d) rounds.
     """
     none = F.array().cast("array<int>")
-    nodes = F.coalesce("gltf.nodes", F.array().cast(docs.schema["gltf"].dataType["nodes"].dataType))
-    of_child = F.flatten(F.transform("_nodes", lambda n, i: F.transform(
-        F.coalesce(n["children"], none), lambda c: F.struct(c.alias("c"), i.alias("p")))))
-    own = F.transform("_nodes", lambda _, i: F.struct(i.alias("c"), F.lit(-1).alias("p")))
-    pairs = F.sort_array(F.concat(own, F.filter(of_child, lambda x: (x["c"] >= 0) & (x["c"] < F.size("_nodes")))))
-    last = F.filter("_pairs", lambda x, i: F.coalesce(F.get("_pairs", i + 1)["c"] != x["c"], F.lit(True)))
-    start = F.transform("_nodes", lambda n, i: F.struct(F.get("_last", i)["p"].alias("p"), _local(n).alias("m")))
+
+    def pairs(nodes: Column) -> Column:
+        of_child = F.flatten(F.transform(nodes, lambda n, i: F.transform(
+            F.coalesce(n["children"], none), lambda c: F.struct(c.alias("c"), i.alias("p")))))
+        own = F.transform(nodes, lambda _, i: F.struct(i.alias("c"), F.lit(-1).alias("p")))
+        return F.sort_array(F.concat(own, F.filter(of_child, lambda x: (x["c"] >= 0) & (x["c"] < F.size(nodes)))))
+
+    last = lambda found: F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["c"] != x["c"], F.lit(True)))
+    start = lambda nodes: F.zip_with(nodes, _let(pairs(nodes), last), lambda n, x: F.struct(x["p"].alias("p"), _local(n).alias("m")))
 
     def doubled(state: Column, _) -> Column:
-        above = lambda own: F.transform(F.array(F.get(state, own["p"])), lambda up: F.when(up.isNull(), own).otherwise(
-            F.struct(up["p"].alias("p"), matmul4(up["m"], own["m"]).alias("m"))))[0]
+        above = lambda own: _let(F.get(state, own["p"]), lambda up: F.when(up.isNull(), own).otherwise(
+            F.struct(up["p"].alias("p"), matmul4(up["m"], own["m"]).alias("m"))))
         return F.transform(state, above)
 
-    rounds = F.sequence(F.lit(1), F.floor(F.log2(F.size("_nodes") + 1)).cast("int") + 1)
-    step = docs.withColumn("_nodes", nodes).withColumn("_pairs", pairs).withColumn("_last", last).withColumn("_start", start)
-    ended = step.withColumn("_ended", F.aggregate(rounds, F.col("_start"), doubled))
-    return ended.withColumn("worlds", F.transform("_ended", lambda s: F.when(s["p"] < 0, s["m"]))).drop("_pairs", "_last", "_start", "_ended", "_nodes")
+    rounds = lambda nodes: F.sequence(F.lit(1), F.floor(F.log2(F.size(nodes) + 1)).cast("int") + 1)
+    ended = lambda nodes: F.aggregate(rounds(nodes), start(nodes), doubled)
+    nodes = F.coalesce("gltf.nodes", F.array().cast(docs.schema["gltf"].dataType["nodes"].dataType))
+    return docs.withColumn("worlds", F.transform(_let(nodes, ended), lambda s: F.when(s["p"] < 0, s["m"])))
 
 
 def _instances() -> Column:
     """(node_id, mesh, name, world) of every node that shows a mesh."""
-    each = F.transform("gltf.nodes", lambda n, i: F.struct(
-        i.alias("node_id"), n["mesh"].alias("mesh"), n["name"].alias("name"), F.get("worlds", i).alias("world")))
-    return F.filter(each, lambda x: (x["mesh"] >= 0) & (x["mesh"] < F.size("gltf.meshes")))
+    paired = F.zip_with("gltf.nodes", "worlds", lambda n, w: F.struct(n["mesh"].alias("mesh"), n["name"].alias("name"), w.alias("world")))
+    each = F.transform(paired, lambda x, i: F.struct(i.alias("node_id"), x["mesh"].alias("mesh"), x["name"].alias("name"), x["world"].alias("world")))
+    return _let(F.size("gltf.meshes"), lambda n: F.filter(each, lambda x: (x["mesh"] >= 0) & (x["mesh"] < n)))
 
 
 def gltf_instances(docs: DataFrame) -> DataFrame:
     """(path, node_id, mesh, name, world): a row for every node that shows a mesh, with its world matrix."""
-    return with_worlds(docs.filter("error_message IS NULL")).select("path", F.inline(_instances()))
+    shown = F.when(F.col("error_message").isNull(), _instances())  # not a filter: that would be moved below the parsing, and parse twice
+    return with_worlds(docs).select("path", F.inline(shown))
 
 
 def gltf_scene(docs: DataFrame, z_up: bool = False) -> DataFrame:
@@ -152,27 +164,35 @@ def gltf_scene(docs: DataFrame, z_up: bool = False) -> DataFrame:
     box from glTF's axes to those with z upwards. Broken files are error rows; nothing is exploded or shuffled.
     """
     accessor = lambda i: F.get("gltf.accessors", i)
-    position = lambda p: accessor(p["attributes"]["POSITION"])
-    corners = lambda p: F.coalesce(accessor(p["indices"])["count"], position(p)["count"])
-    faces = lambda p: F.when(F.coalesce(p["mode"], F.lit(TRIANGLES)) == TRIANGLES, F.floor(corners(p) / 3)).otherwise(F.lit(0))
-    summed = lambda of, f: F.aggregate(of, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(f(p), F.lit(0)).cast("long"))
-    end = lambda of, side, k, pick: pick(F.transform(of, lambda p: F.get(position(p)[side], F.lit(k))))
+    faces = lambda p, at: F.when(F.coalesce(p["mode"], F.lit(TRIANGLES)) == TRIANGLES, F.floor(
+        F.coalesce(accessor(p["indices"])["count"], at["count"]) / 3)).otherwise(F.lit(0))
+    part = lambda p, at: F.struct(
+        at["count"].alias("vertices"), faces(p, at).alias("faces"), at["min"].alias("lo"), at["max"].alias("hi"),
+        F.get("gltf.materials", p["material"])["name"].alias("material"))
+    summed = lambda parts, c: F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x[c], F.lit(0)).cast("long"))
+    ends = lambda parts, side, pick: F.array(*[pick(F.transform(parts, lambda x: F.get(x[side], F.lit(k)))) for k in range(3)])
 
     def measured(mesh: Column) -> Column:
-        prims = mesh["primitives"]
-        return F.struct(
-            summed(prims, lambda p: position(p)["count"]).alias("vertices"), summed(prims, faces).alias("faces"),
-            F.array(*[end(prims, "min", k, F.array_min) for k in range(3)]).alias("lo"), F.array(*[end(prims, "max", k, F.array_max) for k in range(3)]).alias("hi"),
-            F.transform(prims, lambda p: F.get("gltf.materials", p["material"])["name"]).alias("materials"))
-
-    wide = with_worlds(docs).withColumn("_meshes", F.transform("gltf.meshes", measured)).withColumn(
-        "_shown", F.transform(_instances(), lambda x: F.struct(x["world"].alias("m"), F.get("_meshes", x["mesh"]).alias("of"))))
-
-    def reach(axis: int, pick, fold) -> Column:
-        ends = lambda x, j: [x["m"][4 * axis + j] * x["of"][side][j] for side in ("lo", "hi")]
-        return fold(F.transform("_shown", lambda x: x["m"][4 * axis + 3] + pick(*ends(x, 0)) + pick(*ends(x, 1)) + pick(*ends(x, 2))))
-
-    low, high = ([reach(k, *how) for k in range(3)] for how in ((F.least, F.array_min), (F.greatest, F.array_max)))
+        parts = F.transform(mesh["primitives"], lambda p: _let(accessor(p["attributes"]["POSITION"]), lambda at: part(p, at)))
+        return _let(parts, lambda found: F.struct(
+            summed(found, "vertices").alias("vertices"), summed(found, "faces").alias("faces"), ends(found, "lo", F.array_min).alias("lo"),
+            ends(found, "hi", F.array_max).alias("hi"), F.transform(found, lambda x: x["material"]).alias("materials")))
+
+    wide = with_worlds(docs).withColumn("_shown", _let(F.transform("gltf.meshes", measured), lambda meshes: F.transform(
+        _instances(), lambda x: F.struct(x["world"].alias("m"), F.get(meshes, x["mesh"]).alias("of")))))
+
+    def box(x: Column) -> Column:
+        """Six numbers: the least and the greatest of the moved corners on each axis."""
+        def reach(axis: int, pick) -> Column:
+            ends = lambda j: [x["m"][4 * axis + j] * x[side][j] for side in ("lo", "hi")]
+            return x["m"][4 * axis + 3] + pick(*ends(0)) + pick(*ends(1)) + pick(*ends(2))
+
+        return F.array(*[reach(k, pick) for pick in (F.least, F.greatest) for k in range(3)])
+
+    boxes = _let(F.transform("_shown", lambda x: _let(F.struct(x["m"].alias("m"), x["of"]["lo"].alias("lo"), x["of"]["hi"].alias("hi")), box)), lambda found: F.array(
+        *[fold(F.transform(found, lambda b: b[3 * i + k])) for i, fold in enumerate((F.array_min, F.array_max)) for k in range(3)]))
+    wide = wide.withColumn("_box", boxes)
+    low, high = ([F.col("_box")[3 * i + k] for k in range(3)] for i in range(2))
     if z_up:
         low, high = [low[0], -high[2], low[1]], [high[0], -low[2], high[1]]
     good = F.col("error_message").isNull()

@@ -4,13 +4,15 @@ import base64
 import json
 import os
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.plans import inspector
+from meshlark.plans import asset_queries, inspector
 from meshlark.sources import gltf, places, scan
+from meshlark.sources.tables import Tables
 
 CUBE = {"POSITION": 0}
 
@@ -188,3 +190,28 @@ def test_reports_beside_their_places(spark, tmp_path):
     assert listed(tmp_path / "out") == ["bad_report.json", "deep/ok_report.json", "ok_report.json"]
     report = json.loads((tmp_path / "out" / "deep" / "ok_report.json").read_text())
     assert (report["status"], report["materials"], report["dim_x"], report["vertices"]) == ("success", ["m"], 2.0, 8)
+
+
+def test_a_long_chain_is_measured_once(spark, tmp_path):
+    """Worlds and mesh sizes belong to the file, not to each of its nodes: 1,200 nodes over 300 meshes."""
+    n, m = 1200, 300
+    nodes = [{"mesh": k % m, "translation": [1, 0, 0], **({"children": [k + 1]} if k < n - 1 else {})} for k in range(n)]
+    (tmp_path / "chain.glb").write_bytes(glb(scene(nodes, meshes=[{"primitives": [{"attributes": CUBE, "indices": 1, "material": 0}]}] * m)))
+    docs, start = docs_of(spark, tmp_path), time.time()
+    got = {r.node_id: r.world[3] for r in gltf.gltf_instances(docs).collect()}
+    box = gltf.gltf_scene(docs).first()
+    assert got == {k: k + 1.0 for k in range(n)}
+    assert (box["vertices"], box["faces"], box["mesh_count"], box["min_x"], box["max_x"]) == (8 * n, 12 * n, n, 0.5, n + 0.5)
+    assert time.time() - start < 60
+
+
+def test_a_file_is_parsed_once(spark):
+    files = asset_queries.scene_files(Tables(spark, "/root/testdata/sf0.001"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = gltf.content_documents(files)
+    assert plan(gltf.gltf_instances(docs)).count("from_json(") == 1 == plan(gltf.gltf_scene(docs)).count("from_json(")
+
+
+def test_scenes_of_a_small_table_are_dealt_out(spark):
+    files = asset_queries.scene_files(Tables(spark, "/root/testdata/sf0.001"))
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
