@@ -243,10 +243,10 @@ def _(t):
         CASE WHEN good THEN p_brand END AS materials, round(CASE WHEN good THEN {_SCENE_BOX['max_x']} - {_SCENE_BOX['min_x']} END, 4) + 0.0 AS dim_x FROM s""", s=_SCENE))
 def _(t):
     folder = fresh_dir(t.spark, "reports")
-    rows = inspector.model_reports(scene_files(t))
-    reports.write_report_files(rows, F.concat(F.lit("scenes/"), F.col("report_name")), folder)
-    back = reports.read_report_files(t.spark, folder, "status string, materials array<string>, dim_x double")
-    return back.select(F.regexp_extract(F.col("_metadata.file_path"), "(scenes/[^/]*)$", 1).alias("report"), "status", F.array_join("materials", ",").alias("materials"), "dim_x")
+    rows, path = inspector.model_reports(scene_files(t)), F.concat(F.lit("scenes/"), F.col("report_name"))
+    reports.write_report_files(rows, path, folder)
+    back = reports.read_reports_at(rows.select(path.alias("path")), folder, "status string, materials array<string>, dim_x double")
+    return back.select(F.col("path").alias("report"), "status", F.array_join("materials", ",").alias("materials"), "dim_x")
 
 
 @query("validation_summary", sql("", """

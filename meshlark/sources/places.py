@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from meshlark.functions.worker import ship
+from meshlark.session import spread
 
 ship(__name__)
 
@@ -45,20 +46,24 @@ class _Writer(DataSourceArrowWriter):
         An attempt that fails removes what it wrote, and nobody sees a part of a file. A new attempt, or a second
         run, replaces the files by the same ones.
         """
-        mine, written = uuid.uuid4().hex, []
+        mine, written, made = uuid.uuid4().hex, [], set()
         try:
             for batch in iterator:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                     whole = path if ":" in path or path.startswith("/") else f"{self.folder}/{path}"
                     system, name = located(whole)
-                    system.create_dir(name.rpartition("/")[0], recursive=True)
-                    written.append((system, f"{name}.{mine}.part", name))
-                    with system.open_output_stream(written[-1][1], compression=None) as out:
+                    within = whole.rpartition("/")[0]
+                    if within not in made:
+                        system.create_dir(name.rpartition("/")[0], recursive=True)
+                        made.add(within)
+                    written.append((system, name))
+                    with system.open_output_stream(f"{name}.{mine}.part", compression=None) as out:
                         out.write(content.as_buffer())
-            for system, part, name in written:
-                system.move(part, name)
+            for system, name in written:
+                system.move(f"{name}.{mine}.part", name)
         except BaseException:
-            for system, part, _ in written:
+            for system, name in written:
+                part = f"{name}.{mine}.part"
                 if system.get_file_info(part).type != fs.FileType.NotFound:
                     system.delete_file(part)
             raise
@@ -83,3 +88,35 @@ def write_files(files: DataFrame, folder: str) -> None:
     """Write each row of (path, content) as one file at exactly that path, below ``folder`` if the path is relative."""
     files.sparkSession.dataSource.register(Files)
     files.select("path", F.col("content").cast("binary").alias("content")).write.format("whole_files").mode("append").save(folder)
+
+
+# -- reading ----------------------------------------------------------------
+
+_FILE = pa.schema([("path", pa.string()), ("content", pa.binary())])
+MOST, ROWS = 16 << 20, 1000  # bytes and files of a batch
+
+
+def _contents(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                system, name = located(path if ":" in path or path.startswith("/") else f"{folder}/{path}")
+                with system.open_input_file(name) as file:
+                    contents.append(file.read())
+                paths.append(path)
+                size += len(contents[-1])
+                if size >= MOST or len(paths) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], schema=_FILE)
+                    paths, contents, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], schema=_FILE)
+
+    return read
+
+
+def read_files(paths: DataFrame, folder: str) -> DataFrame:
+    """path, content of the files of ``path`` that ``write_files`` wrote, each once; one that is not there ends the job.
+
+    Tasks open the files by name: no folder is listed, so millions of files cost the driver nothing.
+    """
+    return spread(paths.select("path"), "path").distinct().mapInArrow(_contents(folder.rstrip("/")), "path string, content binary")

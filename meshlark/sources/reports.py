@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meshlark.sources.places import write_files
+from meshlark.sources.places import read_files, write_files
 
 
 def report_path(path: Column) -> Column:
@@ -32,5 +32,12 @@ def write_report_files(reports: DataFrame, path: Column, folder: str) -> None:
     write_files(reports.select(report_path(path).alias("path"), F.encode(F.to_json(F.struct("*")), "UTF-8").alias("content")), folder)
 
 
+def read_reports_at(paths: DataFrame, folder: str, schema: str) -> DataFrame:
+    """path and the columns of ``schema`` of the reports that ``write_report_files`` wrote at ``report_path`` of ``path``."""
+    found = read_files(paths.select(report_path(F.col("path")).alias("path")), folder)
+    return found.select("path", F.from_json(F.decode("content", "UTF-8"), schema).alias("_report")).select("path", "_report.*")
+
+
 def read_report_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Every report below ``folder``. The driver lists them: for millions whose paths are known take ``read_reports_at``."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").json(folder)

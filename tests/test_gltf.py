@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from meshlark.plans import asset_queries, inspector
-from meshlark.sources import gltf, places, scan
+from meshlark.sources import gltf, places, reports, scan
 from meshlark.sources.tables import Tables
 
 CUBE = {"POSITION": 0}
@@ -215,3 +216,21 @@ def test_a_file_is_parsed_once(spark):
 def test_scenes_of_a_small_table_are_dealt_out(spark):
     files = asset_queries.scene_files(Tables(spark, "/root/testdata/sf0.001"))
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_reports_are_read_at_their_paths(spark, tmp_path):
+    """Each once, by name, whatever else is in the folder; one that is not there is an error."""
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a/x", 1), ("y.json", 2), ("z/", None)], "path string, n long")
+    reports.write_report_files(rows, F.col("path"), out)
+    (tmp_path / "out" / "stray.json").write_text('{"n": 9}')
+    found = reports.read_reports_at(rows.union(rows), out, "n long, more string").collect()
+    assert sorted(map(tuple, found)) == [("a/x/report.json", 1, None), ("y.json", 2, None), ("z/report.json", None, None)]
+    with pytest.raises(Exception, match="gone.json"):
+        reports.read_reports_at(spark.createDataFrame([("gone.json",)], "path string"), out, "n long").collect()
+
+
+def test_report_files_lists_no_folder(spark):
+    back = entry.queries()["report_files"](spark, "/root/testdata/sf0.001")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan json" not in plan and plan.count("from_json(") == 1 and back.count() == Tables(spark, "/root/testdata/sf0.001").read("part").count()
