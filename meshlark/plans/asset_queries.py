@@ -69,8 +69,12 @@ def _le_hex(n):
     return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
 
 
-def glb_files(t):
-    """One GLB per order, built in SQL: its lines are the mesh. Some are cut short, some hold broken JSON."""
+def glb_rows(t):
+    """One GLB per order, built in SQL: its lines are the mesh. Some are cut short, some hold broken JSON.
+
+    Dealt out by order while a row is small: few files of the shared folder would hold millions of GLBs, and a task
+    would read each of them whole.
+    """
     lines = t.read("lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("a"),
         F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.max("l_suppkey").alias("top"),
@@ -84,13 +88,19 @@ def glb_files(t):
         F.lit('"},{"name":"base"}],"nodes":[{"name":"root","children":[1],"translation":[1,0,0]},{"name":"part","mesh":0,"translation":['), text("n"), F.lit(",0,2.5]}]}"),
     )
     body = F.when(F.col("l_orderkey") % 13 == 0, F.substring(json, 1, 20)).otherwise(json)
-    made = lines.join(t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey").withColumn("body", body)
+    orders = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    made = spread(lines.join(orders, "l_orderkey"), "l_orderkey").withColumn("body", body)
     size = F.octet_length("body")
     head = F.unhex(F.concat(F.lit("676C5446" "02000000"), _le_hex(size + 20), _le_hex(size), F.lit("4A534F4E")))
     whole = F.concat(head, F.encode("body", "UTF-8"))
     content = F.when(F.col("l_orderkey") % 11 == 0, F.substring(whole, 1, 3)).otherwise(whole)
     path = F.concat(F.lit("assets/o"), text("l_orderkey"), F.lit(".glb"))
-    return cut(made.select(path.alias("path"), F.length(content).cast("long").alias("length"), content.alias("content")), "glb")
+    return made.select(path.alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+def glb_files(t):
+    """``glb_rows`` written down, for what reads the contents more than once."""
+    return cut(glb_rows(t), "glb")
 
 
 _GLB = """SELECT 'assets/o' || l_orderkey || '.glb' AS path, CASE WHEN l_orderkey % 11 = 0 THEN 'Invalid header' WHEN l_orderkey % 13 = 0 THEN 'Invalid JSON chunk' END AS error_message,
@@ -169,7 +179,7 @@ def _(t):
         {_ok('vertices', 'vertices')}, {_ok('faces', 'faces')}, {_ok('round(max_x - min_x, 4)', 'dim_x')}, {_ok('2e0', 'dim_y')}, {_ok('2e0', 'dim_z')},
         {_ok('o_orderpriority', 'materials')} FROM g""", g=_GLB))
 def _(t):
-    return inspector.model_reports(glb_files(t)).withColumn("materials", F.array_join("materials", ","))
+    return inspector.model_reports(glb_rows(t)).withColumn("materials", F.array_join("materials", ","))
 
 
 def scene_files(t):
@@ -252,7 +262,7 @@ def _(t):
 @query("validation_summary", sql("", """
     SELECT count(*) AS processed, count(error_message) AS errors, 'Processed ' || count(*) || ' files. ' || count(error_message) || ' Error.' AS message FROM g""", g=_GLB))
 def _(t):
-    return A.validation_summary(inspector.model_reports(glb_files(t)))
+    return A.validation_summary(inspector.model_reports(glb_rows(t)))
 
 
 # one OBJ file per 5000 faces, written as text and read back

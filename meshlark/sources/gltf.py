@@ -178,8 +178,8 @@ def gltf_scene(docs: DataFrame, z_up: bool = False) -> DataFrame:
             summed(found, "vertices").alias("vertices"), summed(found, "faces").alias("faces"), ends(found, "lo", F.array_min).alias("lo"),
             ends(found, "hi", F.array_max).alias("hi"), F.transform(found, lambda x: x["material"]).alias("materials")))
 
-    wide = with_worlds(docs).withColumn("_shown", _let(F.transform("gltf.meshes", measured), lambda meshes: F.transform(
-        _instances(), lambda x: F.struct(x["world"].alias("m"), F.get(meshes, x["mesh"]).alias("of")))))
+    wide = with_worlds(docs).withColumn("_shown", _let(F.transform("gltf.meshes", measured), lambda meshes: F.filter(
+        F.zip_with("gltf.nodes", "worlds", lambda n, w: F.struct(w.alias("m"), F.get(meshes, n["mesh"]).alias("of"))), lambda x: x["of"].isNotNull())))
 
     def box(x: Column) -> Column:
         """Six numbers: the least and the greatest of the moved corners on each axis."""
@@ -196,7 +196,7 @@ def gltf_scene(docs: DataFrame, z_up: bool = False) -> DataFrame:
     if z_up:
         low, high = [low[0], -high[2], low[1]], [high[0], -low[2], high[1]]
     good = F.col("error_message").isNull()
-    names = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("_shown", lambda x: x["of"]["materials"])), lambda n: n.isNotNull())))
+    names = F.sort_array(F.array_distinct(F.filter(F.flatten(F.transform("_shown", lambda x: x["of"]["materials"])), lambda n: n.isNotNull())))
     shown = F.coalesce("_shown", F.array().cast(wide.schema["_shown"].dataType))
     total = lambda name: F.aggregate(shown, F.lit(0).cast("long"), lambda acc, x: acc + x["of"][name])
     out = wide.select(

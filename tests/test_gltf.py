@@ -234,3 +234,9 @@ def test_report_files_lists_no_folder(spark):
     back = entry.queries()["report_files"](spark, "/root/testdata/sf0.001")
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "FileScan json" not in plan and plan.count("from_json(") == 1 and back.count() == Tables(spark, "/root/testdata/sf0.001").read("part").count()
+
+
+def test_models_are_dealt_out_and_measured_in_one_pass(spark):
+    rows = entry.queries()["validation_report"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 == plan.count("REPARTITION_BY_NUM") and "/glb-" not in plan
