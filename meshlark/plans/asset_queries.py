@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from meshlark.functions.vector import rounded
 from meshlark.operators import assets as A, camera as C, ledger as L, mesh as M, points as P
@@ -270,16 +270,13 @@ _PARTS = "SELECT face_id // 5000 AS part, face_id, pos, vert_id, obj_id FROM loo
 
 
 def obj_parts(t):
-    """(path, vert key) tables of each part: its own vertices, numbered from 0."""
-    loops = t.loops().withColumn("path", F.floor(F.col("face_id") / 5000).cast("long"))
-    key = F.col("vert_id") * 10 + F.col("obj_id")
-    ids = M.compacted(loops.select(F.col("path").alias("obj_id"), key.alias("vert_id")).distinct())
-    place = t.vertices().select((F.col("vert_id") * 10 + F.col("obj_id")).alias("vert_id"), "x", "y", "z")
-    verts = ids.join(place, "vert_id").select(F.col("obj_id").alias("path"), F.col("new_id").alias("vert_id"), "x", "y", "z")
-    faces = loops.withColumn("vert_id", key).join(ids.withColumnRenamed("obj_id", "path"), ["path", "vert_id"]).select(
-        "path", "face_id", "pos", F.col("new_id").alias("vert_id")
-    )
-    return verts, faces
+    """(path, vert key) tables of each part: its own vertices, numbered from 0. Corners are dealt by part once and numbered there."""
+    key = (F.col("vert_id") * 10 + F.col("obj_id")).alias("key")
+    number = F.dense_rank().over(Window.partitionBy("path").orderBy("key")).cast("long") - 1
+    loops = t.loops(F.floor(F.col("l_orderkey") / 5000).cast("long")).select("path", "face_id", "pos", key).withColumn("vert_id", number)
+    place = t.vertices().select(key, "x", "y", "z")
+    ids = loops.groupBy("path", "key").agg(F.first("vert_id").alias("vert_id"))
+    return ids.join(place, "key").select("path", "vert_id", "x", "y", "z"), loops.drop("key")
 
 
 def read_obj_parts(t):
@@ -287,7 +284,7 @@ def read_obj_parts(t):
     lines = models.obj_lines_of(*obj_parts(t))
     lines.repartition("path").sortWithinPartitions("path", "kind", "ord").select(F.col("path").alias("part"), "value").write.partitionBy("part").text(folder)
     read = scan.asset_lines(t.spark, folder, "*.txt")
-    verts, loops = models.obj_tables(read)
+    verts, loops = models.obj_tables(models.obj_counted(read))
     part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")
     return verts.select(part, "vert_id", "x", "y", "z"), loops.select(part, "face_id", "pos", "vert_id", "n")
 

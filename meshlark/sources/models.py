@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshlark.functions.skew import rank_within, running
 from meshlark.functions.worker import ship
+from meshlark.session import cut
 
 ship(__name__)
 
@@ -99,17 +102,62 @@ def gltf_nodes(files: DataFrame) -> DataFrame:
 BAD_VERTEX, BAD_FACE, NO_VERTEX = "Invalid vertex line", "Invalid face line", "Face of a vertex that is not there"
 
 
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, block, seq, value, nv, nf) with nv and nf, 0 or 1, summed up from the block's first row on."""
+    last, sums = None, np.zeros(2, np.int64)
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        fresh = np.zeros(n, bool)
+        for k in range(2):
+            fresh[1:] |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
+        first = (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+        if first != last:
+            sums = np.zeros(2, np.int64)
+        since = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        out = []
+        for k in range(2):
+            one = batch.column(4 + k).to_numpy()
+            whole = np.cumsum(one)
+            out.append(whole - (whole - one)[since] + np.where(since == 0, sums[k], 0))
+        last, sums = (batch.column(0)[n - 1].as_py(), batch.column(1)[n - 1].as_py()), np.array([o[-1] for o in out])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, out)], names=["path", "block", "seq", "value", "nv", "nf"])
+
+
+def obj_counted(lines: DataFrame) -> DataFrame:
+    """Adds nv and nf: how many vertex and face lines of its block there are up to each line.
+
+    For lines straight from ``scan.asset_lines``, where a task has a block's lines one after the other, so none is moved.
+    """
+    kind = F.split(F.trim("value"), "\\s+")[0]
+    marked = lines.select("path", "block", "seq", "value", *[F.when(kind == k, 1).otherwise(0).cast("long").alias(f"n{k}") for k in "vf"])
+    return marked.mapInArrow(_count_blocks, "path string, block long, seq long, value string, nv long, nf long")
+
+
+def _counted_through(lines: DataFrame) -> DataFrame:
+    """``obj_counted`` lines with nv and nf counted from the file's first line on: one small row a later block is added to its lines."""
+    sums = lines.groupBy("path", "block").agg(F.max("nv").alias("nv"), F.max("nf").alias("nf"))
+    by = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("path", "block", F.sum("nv").over(by).alias("_v"), F.sum("nf").over(by).alias("_f")).filter("block > 0")
+    joined = lines.join(cut(before, "blocks"), ["path", "block"], "left")
+    return joined.withColumns({f"n{k}": F.col(f"n{k}") + F.coalesce(f"_{k}", F.lit(0)) for k in "vf"}).drop("_v", "_f")
+
+
 def obj_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vertices(path, vert_id, x, y, z) and loops(path, face_id, pos, vert_id, n) of OBJ lines, ids from 0.
 
     Negative references count back from the vertices read so far. What is no number is null: take the lines that
-    ``obj_quarantine`` calls good.
+    ``obj_quarantine`` calls good. Lines of ``obj_counted`` are numbered where they are read, others are moved for it.
     """
     words = F.split(F.trim("value"), "\\s+")
     args = F.slice(words, 2, 1_000_000_000)
-    kept = lines.select("path", "block", "seq", words[0].alias("kind"), "value")
+    counted = "nv" in lines.columns
+    if counted:
+        lines = _counted_through(lines)
+    kept = lines.select("path", "block", "seq", words[0].alias("kind"), "value", *(["nv", "nf"] if counted else []))
     # only text that is still read is numbered along: vertex lines alone for vertices, face lines and bare vertex marks for faces
-    numbered = lambda rows, **counts: running(rows, ["path"], ["block", "seq"], counts, pieces=[F.col("block")])
+    numbered = lambda rows, **counts: rows if counted else running(rows, ["path"], ["block", "seq"], counts, pieces=[F.col("block")])
     is_v, is_f = (F.when(F.col("kind") == k, 1).otherwise(0).cast("long") for k in "vf")
     at = F.col("nv") - 1
     verts = numbered(kept.filter("kind = 'v'"), nv=is_v).select(

@@ -223,3 +223,50 @@ def test_obj_vertices_are_numbered_without_the_faces(spark):
     assert sorted((r.pos, r.vert_id, r.n) for r in loops.collect()) == [(0, 0, 3), (1, 1, 3), (2, 0, 3)]
     plan = verts._jdf.queryExecution().optimizedPlan().toString()
     assert "= v)" in plan[plan.rindex("Window"):]
+
+
+def test_counted_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """Files of many blocks and of one, with relative references: the same tables as by windows, and no line is moved."""
+    import random
+
+    rng = random.Random(4)
+    for name, n in (("long.obj", 900), ("short.obj", 7), ("none.obj", 0)):
+        lines = ["# a comment", "v 0 0 0", "v 1 0 0", "v 0 1 0"]
+        lines += [rng.choice([f"v {k} {k + 0.5} -1", "f 1 2 -1", " f -1 -2 -3 1", "vn 0 0 1", "", "v"]) for k in range(n)]
+        (tmp_path / name).write_text("\n".join(lines if n else ["# nothing"]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        read = scan.asset_lines(spark, str(tmp_path))
+        assert read.filter("block > 0").select("block").distinct().count() > 5
+        plain, counted = models.obj_tables(read), models.obj_tables(models.obj_counted(read))
+        for a, b in zip(plain, counted):
+            assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+        for table in counted:
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_blocks_are_counted_over_batches_of_any_size():
+    import pyarrow as pa
+
+    rows = [("a", 0, 1, "", k % 2, k % 3 == 0) for k in range(9)] + [("a", 70, 2, "", 1, 0)] * 3 + [("b", 70, 3, "", 1, 1)] * 4
+    names, want, sums = ["path", "block", "seq", "value", "nv", "nf"], [], {}
+    for r in rows:
+        v, f = sums.get(r[:2], (0, 0))
+        sums[r[:2]] = (v + r[4], f + r[5])
+        want.append(sums[r[:2]])
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(map(type(rows[0][i]) if i < 4 else int, c))) for i, c in enumerate(zip(*rows[k : k + size]))], names)
+                   for k in range(0, len(rows), size)]
+        assert [(r["nv"], r["nf"]) for b in models._count_blocks(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_corners_of_obj_parts_are_dealt_once(spark):
+    from meshlark.plans.asset_queries import obj_parts
+    from meshlark.sources.tables import Tables
+
+    plan = obj_parts(Tables(spark, "/root/testdata/sf0.001"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
